@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, quality_model, quality_rules
+from . import bpe, decontaminate, langid, quality_model, quality_rules, secrets
 from ._common import read_table
 
 
@@ -22,6 +22,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
+    "op3_secrets": op3_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
     "op9_decontaminate": op9_decontaminate,
