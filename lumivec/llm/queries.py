@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, quality_model, quality_rules, secrets
+from . import bpe, decontaminate, langid, line_dedup, quality_model, quality_rules, secrets
 from ._common import read_table
 
 
@@ -38,6 +38,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = rf"""
@@ -57,6 +61,18 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP10_SQL = """
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 2], chr(10)) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM l WHERE len(w) >= 3)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win WHERE regexp_matches(k, '[^\\x20\\x09-\\x0D]')),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM ranked WHERE r > 1),
+one AS (SELECT doc_id, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS i FROM l),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT l.doc_id, (CASE WHEN l.text = '' THEN 0 ELSE len(l.w) END)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -64,5 +80,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
     "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL}
