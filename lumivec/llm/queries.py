@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, langid, line_dedup, quality_model, quality_rules, secrets
+from . import bpe, decontaminate, jaccard_join, langid, line_dedup, quality_model, quality_rules, secrets, substring_dedup
 from ._common import read_table
 
 
@@ -26,6 +26,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(read_table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op3_secrets": op3_secrets,
+    "op4_substrings": op4_substrings,
     "op5_jaccard": op5_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
