@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, langid, line_dedup, quality_model, quality_rules, secrets, substring_dedup
+from . import bpe, decontaminate, jaccard_join, langid, line_dedup, lm_score, quality_model, quality_rules, secrets, substring_dedup
 from ._common import read_table
 
 
@@ -56,6 +56,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -103,6 +107,7 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
+    "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
