@@ -144,17 +144,17 @@ def _sha(x: str) -> str:
     return hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, ids (array<int>), n_tokens, decoded text, and the digests of ids and decoded text."""
-    return _encoded(docs, tokenizer_path, with_ids)
+def encode_documents(docs: DataFrame, tokenizer_path: str, with_text: bool = True) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and decoded text, ids (array<int>) and, if asked for, the decoded text."""
+    return _encoded(docs, tokenizer_path, True, with_text)
 
 
 def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and the digests only: what a comparison needs."""
-    return _encoded(docs, tokenizer_path, False)
+    return _encoded(docs, tokenizer_path, False, False)
 
 
-def _encoded(docs: DataFrame, path: str, full: bool) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, with_ids: bool, with_text: bool) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Codec(path))  # its size is the vocabulary file's
 
@@ -170,12 +170,16 @@ def _encoded(docs: DataFrame, path: str, full: bool) -> DataFrame:
             rows["n_tokens"].append(ids.count(",") + 1 if ids else 0)
             rows["ids_sha256"].append(_sha(ids))
             rows["decoded_sha256"].append(_sha(decoded))
-            if full:
-                ids_col.append(np.array(ids.split(",") if ids else [], np.int32))
+            if with_ids:
+                ids_col.append(np.fromstring(ids, np.int32, sep=","))
+            if with_text:
                 text_col.append(decoded)
-        if full:
-            rows |= {"ids": pa.array(ids_col, pa.list_(pa.int32())), "decoded": pa.array(text_col, pa.string())}
-        return pa.RecordBatch.from_pydict(rows | {"n_tokens": pa.array(rows["n_tokens"], pa.int64()), "ids_sha256": pa.array(rows["ids_sha256"], pa.string()), "decoded_sha256": pa.array(rows["decoded_sha256"], pa.string())})
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+        out = {k: v if k == "doc_id" else pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in rows.items()}
+        if with_ids:
+            out["ids"] = pa.array(ids_col, pa.list_(pa.int32()))
+        if with_text:
+            out["decoded"] = pa.array(text_col, pa.string())
+        return pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return map_arrow(id_text(docs), run, schema)

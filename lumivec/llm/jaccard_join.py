@@ -229,7 +229,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """k_id, k_crc, n_shingles, component_id for every row."""
+    """k_id, k_crc, doc_id, n_shingles, component_id and the component's internal root (null for empty sets) for every row."""
     rows, links = link_classes(docs)
     root = components(links).withColumnRenamed("v", "cls")
     alone = F.when(F.col("cls") == 0, F.lit(None)).otherwise(F.coalesce("root", "cls"))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = F.when(F.col("k_id") != F.lit(-(1 << 63)), F.col("k_id"))
     lowest = cut(rows.filter("root is not null").groupBy("root").agg(F.min(real).alias("component_id")))
     named = rows.join(lowest, "root", "left").withColumn("k_real", real)
-    return named.select("k_id", "k_crc", F.col("k_real").alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), F.col("k_real")).otherwise(F.col("component_id")).alias("component_id"))
+    return named.select("k_id", "k_crc", F.col("k_real").alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), F.col("k_real")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -246,8 +246,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """All columns of one document of each component: the one whose id is the component's."""
-    found = near_duplicates(docs).filter((F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.col("doc_id"))).select("k_id", "k_crc").distinct()
+    """All columns of one row of each component, of those with the component's id; rows with the empty set all stay."""
+    found = near_duplicates(docs)
+    one = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k_id", "k_crc")).alias("k")).select("k.k_id", "k.k_crc")
+    stay = cut(found.join(one, ["k_id", "k_crc"], "left_semi").unionByName(found.filter("root is null")).groupBy("k_id", "k_crc").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("root").isNotNull()).alias("single")))
     k_id, k_crc = row_key(docs)
-    packed = docs.select(k_id, k_crc, F.struct(*docs.columns).alias("_row"))
-    return packed.join(found, ["k_id", "k_crc"], "left_semi").select("_row.*")
+    kept = docs.select(k_id, k_crc, F.struct(*docs.columns).alias("_row")).join(stay, ["k_id", "k_crc"])
+    again = F.col("single") & (F.col("times") > 1)  # repeated rows of one key
+    if stay.filter(again).isEmpty():
+        return kept.select("_row.*")
+    return kept.filter(~again).select("_row.*").unionByName(kept.filter(again).dropDuplicates(["k_id", "k_crc"]).select("_row.*"))
