@@ -12,9 +12,13 @@ Two documents link when 100 * |A and B| >= 75 * |A or B|. The join is exact.
    that only one class has go.
 3. Candidates: classes that share prefix shingles, counted. Sharing c of them
    bounds the overlap by c plus what follows the prefixes, which most pairs
-   with a common passage fail. In groups of more than SMALL classes no pairs are
-   formed: each member meets its neighbour by size only, and after components are
-   known, members of different components meet, so copies never cost a square.
+   with a common passage fail. Infrequent prefix shingles that no other class has
+   bound it too: a class with z of them overlaps any class whose prefix reaches
+   the frequent ones by n - z at most, hence links only to sizes up to
+   (7 * (n - z)) / 3 - n. In groups of more than SMALL classes no pairs are
+   formed: members meet the one with the smallest share z / n (the text that the
+   others were copied from), and after components are known only members of
+   different components that pass the bounds meet, so copies don't cost a square.
 4. The candidates must also share enough prefix shingles under ORDERS further
    orders; what passes all filters is verified on whole sets.
 5. Links between classes give components by alternating stars (_graph).
@@ -30,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import LOWER, SPACE, cut, gram_hash, long_array, map_arrow, mix, small_batches, slices, span_hash, utf8, words
@@ -38,7 +42,7 @@ from ._graph import components
 from .line_dedup import row_key
 
 SHINGLE = 5
-SMALL = 64
+SMALL = 32
 FREQUENT = 200_000
 LOCAL_COUNT = 3  # documents of one map window that make a shingle frequent
 LOCAL_TOKENS = 4_000_000
@@ -102,13 +106,14 @@ def _profile(batches):
         yield frequent()
 
 
+def _among(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    return late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) and len(s) else np.zeros(len(s), bool)
+
+
 def ordered(s: np.ndarray, late: np.ndarray, factor: int = 1) -> np.ndarray:
     """A set in a global order: frequent shingles last, otherwise by hash times an odd factor."""
     key = s * np.uint64(factor)
-    if len(late) and len(s):
-        hot = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-        return s[np.lexsort((key, hot))]
-    return s[np.argsort(key)]
+    return s[np.lexsort((key, _among(s, late)))]
 
 
 def _picked(source: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFrame:
@@ -167,33 +172,46 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = _picked(source, others, others.count(), "left_anti")
 
     def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, cls, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        tokens, cls, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in shingle_sets(batch):
             if len(s):
                 head = ordered(s, late.value)[: prefix_size(len(s))]
+                hot = _among(head, late.value).astype(np.int64)
                 tokens.append(head)
                 cls.append(np.full(len(head), set_class(s)))
-                n.append(np.full(len(head), len(s)))
-        return pa.RecordBatch.from_pydict({"token": long_array(np.concatenate(tokens)), "cls": np.concatenate(cls), "n": np.concatenate(n)})
+                packed.append(hot + 2 * (hot[-1] + 2 * (len(hot) - hot.sum() + (len(s) << 30))))
+        return pa.RecordBatch.from_pydict({"token": long_array(np.concatenate(tokens)), "cls": np.concatenate(cls), "packed": np.concatenate(packed)})
 
-    from pyspark.sql import Window
-
-    by_size = Window.partitionBy("token").orderBy("n", "cls")
     whole = Window.partitionBy("token")
-    held = map_arrow(apart, prefixes, "token long, cls long, n long")
-    held = held.withColumn("df", F.count(F.lit(1)).over(whole)).filter("df > 1").withColumn("prev", F.lag(F.struct("cls", "n")).over(by_size))
-    held = cut(held)
+    held = map_arrow(apart, prefixes, "token long, cls long, packed long")
+    held = cut(held.withColumn("df", F.count(F.lit(1)).over(whole)).filter("df > 1").drop("df"))
+    # hot: a frequent shingle; far: the prefix reaches frequent ones; own: infrequent ones in the prefix; n: the set's size
+    held = held.select("token", "cls", (F.col("packed") % 2 == 1).alias("hot"), (F.shiftright("packed", 1) % 2 == 1).alias("far"), (F.shiftright("packed", 2) % (1 << 30)).alias("own"), F.shiftright("packed", 32).alias("n"))
+    met = held.filter("not hot").groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
+    held = held.join(met, "cls", "left").withColumn("z", F.col("own") - F.coalesce("met", F.lit(0)))
+    held = held.withColumn("most", F.floor((F.col("n") - F.col("z")) * 7 / F.lit(3.0) + F.lit(1e-9)).cast("long") - F.col("n"))
+    held = held.filter(~F.col("hot") | (F.col("most") * 4 >= F.col("n") * 3))  # else too small for any partner here
+    held = held.withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("centre", F.min(F.struct((F.col("z") / F.col("n")).alias("share"), "cls", "n", "most", "far")).over(whole))
+    held = cut(held.filter("df > 1").select("token", "cls", "n", "most", "far", "df", "centre"))
 
     few, many = held.filter(F.col("df") <= SMALL), held.filter(F.col("df") > SMALL)
-    near = lambda small, large: F.col(small) * 4 >= F.col(large) * 3
-    x, y = few.select("token", F.col("cls").alias("a"), F.col("n").alias("na")), few.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    shared = x.join(y, "token").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).filter(near("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    in_many = many.groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
-    for side in ("a", "b"):  # a pair may share as many shingles of large groups as either has
-        shared = shared.join(in_many.select(F.col("cls").alias(side), F.col("m").alias(f"m{side}")), side, "left")
-    enough = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= _need(F.col("na"), F.col("nb")) - F.greatest(_rest(F.col("na")), _rest(F.col("nb")))
-    chain = many.filter("prev is not null and prev.cls <> cls").select(F.col("prev.cls").alias("a"), F.col("cls").alias("b"), F.col("prev.n").alias("na"), F.col("n").alias("nb")).filter(near("na", "nb"))
-    pairs = cut(shared.filter(enough).select("a", "b").unionByName(chain.select("a", "b")).distinct())
+    side = lambda rows, k, *more: rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "most", "far", *more)))
+    pair = [F.col("cls1").alias("a"), F.col("cls2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb")]
+    smaller_first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cls1") < F.col("cls2")))
+    fits = (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3) & (~F.col("far2") | (F.col("n2") <= F.col("most1"))) & (~F.col("far1") | (F.col("n1") <= F.col("most2")))
+    counted_pairs = lambda pairs: pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+
+    def enough(pairs: DataFrame, elsewhere: DataFrame) -> DataFrame:
+        """Pairs that may share enough: c counted ones, and as many more as either has elsewhere."""
+        more = elsewhere.groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
+        for k in ("a", "b"):
+            pairs = pairs.join(more.select(F.col("cls").alias(k), F.col("m").alias(f"m{k}")), k, "left")
+        most = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+        return pairs.filter(most >= _need(F.col("na"), F.col("nb")) - F.greatest(_rest(F.col("na")), _rest(F.col("nb")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    shared = counted_pairs(side(few, 1).join(side(few, 2), "token").filter(smaller_first & fits).select(*pair))
+    star = many.select("token", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "most", "far")), *(F.col(f"centre.{c}").alias(f"{c}2") for c in ("cls", "n", "most", "far"))).filter("cls1 <> cls2").filter(fits)
+    pairs = cut(enough(shared, many).unionByName(star.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b"))).distinct())
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(one, "cls").select("k_id", "k_crc").distinct()
@@ -211,18 +229,12 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return rows, links
 
     # large groups: members of different components meet
-    root = components(links)
-    at = many.select("token", "cls", "n").join(root.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_ = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    at = cut(at.join(open_, "token"))
-    x = at.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = at.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    meet = x.join(y, "token").filter("ra <> rb").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).filter(near("na", "nb"))
-    in_few = few.groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
-    meet = meet.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    for side in ("a", "b"):
-        meet = meet.join(in_few.select(F.col("cls").alias(side), F.col("m").alias(f"m{side}")), side, "left")
-    more = cut(meet.filter(enough).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    root = components(links).withColumnRenamed("v", "cls")
+    at = many.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    split = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    at = cut(at.join(split, "token").select("token", "cls", "n", "most", "far", "root"))
+    meet = counted_pairs(side(at, 1, "root").join(side(at, 2, "root"), "token").filter("root1 <> root2").filter(smaller_first & fits).select(*pair))
+    more = cut(enough(meet, few).join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return rows, links
     return rows, cut(links.unionByName(_verify(more, sets_of(more), late)))
