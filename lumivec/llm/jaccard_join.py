@@ -10,17 +10,19 @@ Two documents link when 100 * |A and B| >= 75 * |A or B|. The join is exact.
    share a shingle among the first p(n) = n - ceil(3n/4) + 1 of each. These
    prefixes of one document per class are dealt out by shingle, and shingles
    that only one class has go.
-3. Candidates: classes that share prefix shingles, counted. Sharing c of them
-   bounds the overlap by c plus what follows the prefixes, which most pairs
-   with a common passage fail. Infrequent prefix shingles that no other class has
-   bound it too: a class with z of them overlaps any class whose prefix reaches
-   the frequent ones by n - z at most, hence links only to sizes up to
-   (7 * (n - z)) / 3 - n. In groups of more than SMALL classes no pairs are
-   formed: members meet the one with the smallest share z / n (the text that the
-   others were copied from), and after components are known only members of
-   different components that pass the bounds meet, so copies don't cost a square.
-4. The candidates must also share enough prefix shingles under ORDERS further
-   orders; what passes all filters is verified on whole sets.
+3. Candidates: the smaller class of a linked pair shares one of its first
+   n - ceil(6n/7) + 1 shingles with the larger one's prefix. Infrequent prefix
+   shingles that no other class has bound a pair too: a class with z of them
+   overlaps any class whose prefix reaches the frequent ones by n - z at most,
+   hence links only to sizes up to (7 * (n - z)) / 3 - n. In groups of more
+   than SMALL classes not all pairs are formed: such groups are gathered by
+   their centre (the class with the smallest z / n, from which others were
+   copied), members meet PIVOTS central ones, and once components are known,
+   only members outside the centre's component meet the members of other
+   components, pair by pair once.
+4. The candidates must share enough prefix shingles under order A and ORDERS
+   further orders (c shared ones bound the overlap by c plus what follows the
+   prefixes); what passes all filters is verified on whole sets.
 5. Links between classes give components by alternating stars (_graph).
 
 Defined results: null and empty texts and texts without words have the empty set,
@@ -43,6 +45,7 @@ from .line_dedup import row_key
 
 SHINGLE = 5
 SMALL = 32
+PIVOTS = 8
 FREQUENT = 200_000
 LOCAL_COUNT = 3  # documents of one map window that make a shingle frequent
 LOCAL_TOKENS = 4_000_000
@@ -121,18 +124,9 @@ def _picked(source: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFr
     return source.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, ["k_id", "k_crc"], how)
 
 
-def _need(nx: Column, ny: Column) -> Column:
-    """Overlap that a link needs."""
-    return F.ceil((nx + ny) * 3 / F.lit(7.0) - F.lit(1e-9))
-
-
-def _rest(n: Column) -> Column:
-    return F.ceil(n * 3 / F.lit(4.0)) - 1  # n - p(n)
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, late) -> DataFrame:
-    """Of the pairs (x, y), those that share enough of every further order's prefixes and whose whole sets link."""
-    factors = [int(k) for k in mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1)]
+    """Of the pairs (x, y), those that share enough of every order's prefixes and whose whole sets link."""
+    factors = [1, *(int(k) for k in mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1))]
 
     def passes(a: np.ndarray, b: np.ndarray) -> bool:
         need = -(-3 * (len(a) + len(b)) // 7)
@@ -179,39 +173,37 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 hot = _among(head, late.value).astype(np.int64)
                 tokens.append(head)
                 cls.append(np.full(len(head), set_class(s)))
-                packed.append(hot + 2 * (hot[-1] + 2 * (len(hot) - hot.sum() + (len(s) << 30))))
+                short = (np.arange(len(head)) < len(s) - (6 * len(s) + 6) // 7 + 1).astype(np.int64)
+                packed.append(hot + 2 * hot[-1] + 4 * short + 8 * (len(hot) - hot.sum()) + (len(s) << 32))
         return pa.RecordBatch.from_pydict({"token": long_array(np.concatenate(tokens)), "cls": np.concatenate(cls), "packed": np.concatenate(packed)})
 
     whole = Window.partitionBy("token")
     held = map_arrow(apart, prefixes, "token long, cls long, packed long")
     held = cut(held.withColumn("df", F.count(F.lit(1)).over(whole)).filter("df > 1").drop("df"))
-    # hot: a frequent shingle; far: the prefix reaches frequent ones; own: infrequent ones in the prefix; n: the set's size
-    held = held.select("token", "cls", (F.col("packed") % 2 == 1).alias("hot"), (F.shiftright("packed", 1) % 2 == 1).alias("far"), (F.shiftright("packed", 2) % (1 << 30)).alias("own"), F.shiftright("packed", 32).alias("n"))
+    # hot: a frequent shingle; far: the prefix reaches frequent ones; short: enough for the smaller of a pair;
+    # own: infrequent shingles in the prefix; n: the set's size
+    bit = lambda k: (F.shiftright("packed", k) % 2 == 1)
+    held = held.select("token", "cls", bit(0).alias("hot"), bit(1).alias("far"), bit(2).alias("short"), (F.shiftright("packed", 3) % (1 << 29)).alias("own"), F.shiftright("packed", 32).alias("n"))
     met = held.filter("not hot").groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
     held = held.join(met, "cls", "left").withColumn("z", F.col("own") - F.coalesce("met", F.lit(0)))
     held = held.withColumn("most", F.floor((F.col("n") - F.col("z")) * 7 / F.lit(3.0) + F.lit(1e-9)).cast("long") - F.col("n"))
     held = held.filter(~F.col("hot") | (F.col("most") * 4 >= F.col("n") * 3))  # else too small for any partner here
-    held = held.withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("centre", F.min(F.struct((F.col("z") / F.col("n")).alias("share"), "cls", "n", "most", "far")).over(whole))
-    held = cut(held.filter("df > 1").select("token", "cls", "n", "most", "far", "df", "centre"))
+    held = held.withColumn("share", F.col("z") / F.col("n")).withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("centre", F.min(F.struct("share", "cls")).over(whole)["cls"])
+    held = cut(held.filter("df > 1").select("token", "cls", "n", "most", "far", "short", "share", "df", "centre"))
 
-    few, many = held.filter(F.col("df") <= SMALL), held.filter(F.col("df") > SMALL)
-    side = lambda rows, k, *more: rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "most", "far", *more)))
-    pair = [F.col("cls1").alias("a"), F.col("cls2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb")]
-    smaller_first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cls1") < F.col("cls2")))
+    few = held.filter(F.col("df") <= SMALL)
+    many = held.filter(F.col("df") > SMALL).groupBy("centre", "cls", "n", "most", "far", "share").agg(F.max("short").alias("short"))
+    side = lambda rows, k, key, *more: rows.select(key, *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "most", "far", *more)))
+    first_smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cls1") < F.col("cls2")))
     fits = (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3) & (~F.col("far2") | (F.col("n2") <= F.col("most1"))) & (~F.col("far1") | (F.col("n1") <= F.col("most2")))
-    counted_pairs = lambda pairs: pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-
-    def enough(pairs: DataFrame, elsewhere: DataFrame) -> DataFrame:
-        """Pairs that may share enough: c counted ones, and as many more as either has elsewhere."""
-        more = elsewhere.groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
-        for k in ("a", "b"):
-            pairs = pairs.join(more.select(F.col("cls").alias(k), F.col("m").alias(f"m{k}")), k, "left")
-        most = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-        return pairs.filter(most >= _need(F.col("na"), F.col("nb")) - F.greatest(_rest(F.col("na")), _rest(F.col("nb")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pair = [F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")]
 
-    shared = counted_pairs(side(few, 1).join(side(few, 2), "token").filter(smaller_first & fits).select(*pair))
-    star = many.select("token", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "most", "far")), *(F.col(f"centre.{c}").alias(f"{c}2") for c in ("cls", "n", "most", "far"))).filter("cls1 <> cls2").filter(fits)
-    pairs = cut(enough(shared, many).unionByName(star.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b"))).distinct())
+    shared = side(few.filter("short"), 1, "token").join(side(few, 2, "token"), "token").filter(first_smaller & fits).select(*pair)
+    members = cut(many)
+    central = [F.min(F.struct(F.floor(F.col("share") * 20), F.xxhash64("cls", F.lit(k)), "cls", "n", "most", "far")) for k in range(PIVOTS)]
+    pivots = members.groupBy("centre").agg(F.array_distinct(F.array(*central)).alias("p")).select("centre", F.explode("p").alias("p")).select("centre", "p.cls", "p.n", "p.most", "p.far")
+    star = side(members, 1, "centre").join(side(pivots, 2, "centre"), "centre").filter("cls1 <> cls2").filter(fits).select(*pair)
+    pairs = cut(shared.unionByName(star).distinct())
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(one, "cls").select("k_id", "k_crc").distinct()
@@ -225,16 +217,17 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return cut(made.dropDuplicates(["cls"]))
 
     links = cut(_verify(pairs, sets_of(pairs), late))
-    if many.isEmpty():
+    if members.isEmpty():
         return rows, links
 
-    # large groups: members of different components meet
+    # large groups: members outside the centre's component meet those of other components
     root = components(links).withColumnRenamed("v", "cls")
-    at = many.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    split = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    at = cut(at.join(split, "token").select("token", "cls", "n", "most", "far", "root"))
-    meet = counted_pairs(side(at, 1, "root").join(side(at, 2, "root"), "token").filter("root1 <> root2").filter(smaller_first & fits).select(*pair))
-    more = cut(enough(meet, few).join(pairs, ["a", "b"], "left_anti"))
+    at = members.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    main = at.filter("cls = centre").select("centre", F.col("root").alias("main"))
+    at = cut(at.join(main, "centre").withColumn("apart", F.col("root") != F.col("main")))
+    meet = side(at.filter("apart"), 1, "centre", "root", "short").join(side(at, 2, "centre", "root", "short", "apart"), "centre")
+    meet = meet.filter("root1 <> root2 and (not apart2 or cls1 < cls2)").filter(fits & F.when(first_smaller, F.col("short1")).otherwise(F.col("short2")))
+    more = cut(meet.select(*pair).distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return rows, links
     return rows, cut(links.unionByName(_verify(more, sets_of(more), late)))
