@@ -198,7 +198,15 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3) & (~F.col("far2") | (F.col("n2") <= F.col("most1"))) & (~F.col("far1") | (F.col("n1") <= F.col("most2")))
     pair = [F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")]
 
-    shared = side(few.filter("short"), 1, "token").join(side(few, 2, "token"), "token").filter(first_smaller & fits).select(*pair)
+    # c prefix shingles of small groups in common, and as many of large ones as either has, bound the overlap
+    met_in = side(few, 1, "token", "short").join(side(few, 2, "token"), "token").filter(first_smaller & fits)
+    shared = met_in.groupBy("cls1", "cls2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("short1").alias("near")).filter("near")
+    in_large = held.filter(F.col("df") > SMALL).groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
+    for k in (1, 2):
+        shared = shared.join(in_large.select(F.col("cls").alias(f"cls{k}"), F.col("m").alias(f"m{k}")), f"cls{k}", "left")
+    most_shared = F.col("c") + F.least(F.coalesce("m1", F.lit(0)), F.coalesce("m2", F.lit(0)))
+    need = F.ceil((F.col("n1") + F.col("n2")) * 3 / F.lit(7.0) - F.lit(1e-9)) - F.greatest(*(F.ceil(F.col(n) * 3 / F.lit(4.0)) - 1 for n in ("n1", "n2")))
+    shared = shared.filter(most_shared >= need).select(*pair)
     members = cut(many)
     central = [F.min(F.struct(F.floor(F.col("share") * 20), F.xxhash64("cls", F.lit(k)), "cls", "n", "most", "far")) for k in range(PIVOTS)]
     pivots = members.groupBy("centre").agg(F.array_distinct(F.array(*central)).alias("p")).select("centre", F.explode("p").alias("p")).select("centre", "p.cls", "p.n", "p.most", "p.far")
@@ -214,7 +222,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_pydict({"cls": pa.array([set_class(v) for v in s], pa.int64()), "s": pa.array([v.tobytes() for v in s], pa.binary())})
 
         made = map_arrow(_picked(source, wanted, wanted.count(), "left_semi"), run, "cls long, s binary")
-        return cut(made.dropDuplicates(["cls"]))
+        return cut(made)
 
     links = cut(_verify(pairs, sets_of(pairs), late))
     if members.isEmpty():
