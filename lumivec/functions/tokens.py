@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,21 +28,41 @@ def words(norm: Column) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, not once for each element of a lambda in f."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def word_ngrams(w: Column, n: int) -> Column:
     if n == 1:
         return w
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), "~"))).otherwise(F.array().cast("array<string>"))
+
+    def grams(v: Column) -> Column:
+        return F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), "~"))).otherwise(_none())
+
+    return _with(w, grams)
 
 
 def _grams(framed: Column, q: int) -> Column:
-    some = F.transform(F.sequence(F.lit(1), F.length(framed) - (q - 1)), lambda i: F.concat(F.lit("q:"), F.substring(framed, i, F.lit(q))))
-    return F.when(F.length(framed) >= q, some).otherwise(F.array().cast("array<string>"))
+    """Substrings of size q. A long text is cut from an array of its characters: substring() counts from the start."""
+    places = F.sequence(F.lit(1), F.length(framed) - (q - 1))
+    short = F.transform(places, lambda i: F.concat(F.lit("q:"), F.substring(framed, i, F.lit(q))))
+    long = _with(F.split(framed, "", -1), lambda c: F.transform(places, lambda i: F.concat(F.lit("q:"), F.array_join(F.slice(c, i, q), ""))))
+    return F.when(F.length(framed) < q, _none()).when(F.length(framed) <= 200, short).otherwise(long)
+
+
+def _each(texts: Column, q: int) -> Column:
+    return F.flatten(F.transform(texts, lambda t: _grams(t, q)))
 
 
 def q_grams_in_words(norm: Column, sizes: Sequence[int]) -> Column:
     """All substrings of `~word~` of each size, special items left out; sizes outer, words inner."""
     framed = F.transform(F.filter(words(norm), lambda w: ~w.startswith("e:")), lambda w: F.concat(F.lit("~"), w, F.lit("~")))
-    return F.concat(*(F.flatten(F.transform(framed, lambda w, q=q: _grams(w, q))) for q in sizes))
+    return _with(framed, lambda ws: F.concat(*(_each(ws, q) for q in sizes)))
 
 
 def runs(norm: Column) -> Column:

@@ -34,6 +34,7 @@ def tokenized(stream: DataFrame, tokens=tk.DEFAULT_TOKENS) -> DataFrame:
 def without_repeats(stream: DataFrame, time_col: str = "ts", window: str = "3 days") -> DataFrame:
     """Without texts whose normalised form came before within the window."""
     signed = normalized(stream).withColumn("signature", F.sha2("norm", 256))
+    signed = signed.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return signed.withWatermark(time_col, window).dropDuplicatesWithinWatermark(["signature"])
 
 
