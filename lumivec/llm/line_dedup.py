@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lines = F.split("_text", "\n", -1)
     n_lines = F.when(F.length("_text") > 0, F.size(lines)).otherwise(0).cast("long")
     kept_runs = F.pandas_udf(_kept_runs, "array<struct<start:int,length:int>>")
-    runs = kept_runs("_places", F.size(lines), F.lit(window))
+    runs = kept_runs("_places", F.coalesce(F.size(lines), F.lit(0)), F.lit(window))
     packed = packed.join(gone, ["k_id", "k_crc"], "left").withColumn("_runs", runs)
     kept = F.flatten(F.transform("_runs", lambda r: F.slice(lines, r["start"], r["length"])))
     n_kept = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["length"])

@@ -126,9 +126,9 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """From rows (doc_id, x, y): sums over all of them, none collected."""
     labelled = labelled.withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(5)))
-    stats = labelled.select(Summarizer.metrics("mean", "std", "count").summary(array_to_vector("x")).alias("s")).select("s.*").first()
-    if not stats["count"]:
+    if labelled.isEmpty():
         return Model(None, None)
+    stats = labelled.select(Summarizer.metrics("mean", "std").summary(array_to_vector("x")).alias("s")).select("s.*").first()
     features = Features(stats["mean"].toArray(), stats["std"].toArray())
 
     def normal(batches):
