@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20  # text bytes handled by one numpy pass
+SLICE_BYTES = 1 << 20  # text bytes handled by one numpy pass
 _U = np.uint64
 
 

@@ -48,7 +48,7 @@ SMALL = 32
 PIVOTS = 8
 FREQUENT = 200_000
 LOCAL_COUNT = 3  # documents of one map window that make a shingle frequent
-LOCAL_TOKENS = 4_000_000
+LOCAL_TOKENS = 2_000_000
 ORDERS = 2
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
 
