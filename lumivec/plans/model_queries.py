@@ -530,7 +530,7 @@ def k10(spark, sf_dir):
     return cu.shuffle(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-@query("k11_size_table", "SELECT source AS country, count(*) FILTER (WHERE doc_id % 5 > 0) AS train, nullif(count(*) FILTER (WHERE doc_id % 5 = 0), 0) AS test FROM documents WHERE lang = 'en' GROUP BY source")
+@query("k11_size_table", "SELECT source AS country, nullif(count(*) FILTER (WHERE doc_id % 5 > 0), 0) AS train, nullif(count(*) FILTER (WHERE doc_id % 5 = 0), 0) AS test FROM documents WHERE lang = 'en' GROUP BY source")
 def k11(spark, sf_dir):
     counts = table(spark, sf_dir, "documents").groupBy("lang", F.when(F.col("doc_id") % 5 > 0, "train").otherwise("test").alias("set"), F.col("source").alias("country")).agg(F.count(F.lit(1)).alias("n"))
     return cu.size_table(counts, "en", ["train", "test"])
