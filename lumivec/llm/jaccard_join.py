@@ -17,9 +17,9 @@ Two documents link when 100 * |A and B| >= 75 * |A or B|. The join is exact.
    hence links only to sizes up to (7 * (n - z)) / 3 - n. In groups of more
    than SMALL classes not all pairs are formed: such groups are gathered by
    their centre (the class with the smallest z / n, from which others were
-   copied), members meet PIVOTS central ones, and once components are known,
-   only members outside the centre's component meet the members of other
-   components, pair by pair once.
+   copied): members meet the centre, those outside its component then meet
+   PIVOTS other central ones, and those still outside meet the members of
+   other components, pair by pair once.
 4. The candidates must share enough prefix shingles under order A and ORDERS
    further orders (c shared ones bound the overlap by c plus what follows the
    prefixes); what passes all filters is verified on whole sets.
@@ -208,9 +208,8 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = F.ceil((F.col("n1") + F.col("n2")) * 3 / F.lit(7.0) - F.lit(1e-9)) - F.greatest(*(F.ceil(F.col(n) * 3 / F.lit(4.0)) - 1 for n in ("n1", "n2")))
     shared = shared.filter(most_shared >= need).select(*pair)
     members = cut(many)
-    central = [F.min(F.struct(F.floor(F.col("share") * 20), F.xxhash64("cls", F.lit(k)), "cls", "n", "most", "far")) for k in range(PIVOTS)]
-    pivots = members.groupBy("centre").agg(F.array_distinct(F.array(*central)).alias("p")).select("centre", F.explode("p").alias("p")).select("centre", "p.cls", "p.n", "p.most", "p.far")
-    star = side(members, 1, "centre").join(side(pivots, 2, "centre"), "centre").filter("cls1 <> cls2").filter(fits).select(*pair)
+    to_centre = members.filter("cls = centre").select("centre", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "most", "far")))
+    star = side(members, 1, "centre").join(to_centre, "centre").filter("cls1 <> cls2").filter(fits).select(*pair)
     pairs = cut(shared.unionByName(star).distinct())
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -228,11 +227,21 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if members.isEmpty():
         return rows, links
 
-    # large groups: members outside the centre's component meet those of other components
-    root = components(links).withColumnRenamed("v", "cls")
-    at = members.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    main = at.filter("cls = centre").select("centre", F.col("root").alias("main"))
-    at = cut(at.join(main, "centre").withColumn("apart", F.col("root") != F.col("main")))
+    def placed(links: DataFrame) -> DataFrame:
+        """The members with their components; apart: not the centre's."""
+        at = members.join(components(links).withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        main = at.filter("cls = centre").select("centre", F.col("root").alias("main"))
+        return cut(at.join(main, "centre").withColumn("apart", F.col("root") != F.col("main")))
+
+    # large groups: members outside the centre's component meet other central ones, then those of other components
+    central = [F.min(F.struct(F.floor(F.col("share") * 20), F.xxhash64("cls", F.lit(k)), "cls", "n", "most", "far")) for k in range(PIVOTS)]
+    pivots = members.groupBy("centre").agg(F.array_distinct(F.array(*central)).alias("p")).select("centre", F.explode("p").alias("p")).select("centre", "p.cls", "p.n", "p.most", "p.far")
+    star = side(placed(links).filter("apart"), 1, "centre").join(side(pivots, 2, "centre"), "centre").filter("cls1 <> cls2").filter(fits).select(*pair)
+    second = cut(star.distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        links = cut(links.unionByName(_verify(second, sets_of(second), late)))
+        pairs = pairs.unionByName(second)
+    at = placed(links)
     meet = side(at.filter("apart"), 1, "centre", "root", "short").join(side(at, 2, "centre", "root", "short", "apart"), "centre")
     meet = meet.filter("root1 <> root2 and (not apart2 or cls1 < cls2)").filter(fits & F.when(first_smaller, F.col("short1")).otherwise(F.col("short2")))
     more = cut(meet.select(*pair).distinct().join(pairs, ["a", "b"], "left_anti"))
