@@ -6,10 +6,13 @@ document's vector bundles (adds) its trigrams; a language's prototype bundles
 the unit vectors of its training documents. A text gets the language of the
 nearest prototype by cosine, and that cosine as its score.
 
-Training reads at most about `fit_rows` labelled rows, chosen by a hash of the
-id (a documented bound for fitting only); every text is predicted whole. One
-pass adds up prototypes inside each partition, and Spark sums them; only
-languages x DIMS numbers reach the driver.
+Training reads about `fit_rows` labelled rows (a documented bound for fitting
+only), shared out by language: a rare language gives all its rows, the others
+an even share of what is left, chosen by a hash of the id, and each the row
+with the least hash at any rate. So every language that labels a text with a
+letter has a prototype at every size. Every text is predicted whole. One pass
+adds up prototypes inside each partition, and Spark sums them; only languages x
+DIMS numbers reach the driver.
 
 Defined results: `und` with score 0 for a text that is null or has no letter,
 and for all texts when nothing can be learned; of equally near prototypes the
@@ -79,14 +82,34 @@ def document_vectors(batch_texts: list[str], dims: int = DIMS):
     return out
 
 
+def shares(counts: dict[str, int], fit_rows: int) -> dict[str, int]:
+    """Rows to read of each language: all of the rare ones, an even share of the rest for the others, one at least."""
+    left, out = fit_rows, {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def fit_sample(train: DataFrame, fit_rows: int) -> DataFrame | None:
+    """About fit_rows of the rows that have a language and a letter, of each language about its share; None without any."""
+    train = train.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 1)
+    counts = {r["lang"]: (r["n"], r["least"]) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least")).collect()}
+    if not counts:
+        return None
+    if sum(n for n, _ in counts.values()) <= fit_rows:
+        return train
+    upto = [(k, max(counts[k][1], (s << 63) // counts[k][0] - 1)) for k, s in shares({k: n for k, (n, _) in counts.items()}, fit_rows).items()]
+    limits = train.sparkSession.createDataFrame(upto, "lang string, upto long")
+    return train.join(F.broadcast(limits), "lang").filter(order <= F.col("upto"))
+
+
 def fit(train: DataFrame, dims: int = DIMS, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes from (doc_id, text, lang); at most about fit_rows rows are read as text."""
-    train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = train.count()
-    if not n:
+    """Languages and their unit prototypes from (doc_id, text, lang); about fit_rows rows are read as text."""
+    train = fit_sample(train, fit_rows)
+    if train is None:
         return [], np.zeros((0, dims), np.float32)
-    share = max(1, -(-n // fit_rows))
-    train = train.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(share)) == 0) if share > 1 else train
 
     def sums(batch: pa.RecordBatch):
         v = document_vectors(texts(batch), dims)

@@ -101,6 +101,20 @@ def test_language_id(docs, rows):
     assert langid.keep_known(docs).columns == docs.columns
 
 
+def test_language_id_learns_rare_languages(spark):
+    r = random.Random(8)
+    text = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(80))
+    fits = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, text("etaoinsh"), "en") for i in fits[:300]] + [(i, text("dlucmfwy"), "xx") for i in fits[300:600]]
+    rows += [(fits[600], "123", "el"), *((i, text("αβγδεζηθ"), "el") for i in fits[601:603]), (fits[603], text("абвгдежз"), "ru")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for fit_rows in (3, 20, 10_000):
+        assert langid.learn(t, fit_rows=fit_rows)[0] == ["el", "en", "ru", "xx"]
+        assert {i for i, x, _ in rows if x != "123"} == {x["doc_id"] for x in langid.keep_known(t, fit_rows=fit_rows).collect()}
+    assert langid.shares({"a": 100, "b": 100, "c": 3}, 43) == {"a": 20, "b": 20, "c": 3}
+    assert langid.fit_sample(t, 100).count() < 160
+
+
 def test_secrets(docs, rows):
     got = by_id(secrets.scan(docs))
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
