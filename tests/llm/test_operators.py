@@ -130,6 +130,28 @@ def test_secrets(docs, rows):
     assert got[19]["n_assign"] == 1 and got[19]["n_access"] == 1 and got[19]["n_hex"] == 1
 
 
+def test_secret_threshold_keeps_recall():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    net, y = secrets.Network(), np.arange(400) % 2 * 1.0
+    net.logit = lambda x: x[:, 0].astype(float)
+    x = np.where(y > 0, r.normal(130, 30, 400), r.normal(110, 30, 400))[:, None] / 30
+    net.calibrate(x, y)  # overlapping scores: the threshold lies far below 0.9
+    assert (net.probability(x[y > 0]) >= net.threshold).mean() >= secrets.RECALL and net.threshold < 0.9
+    assert net.recall >= secrets.RECALL and 0.4 < net.precision < 0.9
+
+
+def test_secret_labels_come_from_all_documents(spark):
+    r = random.Random(2)
+    key = lambda: "".join(r.choices("ABCDEFabcdefghijk0123456789", k=20))
+    rows = [(i, f"mail host{i % 7}.example.com/page-{i:06d} and {key()} end") for i in range(400)] + [(1000 + i, f"token={key()}") for i in range(30)]
+    found = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["y"]: x["count"] for x in found.groupBy("y").count().collect()} == {0: 400, 1: 30}  # no bare key is a negative
+    got = Counter(x["y"] for x in secrets.sample(found, 60))
+    assert got[1] == 30 and 30 < got[0] < 120
+
+
 def test_substrings(docs, rows):
     got = by_id(substring_dedup.remove_repeats(docs))
     n = 200
