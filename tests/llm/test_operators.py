@@ -152,6 +152,22 @@ def test_secret_labels_come_from_all_documents(spark):
     assert got[1] == 30 and 30 < got[0] < 120
 
 
+def test_secrets_in_the_tail_of_long_runs(spark):
+    r = random.Random(6)
+    key = lambda n=32: "".join(r.choices("ABCDEFGHKLMNPabcdefghkmnpq0123456789", k=n))
+    path = lambda: "/".join("".join(r.choices("aeioulnrst", k=7)) for _ in range(14))
+    rows = [(i, f"token = {key()} in {path()}/page-{i:06d} at host{i % 7}.example.com") for i in range(300)]
+    tail = f"{path()}/v={key()}"
+    rows += [(1000, f"see {tail} there"), (1001, f"see {path()} there")]
+    got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1000]["spans"] == f"model:4:{4 + len(tail)}" and got[1001]["n_model"] == 0
+    for run in (key(7), "QwErTyUiOp", "ABCDEFGH", "correcthorsebattery", "horse-battery"):
+        assert secrets.candidates(f"a {run} b") == [(2, 2 + len(run))]
+    assert secrets.candidates("Sentences without anything. Otherwise unremarkable") == []
+    assert secrets.windows(5, 53) == [(5, 53)]
+    assert set(range(5, 205)) == {k for a, b in secrets.windows(5, 205) for k in range(a, b)}
+
+
 def test_substrings(docs, rows):
     got = by_id(substring_dedup.remove_repeats(docs))
     n = 200
