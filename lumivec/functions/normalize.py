@@ -19,8 +19,8 @@ SYMBOLS = ";:,.@\\-\"'/()[]¿?¡!{}<>|"
 PLACEHOLDERS = ("_htag", "_ent", "_num", "_url", "_usr")
 
 _CLASS = "[" + "".join("\\" + c for c in SYMBOLS if c not in "¿¡") + "¿¡]"
-_EMOJI = r"[\x{1F000}-\x{1F3FA}\x{1F400}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B05}-\x{2B55}\x{231A}-\x{23FF}\x{3030}\x{303D}\x{3297}\x{3299}]"
-_EMOJI_MARKS = r"[\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{200D}]"
+EMOJI = r"[\x{1F000}-\x{1F3FA}\x{1F400}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B05}-\x{2B55}\x{231A}-\x{23FF}\x{3030}\x{303D}\x{3297}\x{3299}]"
+EMOJI_MARKS = r"[\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{200D}]"
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,12 @@ def hashtags(c: Column, option: str | None = "group") -> Column:
 
 def entities(c: Column, option: str | None = "group") -> Column:
     """Capitalised words; has to come before lower()."""
-    return masked(c, r"\b[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+\b", option, "_ent")
+    return masked(c, r"(?<![\p{L}\p{N}_])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?![\p{L}\p{N}_])", option, "_ent")
 
 
 def emoticons(c: Column, option: str | None = "delete") -> Column:
     """Delete emojis, or replace each by its class."""
-    return masked(F.regexp_replace(c, _EMOJI_MARKS, "") if option else c, _EMOJI, option, "_emo")
+    return masked(F.regexp_replace(c, EMOJI_MARKS, "") if option else c, EMOJI, option, "_emo")
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -134,7 +134,7 @@ def mark_punctuation(c: Column) -> Column:
 
 def mark_emojis(c: Column) -> Column:
     """Each emoji as a special item, without skin tone and variation selectors."""
-    return F.regexp_replace(F.regexp_replace(c, _EMOJI_MARKS, ""), f"({_EMOJI})", "~e:$1~")
+    return F.regexp_replace(F.regexp_replace(c, EMOJI_MARKS, ""), f"({EMOJI})", "~e:$1~")
 
 
 def mark_placeholders(c: Column) -> Column:

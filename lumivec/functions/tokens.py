@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import spans as sp
+
 # Token lists by default, and the languages written without spaces.
 DEFAULT_TOKENS = (-2, -1, 2, 3, 4)
 UNSPACED_TOKENS = (1, 2, 3)
@@ -28,60 +32,79 @@ def words(norm: Column) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
 
 
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out once, not once for each element of a lambda in f."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
 def word_ngrams(w: Column, n: int) -> Column:
-    if n == 1:
-        return w
-
-    def grams(v: Column) -> Column:
-        return F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), "~"))).otherwise(_none())
-
-    return _with(w, grams)
-
-
-def _grams(framed: Column, q: int) -> Column:
-    """Substrings of size q. A long text is cut from an array of its characters: substring() counts from the start."""
-    places = F.sequence(F.lit(1), F.length(framed) - (q - 1))
-    short = F.transform(places, lambda i: F.concat(F.lit("q:"), F.substring(framed, i, F.lit(q))))
-    long = _with(F.split(framed, "", -1), lambda c: F.transform(places, lambda i: F.concat(F.lit("q:"), F.array_join(F.slice(c, i, q), ""))))
-    return F.when(F.length(framed) < q, _none()).when(F.length(framed) <= 200, short).otherwise(long)
-
-
-def _each(texts: Column, q: int) -> Column:
-    return F.flatten(F.transform(texts, lambda t: _grams(t, q)))
+    """Every n consecutive words of an array, joined by `~`."""
+    none = F.array().cast("array<string>")
+    grams = lambda v: F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), "~"))).otherwise(none)
+    return w if n == 1 else F.transform(F.array(w), grams)[0]  # w is worked out once, not once for each element
+
+
+def _grams(data: np.ndarray, places: np.ndarray, start: np.ndarray, end: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all substrings of q characters of spans, and which span each is of; places: where characters begin."""
+    a, z = np.searchsorted(places, start), np.searchsorted(places, end)
+    count = np.maximum(z - a - q + 1, 0)
+    of = np.repeat(np.arange(len(a)), count)
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + a[of]
+    return places[at], np.append(places, len(data))[at + q], of
+
+
+def _token_arrays(column: pa.Array, ngrams: Sequence[int], sizes: Sequence[int], inside: bool) -> pa.Array:
+    """Tokens of a slice of normalised texts: spans of the texts, q-grams marked, gathered at once."""
+    data, off = sp.utf8(column)
+    ws, we, wr = sp.words(data, off)
+    starts, ends, rows, keys = [], [], [], []
+
+    def add(start, end, row, key):
+        starts.append(start)
+        ends.append(end)
+        rows.append(row)
+        keys.append(np.full(len(start), key) if np.isscalar(key) else key)
+
+    for k, n in enumerate(ngrams):
+        m = max(len(ws) - n + 1, 0)
+        one = wr[:m] == wr[n - 1 :]
+        add(ws[:m][one], we[n - 1 :][one], wr[:m][one], k - len(ngrams))
+    words = sum(len(x) for x in starts)
+    if sizes:
+        places = np.flatnonzero((data & 0xC0) != 0x80)
+        at = np.minimum(ws + 1, max(len(data) - 1, 0))
+        plain = ~((data[ws] == ord("e")) & (data[at] == ord(":")) & (we - ws > 1)) if len(ws) else np.zeros(0, bool)
+        fs, fe, fr = ws[plain], we[plain], wr[plain]
+        if not inside and len(fs):  # runs of words that no special item parts
+            head = np.concatenate(([True], (fs[1:] != fe[:-1] + 1) | (fr[1:] != fr[:-1])))
+            fs, fe, fr = fs[head], fe[np.append(np.flatnonzero(head)[1:], len(head)) - 1], fr[head]
+        for k, q in enumerate(sizes):
+            a, z, of = _grams(data, places, fs - 1, fe + 1, q)
+            add(a, z, fr[of], k if inside else of * len(sizes) + k)
+    start, end, row, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, rows, keys))
+    order = np.lexsort((key, row))
+    values = sp.gather(data, start[order], end[order], (np.arange(len(start)) >= words)[order], b"q:")
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(off))), pa.int32()), values)
+
+
+def _by_arrow(norm: Column, ngrams: Sequence[int], sizes: Sequence[int], inside: bool) -> Column:
+    def run(column: pa.Array) -> pa.Array:
+        found = [_token_arrays(part, ngrams, sizes, inside) for part in sp.slices(column)]
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(norm)
 
 
 def q_grams_in_words(norm: Column, sizes: Sequence[int]) -> Column:
     """All substrings of `~word~` of each size, special items left out; sizes outer, words inner."""
-    framed = F.transform(F.filter(words(norm), lambda w: ~w.startswith("e:")), lambda w: F.concat(F.lit("~"), w, F.lit("~")))
-    return _with(framed, lambda ws: F.concat(*(_each(ws, q) for q in sizes)))
-
-
-def runs(norm: Column) -> Column:
-    """Words between special items, joined by `~`."""
-    cut = F.split(F.regexp_replace(norm, "~(?:e:[^~]*~)+", "\u0001"), "\u0001", -1)
-    return F.filter(F.transform(cut, lambda x: F.trim(x, F.lit("~"))), lambda x: x != "")
+    return _by_arrow(norm, [], sizes, True)
 
 
 def q_grams_across(norm: Column, sizes: Sequence[int]) -> Column:
-    """Substrings over whole runs of words; runs outer, sizes inner."""
-    framed = F.transform(runs(norm), lambda r: F.concat(F.lit("~"), r, F.lit("~")))
-    return F.flatten(F.transform(framed, lambda r: F.concat(*(_grams(r, q) for q in sizes))))
+    """Substrings over whole runs of words between special items; runs outer, sizes inner."""
+    return _by_arrow(norm, [], sizes, False)
 
 
 def tokenize(norm: Column, tokens: Sequence[int] = DEFAULT_TOKENS, q_grams_words: bool = True) -> Column:
-    """Word n-grams, then q-grams, duplicates kept."""
-    w = words(norm)
-    parts = [word_ngrams(w, -n) for n in tokens if n < 0]
-    sizes = [q for q in tokens if q > 0]
-    if sizes:
-        parts.append((q_grams_in_words if q_grams_words else q_grams_across)(norm, sizes))
-    return F.concat(*parts) if parts else F.array().cast("array<string>")
+    """Word n-grams, then q-grams, duplicates kept; null is an empty text.
+
+    Every token is a span of the normalised text, so numpy finds the spans of all
+    kinds at once and gathers their bytes; words alone stay a built-in expression.
+    """
+    ngrams, sizes = [-n for n in tokens if n < 0], [q for q in tokens if q > 0]
+    return words(F.coalesce(norm, F.lit("~"))) if ngrams == [1] and not sizes else _by_arrow(norm, ngrams, sizes, q_grams_words)

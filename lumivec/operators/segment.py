@@ -1,17 +1,19 @@
 """Vocabulary-driven segmentation of normalised text: greedy longest matches.
 
-The vocabulary (bounded by its k) goes to every task as sets of surfaces and
-their prefixes; texts are segmented in Arrow batches without a shuffle.
+The vocabulary (at most MAX_SURFACES entries, else an error) goes to every task;
+texts are segmented in Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vocabulary as voc
 
+MAX_SURFACES = 1 << 18
+
 
 def surfaces(vocabulary: DataFrame) -> DataFrame:
     """surface, token: what each entry looks like in normalised text.
@@ -28,7 +30,18 @@ def surfaces(vocabulary: DataFrame) -> DataFrame:
     return t.unionByName(special.join(t.filter(F.col("surface") == "~e:").select("surface"), "surface", "left_anti"))
 
 
-def spans(text: str, known, prefixes) -> list[tuple[int, int]]:
+def tree(known) -> dict:
+    """Surfaces by their characters; the key "" marks the end of one."""
+    root: dict = {}
+    for surface in known:
+        node = root
+        for c in surface:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    return root
+
+
+def spans(text: str, root: dict) -> list[tuple[int, int]]:
     """Start and end of every segment.
 
     From a start, walk as long as the text so far is a prefix, and remember the
@@ -40,10 +53,10 @@ def spans(text: str, known, prefixes) -> list[tuple[int, int]]:
     """
     out, start, n = [], 0, len(text)
     while start < n:
-        at, end = start, 0
-        while at < n and text[start : at + 1] in prefixes:
+        at, end, node = start, 0, root
+        while at < n and (node := node.get(text[at])):
             at += 1
-            if text[start:at] in known:
+            if "" in node:
                 end = at
         if end:
             out.append((start, end))
@@ -57,18 +70,29 @@ def spans(text: str, known, prefixes) -> list[tuple[int, int]]:
     return out
 
 
+class _Known:
+    """Surfaces and their tokens; a worker builds the tree once for itself."""
+
+    def __init__(self, tokens: dict[str, str]):
+        self.tokens, self.root = tokens, None
+
+    def segments(self, text: str | None, names: bool) -> list[str]:
+        self.root = self.root or tree(self.tokens)
+        found = [text[a:b] for a, b in spans(text or "", self.root)]
+        return [self.tokens.get(s, s) for s in found] if names else found
+
+
 def segmenter(table: DataFrame, names: bool = True):
-    """A function from normalised text (Column) to tokens, for a surface table of bounded size."""
-    rows = table.collect()
-    known = {r["surface"]: r["token"] for r in rows}
-    shared = table.sparkSession.sparkContext.broadcast((known, {s[:i] for s in known for i in range(1, len(s) + 1)}))
+    """A function from normalised text (Column) to tokens, for a surface table of at most MAX_SURFACES rows."""
+    rows = table.limit(MAX_SURFACES + 1).collect()
+    if len(rows) > MAX_SURFACES:
+        raise ValueError(f"a vocabulary for segmentation has at most {MAX_SURFACES} entries: keep the most frequent (top_k)")
+    shared = table.sparkSession.sparkContext.broadcast(_Known({r["surface"]: r["token"] for r in rows}))
 
-    def run(texts: pd.Series) -> pd.Series:
-        known, prefixes = shared.value
-        return texts.map(lambda t: [known.get(t[a:b], t[a:b]) if names else t[a:b] for a, b in spans(t or "", known, prefixes)])
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.segments(t, names) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    udf = F.pandas_udf(run, "array<string>")
-    return lambda norm: udf(norm)
+    return lambda norm: F.arrow_udf(run, "array<string>")(norm)
 
 
 def segment(docs: DataFrame, norm: Column, vocabulary: DataFrame) -> DataFrame:

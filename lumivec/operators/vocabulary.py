@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import numbered
+
 
 def document_frequency(docs: DataFrame, tokens: Column) -> DataFrame:
     """token, df: in how many documents each token occurs; partial counts before the only shuffle."""
@@ -25,17 +27,9 @@ def at_least(df_table: DataFrame, minimum: int) -> DataFrame:
 
 
 def with_ids(kept: DataFrame, by: str = "token") -> DataFrame:
-    """token_id: position in token order, or by falling frequency.
-
-    A range sort numbers rows inside its partitions; the partitions' sizes (one
-    row each) shift the numbers, so no task sees the whole vocabulary.
-    """
+    """token_id: position in token order, or by falling frequency."""
     order = [F.col("token")] if by == "token" else [F.desc("df"), F.col("token")]
-    placed = kept.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)).persist()
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.withColumn("_shift", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    numbered = placed.join(F.broadcast(shift), "_p")
-    return numbered.withColumn("token_id", (F.col("_shift") + F.col("_m") % (1 << 33)).cast("int")).drop("_m", "_p", "_shift")
+    return numbered(kept, order, "token_id").withColumn("token_id", F.col("token_id").cast("int"))
 
 
 def with_idf(vocabulary: DataFrame, n_docs: DataFrame) -> DataFrame:

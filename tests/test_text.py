@@ -1,11 +1,15 @@
 """Normalisation, tokens and segmentation on literals."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumivec.functions import normalize as nz
 from lumivec.functions import tokens as tk
 from lumivec.operators import segment as sg
+from lumivec.operators import vocabulary as voc
 
 
 def value(spark, text, f):
@@ -15,8 +19,8 @@ def value(spark, text, f):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("e s💁🏿 🤣🤣na", "~e~s~e:💁~e:🤣~e:🤣~na~"),
-        ("es💁🏿.🤣,🤣 XXX", "~es~e:💁~e:.~e:🤣~e:,~e:🤣~xxx~"),
+        ("u v🙋🏽 🎉🎉lo", "~u~v~e:🙋~e:🎉~e:🎉~lo~"),
+        ("un🙋🏽!🎉;🎉 ABc", "~un~e:🙋~e:!~e:🎉~e:;~e:🎉~abc~"),
         ("", "~"),
         (None, "~"),
         ("Ñandú @ana https://a.b/c", "~nandu~e:_usr~e:_url~"),
@@ -40,9 +44,11 @@ def test_tokens(spark):
     def tokens(text, sizes, inside=True):
         return value(spark, text, lambda c: tk.tokenize(nz.normalize(c), sizes, inside))
 
-    assert tokens("hola💁🏿 🤣dios", [-1, 1]) == "hola e:💁 e:🤣 dios q:~ q:h q:o q:l q:a q:~ q:~ q:d q:i q:o q:s q:~".split()
-    want = "q:~buenos q:buenos~ q:~dia~co q:dia~col q:ia~cole q:a~coleg q:~colega q:colegas q:olegas~".split()
-    assert tokens("buenos💁🏿dia colegas _url _usr", [7], False) == want
+    assert tokens("casa🙋🏽 🎉mar", [-1, 1]) == "casa e:🙋 e:🎉 mar q:~ q:c q:a q:s q:a q:~ q:~ q:m q:a q:r q:~".split()
+    want = "q:~verde q:verde~ q:~una~c q:una~ca q:na~cas q:a~casa q:~casa~".split()
+    assert tokens("verde🙋🏽una casa _num _usr", [6], False) == want
+    assert tokens("año ñu", [-2, 2]) == ["ano~nu", "q:~a", "q:an", "q:no", "q:o~", "q:~n", "q:nu", "q:u~"]
+    assert tokens("ab cd", [-1, -3]) == ["ab", "cd"]
     assert tokens("", [-1, -2, 2]) == []
     long = "x" * 300
     assert tokens(long, [4]) == ["q:" + f"~{long}~"[i : i + 4] for i in range(299)]
@@ -59,20 +65,62 @@ def segments(spark, text, vocabulary):
 
 
 def test_segments(spark):
-    base = ["buenos", "dias", "tengan", "e:.", "e:?", "e:,", "e:😂"]
-    assert segments(spark, "buenos dias.?, . 😂tengan", base) == "buenos dias e:. e:? e:, e:. e:😂 tengan".split()
-    assert segments(spark, "buenos dias .?,", [*base, "buenos~dias", "e:.~e:?"]) == ["buenos~dias", "e:.~e:?", "e:,"]
+    base = ["verde", "casa", "grande", "e:.", "e:?", "e:,", "e:🎉"]
+    assert segments(spark, "verde casa?., , 🎉grande", base) == "verde casa e:? e:. e:, e:, e:🎉 grande".split()
+    assert segments(spark, "verde casa ?.,", [*base, "verde~casa", "e:?~e:."]) == ["verde~casa", "e:?~e:.", "e:,"]
     assert segments(spark, None, base) == []
 
 
 def test_segment_rules():
-    known = {"~ab~", "~ab~cdef", "cd"}
-    prefixes = {s[:i] for s in known for i in range(1, len(s) + 1)}
-    assert sg.spans("~ab~cd", known, prefixes) == [(0, 4)]  # a match at the end of a walk ends the text
-    known = {"abcd", "b"}
-    prefixes = {s[:i] for s in known for i in range(1, len(s) + 1)}
-    assert sg.spans("abcb", known, prefixes) == [(3, 4)]  # walked-over characters are skipped
-    assert sg.spans("", known, prefixes) == []
+    assert sg.spans("~ab~cd", sg.tree({"~ab~", "~ab~cdef", "cd"})) == [(0, 4)]  # a match at the end of a walk ends the text
+    assert sg.spans("abcb", sg.tree({"abcd", "b"})) == [(3, 4)]  # walked-over characters are skipped
+    assert sg.spans("", sg.tree({"abcd", "b"})) == []
+
+
+def slow_spans(text, known):
+    """The rules of segmentation, one at a time, over all prefixes as strings."""
+    prefixes = {k[:n] for k in known for n in range(1, len(k) + 1)}
+    out, start = [], 0
+    while start < len(text):
+        longest = max((n for n in range(len(text) - start + 1) if n == 0 or all(text[start : start + m] in prefixes for m in range(1, n + 1))), default=0)
+        match = max((n for n in range(1, longest + 1) if text[start : start + n] in known), default=0)
+        if match:
+            out.append((start, start + match))
+        if start + longest == len(text):
+            break
+        step = match or longest
+        if step == 0:
+            start += 1
+        elif step >= 2 and text[start + step - 1] == "~":
+            start += step - 1
+        else:
+            start += step
+    return out
+
+
+def test_segments_equal_the_rules(spark):
+    r = random.Random(5)
+    for _ in range(300):
+        known = {"".join(r.choices("ab~", k=r.randint(1, 5))) for _ in range(r.randint(1, 8))}
+        text = "".join(r.choices("ab~", k=r.randint(0, 30)))
+        assert sg.spans(text, sg.tree(known)) == slow_spans(text, known)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("norm", nz.normalize(F.col("text"))).filter(F.length("norm") < 1500).select("doc_id", "norm")
+    first = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), 300)
+    table = {x["surface"]: x["token"] for x in sg.surfaces(first).collect()}
+    rows, counts = docs.collect(), Counter()
+    got = {x["doc_id"]: x["tokens"] for x in sg.segment(docs, F.col("norm"), first).collect()}
+    for x in rows:
+        want = [table[x["norm"][a:b]] for a, b in slow_spans(x["norm"], table)]
+        assert got[x["doc_id"]] == want
+        counts.update(set(want))
+    second = sg.second_vocabulary(docs, F.col("norm"), first, 50)
+    assert [(x["token"], x["df"]) for x in second.orderBy("token_id").collect()] == sorted(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50])
+
+
+def test_vocabulary_for_segments_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sg, "MAX_SURFACES", 2)
+    with pytest.raises(ValueError, match="at most 2"):
+        sg.segmenter(sg.surfaces(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "token string, df long")))
 
 
 def test_surfaces(spark):
