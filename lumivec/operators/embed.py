@@ -23,31 +23,59 @@ def encode(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.join(weights, "token_id").select("doc_id", "token_id", "label", (F.col("w") * F.col("value")).alias("value"))
 
 
+def dense(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """token_id, row: a token's weights for all labels; and one row of names (ascending) and norms in the same order."""
+    labels = weights.groupBy("label").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("norm"))
+    names = labels.agg(F.array_sort(F.collect_list(F.struct("label", "norm"))).alias("x")).select(F.col("x.label").alias("names"), F.col("x.norm").alias("norms"))
+    wide = weights.groupBy("token_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("w").cast("double").alias("w")))).alias("m"))
+    rows = wide.crossJoin(F.broadcast(names.select("names")))  # one row
+    return rows.select("token_id", F.transform("names", lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("row")), names
+
+
+def long_form(vectors: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """keys, label, value of rows (keys, v), v in the order of names."""
+    pairs = vectors.crossJoin(F.broadcast(names.select("names"))).select(*keys, F.explode(F.arrays_zip("names", "v")).alias("x"))  # one row of names
+    return pairs.select(*keys, F.col("x.names").alias("label"), F.col("x.v").alias("value"))
+
+
 def encode_occurrences(occurrences: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
     """As encode(), for every occurrence (doc_id, pos, token_id), the value shared by a token's occurrences."""
+    return long_form(*occurrence_vectors(occurrences, features, weights), "doc_id", "pos", "token_id")
+
+
+def occurrence_vectors(occurrences: DataFrame, features: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, pos, token_id, v: one array of all labels for each occurrence; and the names."""
+    rows, names = dense(weights)
     share = features.select("doc_id", "token_id", (F.col("value") / F.col("n")).alias("share"))
-    return occurrences.join(share, ["doc_id", "token_id"]).join(weights, "token_id").select("doc_id", "pos", "token_id", "label", (F.col("w") * F.col("share")).alias("value"))
+    found = occurrences.join(share, ["doc_id", "token_id"]).join(rows, "token_id")
+    return found.select("doc_id", "pos", "token_id", F.transform("row", lambda w: w * F.col("share")).alias("v")), names
+
+
+def vectors(docs: DataFrame, features: DataFrame, weights: DataFrame, intercepts: DataFrame | None = None, distance: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, v: one array of all labels for each document (see transform()); and the names."""
+    rows, names = dense(weights)
+    found = features.join(rows, "token_id", "left").crossJoin(F.broadcast(names.select(F.size("names").alias("k"))))  # one row
+    row = array_to_vector(F.coalesce("row", F.expr("array_repeat(0D, k)")))
+    sums = found.groupBy("doc_id").agg(vector_to_array(Summarizer.sum(row, F.col("value"))).alias("v"))
+    out = docs.select("doc_id").join(sums, "doc_id", "left").crossJoin(F.broadcast(names))  # one row
+    v = F.coalesce("v", F.transform("names", lambda k: F.lit(1.0)))
+    if intercepts is not None:
+        given = intercepts.agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("intercept").cast("double")))).alias("b"))
+        out = out.crossJoin(F.broadcast(given))  # one row
+        v = F.zip_with(v, F.transform("names", lambda k: F.coalesce(F.try_element_at("b", k), F.lit(0.0))), lambda x, b: x + b)
+    if distance:
+        v = F.zip_with(v, "norms", F.try_divide)
+    return out.select("doc_id", v.alias("v")), names
 
 
 def transform(docs: DataFrame, features: DataFrame, weights: DataFrame, intercepts: DataFrame | None = None, distance: bool = False) -> DataFrame:
     """doc_id, label, value: the document vectors.
 
-    A document without a known token is a vector of ones. The intercept (label,
+    A document without a known token is a vector of ones; a token without weights counts 0. The intercept (label,
     intercept) is added to all documents; a distance divides by the norm of the
     label's weights (null where that is 0).
     """
-    labels = weights.groupBy("label").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    if intercepts is not None:
-        labels = labels.join(intercepts, "label", "left")
-    wide = weights.groupBy("token_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("row"))
-    names = labels.agg(F.array_sort(F.collect_list("label")).alias("names"))  # one row of label names
-    dense = wide.crossJoin(F.broadcast(names)).select("token_id", F.transform("names", lambda k: F.coalesce(F.try_element_at("row", k), F.lit(0.0)).cast("double")).alias("row"))
-    sums = features.join(dense, "token_id").groupBy("doc_id").agg(vector_to_array(Summarizer.sum(array_to_vector("row"), F.col("value"))).alias("v"))
-    vectors = sums.crossJoin(F.broadcast(names)).select("doc_id", F.explode(F.arrays_zip("names", "v")).alias("x")).select("doc_id", F.col("x.names").alias("label"), F.col("x.v").alias("v"))
-    out = docs.select("doc_id").join(features.select("doc_id").distinct(), "doc_id", "left_anti").crossJoin(F.broadcast(labels.select("label"))).select("doc_id", "label", F.lit(1.0).alias("v"))
-    out = vectors.unionByName(out).join(F.broadcast(labels), "label")
-    value = F.col("v") + (F.coalesce("intercept", F.lit(0.0)) if intercepts is not None else F.lit(0.0))
-    return out.select("doc_id", "label", (F.try_divide(value, F.col("_norm")) if distance else value).alias("value"))
+    return long_form(*vectors(docs, features, weights, intercepts, distance), "doc_id")
 
 
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -59,6 +87,14 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("label", "token_id", F.when(shared, (w1 + w2) / 2).otherwise(w1 + w2).alias("w"))
 
 
+def add(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Weights of two model tables (label array, intercept, coef) merged: refused with intercepts or a two-class model."""
+    for models in (first, second):
+        if not models.filter(F.col("intercept").isNotNull() | (F.size("label") != 1)).isEmpty():
+            raise ValueError("models with intercepts or of two classes can't be added")
+    return merge(weights_from_models(first), weights_from_models(second))
+
+
 def unit_columns(weights: DataFrame) -> DataFrame:
     """Each label's weights at unit length; a zero column stays."""
     norm = F.sqrt(F.sum(F.col("w").cast("double") * F.col("w")).over(Window.partitionBy("label")))
@@ -90,9 +126,11 @@ def prune(weights: DataFrame, share: float = 0.95) -> DataFrame:
 
 def embed_tokens(occurrences: DataFrame, docs: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, label, value: plain sums of token vectors at unit length; ones without a known token."""
-    sums = occurrences.join(weights, "token_id").groupBy("doc_id", "label").agg(F.sum(F.col("w").cast("double")).alias("v"))
-    none = docs.select("doc_id").join(sums.select("doc_id").distinct(), "doc_id", "left_anti").crossJoin(F.broadcast(weights.select("label").distinct())).withColumn("v", F.lit(1.0))
-    return unit_rows(sums.unionByName(none.select("doc_id", "label", "v")).withColumnRenamed("v", "value"))
+    counts = occurrences.groupBy("doc_id", "token_id").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    found, names = vectors(docs, counts, weights)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = found.withColumn("n", norm).select("doc_id", F.transform("v", lambda x: x / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n"))).alias("v"))
+    return long_form(unit, names, "doc_id")
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .segment import segmenter, surfaces
+
 
 def self_labels(tokens: Column) -> Column:
     """The sorted distinct tokens of a document under the keyword vocabulary."""
@@ -23,10 +25,9 @@ def label(docs: DataFrame, tokens: Column, klass: Column | None = None, self_sup
     return docs.withColumn("labels", chosen).filter(F.size("labels") > 0)
 
 
-def keyword_tokens(tokens: Column, keywords: DataFrame) -> Column:
-    """Tokens that are keywords; the keyword list is a bounded table and becomes a literal."""
-    words = [r["token"] for r in keywords.select("token").limit(1 << 17).collect()]
-    return F.array_intersect(F.array_distinct(tokens), F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"))
+def from_segments(docs: DataFrame, norm: Column, keywords: DataFrame, klass: Column | None = None, self_supervised: bool = True) -> DataFrame:
+    """Adds labels: the segments of the text under the keyword vocabulary, or the given class (see label())."""
+    return label(docs, segmenter(surfaces(keywords))(norm), klass, self_supervised)
 
 
 def label_frequency(labelled: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import numbered
+
 
 def corpus_order(seed: int | None = None) -> list[Column | str]:
     """The order that `first` refers to: a fixed shuffle, or doc_id for reproducible reports."""
@@ -17,26 +19,50 @@ def caps(frequency: DataFrame, max_pos: int, min_neg: int) -> DataFrame:
     return frequency.withColumn("n_pos", n_pos).withColumn("n_neg", F.greatest(n_pos, F.lit(min_neg).cast("long")))
 
 
-def positives(labelled: DataFrame, limits: DataFrame, order: list[Column]) -> DataFrame:
-    """The first n_pos documents of each label."""
-    each = labelled.select("doc_id", F.explode("labels").alias("label")).join(limits.select("label", "n_pos"), "label")
+def positives(labelled: DataFrame, limits: DataFrame, order: list[Column], max_pos: int | None = None) -> DataFrame:
+    """The first n_pos documents of each label; with max_pos, which no n_pos passes, Spark cuts groups before the shuffle."""
+    each = labelled.select("doc_id", F.explode("labels").alias("label"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    return each.withColumn("r", rank).filter("r <= n_pos").select("label", "doc_id", F.lit(1).alias("y"))
+    ranked = each.withColumn("r", rank)
+    ranked = ranked if max_pos is None else ranked.filter(F.col("r") <= max_pos)
+    return ranked.join(limits.select("label", "n_pos"), "label").filter("r <= n_pos").select("label", "doc_id", F.lit(1).alias("y"))
 
 
-def negatives(labelled: DataFrame, limits: DataFrame, order: list[Column]) -> DataFrame:
-    """The first n_neg documents without each label.
+BLOCK = 1024
+
 
-    They lie within the first n_neg + freq documents, so only the longest such
-    prefix is numbered, by a top-k rather than a sort of the corpus.
+def first_without(wanted: DataFrame, has: DataFrame, by: list[str]) -> DataFrame:
+    """by, pos: for each row (by, q, size) the first q positions of 0 .. size - 1 that are not in has (by, pos).
+
+    These lie within the first q + j positions, j of the taken ones having less
+    than q free ones before them. j is counted by blocks of positions, so that
+    only one block of each group is looked at row by row.
     """
-    bound = limits.agg(F.max(F.col("n_neg") + F.col("freq")).alias("b")).first()["b"] or 0
-    prefix = labelled.select("doc_id").orderBy(*order).limit(int(bound)).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
-    wanted = prefix.join(F.broadcast(limits.select("label", "freq", "n_neg")), F.col("pos") <= F.col("n_neg") + F.col("freq"))
-    has = labelled.select("doc_id", F.explode("labels").alias("label"))
-    free = wanted.join(has, ["doc_id", "label"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("pos"))
-    return free.withColumn("r", rank).filter("r <= n_neg").select("label", "doc_id", F.lit(-1).alias("y"))
+    near = has.join(wanted, by).filter(F.col("pos") < F.col("size"))
+    blocks = near.groupBy(*by, "q", F.expr(f"pos div {BLOCK}").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.partitionBy(*by).orderBy("b")) - F.col("k")
+    blocks = blocks.withColumn("before", before)
+    ends = (F.col("b") + 1) * BLOCK - F.col("before") - F.col("k")
+    whole = blocks.filter(ends < F.col("q")).groupBy(*by).agg(F.sum("k").alias("j"))
+    split = blocks.filter((ends >= F.col("q")) & (F.col("b") * BLOCK - F.col("before") < F.col("q"))).select(*by, "b", "before")
+    part = near.withColumn("b", F.expr(f"pos div {BLOCK}")).join(split, [*by, "b"])
+    free = F.col("pos") - F.col("before") - F.row_number().over(Window.partitionBy(*by, "b").orderBy("pos")) + 1
+    part = part.withColumn("free", free).filter("free < q").groupBy(*by).agg(F.count(F.lit(1)).alias("j"))
+    taken = whole.unionByName(part).groupBy(*by).agg(F.sum("j").alias("j"))
+    upto = wanted.filter("q > 0 and size > 0").join(taken, by, "left").withColumn("n", F.least(F.col("q") + F.coalesce("j", F.lit(0)), F.col("size")))
+    runs = upto.select(*by, "n", F.explode(F.expr("sequence(0L, n - 1, 4096L)")).alias("s"))
+    places = runs.select(*by, F.explode(F.expr("sequence(s, least(s + 4095, n - 1))")).alias("pos"))
+    return places.join(has.select(*by, "pos"), [*by, "pos"], "left_anti")
+
+
+def negatives(labelled: DataFrame, limits: DataFrame, order: list[Column]) -> DataFrame:
+    """The first n_neg documents without each label."""
+    placed = numbered(labelled.select("doc_id", "labels"), order)
+    size = placed.agg(F.count(F.lit(1)).alias("size"))
+    wanted = limits.select("label", F.col("n_neg").alias("q")).crossJoin(F.broadcast(size))  # one row
+    has = placed.select("pos", F.explode("labels").alias("label"))
+    free = first_without(wanted, has, ["label"])
+    return free.join(placed.select("pos", "doc_id"), "pos").select("label", "doc_id", F.lit(-1).alias("y"))
 
 
 def uniform_quotas(strata: DataFrame, total: Column | int, group: list[str] | None = None) -> DataFrame:
@@ -63,17 +89,18 @@ def stratified_negatives(labelled: DataFrame, rarest: DataFrame, rarest_freq: Da
     """Negatives spread over the documents' rarest labels; a stratum that runs short is not refilled.
 
     Quotas come from frequencies; within a stratum the first documents without
-    the label are taken. A stratum's first quota + freq documents hold them all,
-    so only so many are numbered for each label.
+    the label are taken. Every label has a quota in every stratum until n_neg is
+    used up, so the table of quotas is about as large as the result.
     """
-    strata = limits.select("label", "n_neg", "freq").crossJoin(F.broadcast(rarest_freq.select(F.col("rarest").alias("stratum"), F.col("freq").alias("available")))).filter("label <> stratum")
-    quotas = uniform_quotas(strata, F.col("n_neg"), ["label"]).select("label", "stratum", "quota", "freq").filter("quota > 0")
-    placed = rarest.withColumn("pos", F.row_number().over(Window.partitionBy("rarest").orderBy(*order)))
-    wanted = placed.join(quotas, (placed["rarest"] == quotas["stratum"]) & (F.col("pos") <= F.col("quota") + F.col("freq")))
-    has = labelled.select("doc_id", F.explode("labels").alias("label"))
-    free = wanted.join(has, ["doc_id", "label"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("label", "stratum").orderBy("pos"))
-    return free.withColumn("r", rank).filter("r <= quota").select("label", "doc_id", F.lit(-1).alias("y"))
+    strata = limits.select("label", "n_neg").crossJoin(rarest_freq.select(F.col("rarest").alias("stratum"), F.col("freq").alias("available"))).filter("label <> stratum")
+    quotas = uniform_quotas(strata, F.col("n_neg"), ["label"]).filter("quota > 0")
+    placed = numbered(labelled.select("doc_id", "labels").join(rarest.withColumnRenamed("rarest", "stratum"), "doc_id"), ["stratum", *order], "at")
+    starts = placed.groupBy("stratum").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("size"))
+    placed = placed.join(starts, "stratum").withColumn("pos", F.col("at") - F.col("start"))
+    wanted = quotas.select("label", "stratum", F.col("quota").alias("q")).join(starts.drop("start"), "stratum")
+    has = placed.select("stratum", "pos", F.explode("labels").alias("label"))
+    free = first_without(wanted, has, ["label", "stratum"])
+    return free.join(placed.select("stratum", "pos", "doc_id"), ["stratum", "pos"]).select("label", "doc_id", F.lit(-1).alias("y"))
 
 
 def hide_label(tokens: Column, label: Column) -> Column:
@@ -81,6 +108,22 @@ def hide_label(tokens: Column, label: Column) -> Column:
     return F.array_remove(tokens, label)
 
 
+def hide_target(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """As hide_label(), on training rows (label, y, ids, values): positives lose their label's feature.
+
+    The others grow to unit length again; a row without any other feature stays
+    empty. Negatives keep what they have.
+    """
+    target = vocabulary.select(F.col("token").alias("label"), F.col("token_id").alias("_t"))
+    hide = (F.col("y") == 1) & F.coalesce(F.array_contains("ids", F.col("_t")), F.lit(False))
+    rows = rows.join(target, "label", "left").withColumn("_h", hide).withColumn("_x", F.arrays_zip("ids", "values"))
+    rows = rows.withColumn("_x", F.when(F.col("_h"), F.filter("_x", lambda x: x["ids"] != F.col("_t"))).otherwise(F.col("_x")))
+    norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["values"] * x["values"]))
+    rows = rows.withColumn("_n", F.when(F.col("_h"), norm).otherwise(1.0)).withColumn("ids", F.col("_x.ids"))
+    scaled = F.transform("_x", lambda x: x["values"] / F.col("_n"))
+    return rows.withColumn("values", F.when(F.col("_n") > 0, scaled).otherwise(F.col("_x.values"))).drop("_t", "_h", "_x", "_n")
+
+
 def training_set(pos: DataFrame, neg: DataFrame) -> DataFrame:
     """label, doc_id, y of the labels that have both sides."""
     both = pos.unionByName(neg)
@@ -89,8 +132,8 @@ def training_set(pos: DataFrame, neg: DataFrame) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, seed: int = 0) -> DataFrame:
-    """A fixed random order."""
-    return rows.orderBy(F.xxhash64(F.col("label"), F.col("doc_id"), F.lit(seed)), "label", "doc_id")
+    """A fixed random order, which position counts from 0."""
+    return numbered(rows, [F.md5(F.concat_ws(":", F.lit(str(seed)), "label", "doc_id")), "label", "doc_id"], "position")
 
 
 def class_weights(training: DataFrame) -> DataFrame:

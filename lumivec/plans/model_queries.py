@@ -11,15 +11,16 @@ from ..operators import embed as em
 from ..operators import labels as lb
 from ..operators import sampling as sp
 from ..operators import segment as sg
+from ..operators import tailored as tl
 from ..operators import train as tr
 from ..operators import vectorize as vec
 from ..operators import vocabulary as voc
 from ..sources import corpus as src
+from ..sources.scratch import cut
 from ..streaming import text as st
-from .base import CAPS_SQL, DF_SQL, DOCS_SQL, FEAT_SQL, LAB_SQL, NEG_SQL, OCC_SQL, POS_SQL, RARE_SQL, TRAIN_SQL, VOC_SQL, W_SQL, K, fill_sql, keywords, labelled, normed, query, table, weights, word_column, word_features, word_vocabulary
+from .base import CAPS_SQL, DF_SQL, DOCS_SQL, FEAT_SQL, LAB_SQL, NEG_SQL, OCC_SQL, POS_SQL, RARE_SQL, TRAIN_SQL, VOC_SQL, W_SQL, MAX_POS, MIN_NEG, MIN_POS, K, fill_sql, keywords, labelled, normed, prepared, query, table, weights, word_column, word_features, word_vocabulary
 
 ORDER = sp.corpus_order()
-MAX_POS, MIN_NEG = 64, 32
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -54,7 +55,7 @@ def v5(spark, sf_dir):
 def v6(spark, sf_dir):
     docs = normed(spark, sf_dir).select("doc_id", "norm")
     first = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
-    return sg.second_vocabulary(docs, F.col("norm"), first, 200).select("token", "df", "token_id", F.round("idf", 6).alias("idf"))
+    return sg.second_vocabulary(docs, F.col("norm"), first, K).select("token", "df", "token_id", F.round("idf", 6).alias("idf"))
 
 
 @query("v7_keyword_vocabulary", f"WITH {DOCS_SQL} SELECT DISTINCT token, 1::BIGINT AS df FROM (SELECT unnest(w) AS token FROM d WHERE lang = 'es')")
@@ -69,10 +70,10 @@ def v7(spark, sf_dir):
 a AS (SELECT token, df FROM (SELECT * FROM v0 UNION ALL SELECT * FROM q) ORDER BY df DESC, token LIMIT {K}),
 n AS (SELECT * FROM a WHERE NOT starts_with(token, 'q:')),
 i AS (SELECT *, row_number() OVER (ORDER BY length(token) DESC, token) AS r FROM a WHERE starts_with(token, 'q:') AND NOT contains(substring(token, 3), '~'))
-SELECT token, df FROM n UNION ALL SELECT token, df FROM i WHERE r <= greatest(400 - (SELECT count(*) FROM n), 0)""",
+SELECT token, df FROM n UNION ALL SELECT token, df FROM i WHERE r <= greatest({K} - (SELECT count(*) FROM n), 0)""",
 )
 def v8(spark, sf_dir):
-    return voc.select_keywords(voc.top_k(voc.document_frequency(normed(spark, sf_dir), tk.tokenize(F.col("norm"), [-1, 3])), K), 400)
+    return voc.select_keywords(voc.top_k(voc.document_frequency(normed(spark, sf_dir), tk.tokenize(F.col("norm"), [-1, 3])), K), K)
 
 
 @query(
@@ -105,24 +106,24 @@ def v12(spark, sf_dir):
 
 @query("e1_known_tokens", f"WITH {OCC_SQL} SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id")
 def e1(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     return vec.known_tokens(docs, word_column(), word_vocabulary(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e2_term_frequency", f"WITH {OCC_SQL} SELECT doc_id, token_id, n, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS tf FROM c")
 def e2(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     return vec.term_frequency(vec.term_counts(vec.known_tokens(docs, word_column(), word_vocabulary(docs)))).select("doc_id", "token_id", "n", F.round("tf", 6).alias("tf"))
 
 
 @query("e3_tf_idf", f"WITH {FEAT_SQL} SELECT doc_id, token_id, n, round(value, 6) AS value FROM f")
 def e3(spark, sf_dir):
-    return word_features(normed(spark, sf_dir)).select("doc_id", "token_id", "n", F.round("value", 6).alias("value"))
+    return word_features(prepared(spark, sf_dir)).select("doc_id", "token_id", "n", F.round("value", 6).alias("value"))
 
 
 @query("e4_sparse_rows", f"WITH {FEAT_SQL} SELECT doc_id, string_agg(token_id::VARCHAR, ' ' ORDER BY token_id) AS ids, round(sum(value), 5) AS total FROM f GROUP BY doc_id")
 def e4(spark, sf_dir):
-    rows = vec.sparse_rows(word_features(normed(spark, sf_dir)))
+    rows = vec.sparse_rows(word_features(prepared(spark, sf_dir)))
     return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
@@ -130,7 +131,7 @@ def e4(spark, sf_dir):
 
 @query("l1_self_labels", f"WITH {LAB_SQL} SELECT doc_id, string_agg(label, ' ' ORDER BY label) AS labels FROM l GROUP BY doc_id")
 def l1(spark, sf_dir):
-    return labelled(normed(spark, sf_dir)).select("doc_id", F.array_join("labels", " ").alias("labels"))
+    return labelled(prepared(spark, sf_dir)).select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
 @query(
@@ -138,25 +139,25 @@ def l1(spark, sf_dir):
     f"WITH {LAB_SQL}, o AS (SELECT doc_id, string_agg(label, ' ' ORDER BY label) AS labels FROM l GROUP BY doc_id) SELECT d.doc_id, CASE WHEN q.quality IS NULL THEN o.labels ELSE 'quality' || q.quality || ' toxic' || q.toxic END AS labels FROM d LEFT JOIN labels q USING (doc_id) LEFT JOIN o USING (doc_id) WHERE q.quality IS NOT NULL OR o.labels IS NOT NULL",
 )
 def l2(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     klass = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality"), "quality", F.lit(" toxic"), "toxic").alias("klass"))
-    rows = lb.label(docs.join(klass, "doc_id", "left"), lb.keyword_tokens(word_column(), keywords(docs)), F.col("klass"), self_supervised=False)
+    rows = lb.from_segments(docs.join(klass, "doc_id", "left"), F.col("norm"), keywords(docs), F.col("klass"), self_supervised=False)
     return rows.select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
 @query("l3_drop_unlabelled", f"WITH {LAB_SQL} SELECT DISTINCT doc_id FROM l")
 def l3(spark, sf_dir):
-    return labelled(normed(spark, sf_dir)).select("doc_id")
+    return labelled(prepared(spark, sf_dir)).select("doc_id")
 
 
 @query("l4_label_frequency", f"WITH {LAB_SQL} SELECT label, freq FROM lf")
 def l4(spark, sf_dir):
-    return lb.label_frequency(labelled(normed(spark, sf_dir)))
+    return lb.label_frequency(labelled(prepared(spark, sf_dir)))
 
 
 @query("l5_frequent_labels", f"WITH {LAB_SQL} SELECT label, freq FROM lf WHERE freq >= 100")
 def l5(spark, sf_dir):
-    return lb.frequent_labels(lb.label_frequency(labelled(normed(spark, sf_dir))), 100)
+    return lb.frequent_labels(lb.label_frequency(labelled(prepared(spark, sf_dir))), 100)
 
 
 def _rarest(rows):
@@ -165,12 +166,12 @@ def _rarest(rows):
 
 @query("l6_rarest_label", f"WITH {RARE_SQL} SELECT doc_id, rarest FROM r")
 def l6(spark, sf_dir):
-    return _rarest(labelled(normed(spark, sf_dir)))
+    return _rarest(labelled(prepared(spark, sf_dir)))
 
 
 @query("l7_rarest_frequency", f"WITH {RARE_SQL} SELECT rarest, count(*) AS freq FROM r GROUP BY rarest")
 def l7(spark, sf_dir):
-    return lb.rarest_frequency(_rarest(labelled(normed(spark, sf_dir))))
+    return lb.rarest_frequency(_rarest(labelled(prepared(spark, sf_dir))))
 
 
 # ---------------------------------------------------------------- sampling
@@ -181,13 +182,13 @@ def _limits(rows):
 
 @query("g1_positives", f"WITH {POS_SQL} SELECT label, doc_id, y FROM p")
 def g1(spark, sf_dir):
-    rows = labelled(normed(spark, sf_dir))
-    return sp.positives(rows, _limits(rows), ORDER)
+    rows = labelled(prepared(spark, sf_dir))
+    return sp.positives(rows, _limits(rows), ORDER, MAX_POS)
 
 
 @query("g2_negatives", f"WITH {NEG_SQL} SELECT label, doc_id, y FROM ng")
 def g2(spark, sf_dir):
-    rows = labelled(normed(spark, sf_dir))
+    rows = labelled(prepared(spark, sf_dir))
     return sp.negatives(rows, _limits(rows), ORDER)
 
 
@@ -201,7 +202,7 @@ SELECT label, doc_id, -1 AS y FROM (SELECT q.label, r.doc_id, quota, row_number(
 WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.label = q.label AND l.doc_id = r.doc_id)) WHERE k <= quota""",
 )
 def g3(spark, sf_dir):
-    rows = labelled(normed(spark, sf_dir))
+    rows = labelled(prepared(spark, sf_dir))
     rarest = _rarest(rows)
     return sp.stratified_negatives(rows, rarest, lb.rarest_frequency(rarest), _limits(rows), ORDER)
 
@@ -214,52 +215,49 @@ def g4(spark, sf_dir):
 
 @query("g5_hide_label", f"WITH {POS_SQL} SELECT label, doc_id, len(list_filter(w, lambda x : x <> label))::BIGINT AS n FROM p JOIN d USING (doc_id)")
 def g5(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     rows = labelled(docs)
     tokens = docs.select("doc_id", word_column().alias("w"))
-    return sp.positives(rows, _limits(rows), ORDER).join(tokens, "doc_id").select("label", "doc_id", F.size(sp.hide_label(F.col("w"), F.col("label"))).cast("long").alias("n"))
+    return sp.positives(rows, _limits(rows), ORDER, MAX_POS).join(tokens, "doc_id").select("label", "doc_id", F.size(sp.hide_label(F.col("w"), F.col("label"))).cast("long").alias("n"))
 
 
 def _training(rows):
-    limits = _limits(rows)
-    return sp.training_set(sp.positives(rows, limits, ORDER), sp.negatives(rows, limits, ORDER))
+    limits = cut(_limits(rows))
+    return sp.training_set(sp.positives(rows, limits, ORDER, MAX_POS), sp.negatives(rows, limits, ORDER))
 
 
 @query("g6_training_set", f"WITH {TRAIN_SQL} SELECT label, doc_id, y FROM t")
 def g6(spark, sf_dir):
-    return _training(labelled(normed(spark, sf_dir)))
+    return _training(labelled(prepared(spark, sf_dir)))
 
 
-@query("g7_shuffled", f"WITH {TRAIN_SQL} SELECT label, doc_id, y FROM t")
+@query("g7_shuffled", f"WITH {TRAIN_SQL} SELECT label, doc_id, y, row_number() OVER (ORDER BY md5('0:' || label || ':' || doc_id), label, doc_id) - 1 AS position FROM t")
 def g7(spark, sf_dir):
-    return sp.shuffled(_training(labelled(normed(spark, sf_dir))))
+    return sp.shuffled(_training(labelled(prepared(spark, sf_dir))))
 
 
 @query("h1_class_weights", f"WITH {TRAIN_SQL} SELECT label, doc_id, y, round(count(*) OVER (PARTITION BY label) / (2.0 * count(*) OVER (PARTITION BY label, y)), 6)::DOUBLE AS weight FROM t")
 def h1(spark, sf_dir):
-    return sp.class_weights(_training(labelled(normed(spark, sf_dir)))).withColumn("weight", F.round("weight", 6))
+    return sp.class_weights(_training(labelled(prepared(spark, sf_dir)))).withColumn("weight", F.round("weight", 6))
 
 
 # ---------------------------------------------------------------- models
 
 def _models(spark, sf_dir, intercept=True):
-    docs = normed(spark, sf_dir)
-    training = sp.class_weights(_training(labelled(docs)))
-    return tr.fit_labels(training.join(vec.sparse_rows(word_features(docs)), "doc_id"), K, intercept)
+    docs = prepared(spark, sf_dir)
+    return tl.models(docs, F.col("norm"), cut(word_vocabulary(docs)), keywords=keywords(docs), min_pos=MIN_POS, max_pos=MAX_POS, min_neg=MIN_NEG, intercept=intercept, order=ORDER)
 
 
 def _coef_digest(models):
-    return models.select("label", "n", "no_sv", F.round("intercept", 2).alias("intercept"), F.size("coef").alias("size"))
+    return models.select(F.element_at("label", -1).alias("label"), "n", "no_sv", F.round("intercept", 2).alias("intercept"), F.size("coef").alias("size"))
 
 
 @query("h2_train")
 def h2(spark, sf_dir):
-    """One model for each of the keyword labels (h5: half precision; h6: labels in parallel)."""
+    """One model for each of the keyword labels (g5: positives without their label; h5: half precision; h6: labels in parallel)."""
     return _coef_digest(_models(spark, sf_dir))
 
 
-
-
 @query(
     "h3_decision_values",
     f"WITH {FEAT_SQL}, lab AS (SELECT doc_id, 'd' || quality AS label, 2 * toxic - 1 AS y FROM labels), {W_SQL} SELECT lab.label, lab.doc_id, y::INTEGER AS y, round(sum(value * coalesce(w, 0)), 6) AS h FROM lab JOIN f USING (doc_id) LEFT JOIN w0 ON w0.label = lab.label AND w0.token_id = f.token_id GROUP BY ALL",
@@ -270,7 +268,7 @@ def h3(spark, sf_dir):
 
 def _decided(spark, sf_dir):
     given = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("d"), "quality").alias("label"), (F.col("toxic") * 2 - 1).cast("int").alias("y"))
-    return tr.decision_values(given.join(word_features(normed(spark, sf_dir)).select("doc_id", "token_id", "value"), "doc_id"), weights(spark, sf_dir))
+    return tr.decision_values(given.join(word_features(prepared(spark, sf_dir)).select("doc_id", "token_id", "value"), "doc_id"), weights(spark, sf_dir))
 
 
 @query(
@@ -298,7 +296,7 @@ def h7(spark, sf_dir):
 
 @query("h8_resume", f"WITH {LAB_SQL} SELECT label, freq FROM lf WHERE freq < 100")
 def h8(spark, sf_dir):
-    frequency = lb.label_frequency(labelled(normed(spark, sf_dir)))
+    frequency = lb.label_frequency(labelled(prepared(spark, sf_dir)))
     return tr.not_done(frequency, lb.frequent_labels(frequency, 100))
 
 
@@ -306,16 +304,15 @@ def h8(spark, sf_dir):
 def s6(spark, sf_dir):
     """Models written as gzipped JSON lines and read back (s7)."""
     path = st.scratch(spark)
-    src.write_model(tr.named(_models(spark, sf_dir)), path, exchange=True)
-    back = src.read_model(spark, path, exchange=True)
-    return back.select(F.get("label", 0).alias("label"), "n", "no_sv", F.size("coef").alias("size"))
+    src.write_model(_models(spark, sf_dir), path, exchange=True)
+    return _coef_digest(src.read_model(spark, path, exchange=True))
 
 
 @query("s4_labelled_set", f"WITH {LAB_SQL} SELECT doc_id, string_agg(label, ' ' ORDER BY label) AS labels FROM l GROUP BY doc_id")
 def s4(spark, sf_dir):
     """A labelled set is written once (s9: and reused if it is there)."""
     path = st.scratch(spark)
-    rows = labelled(normed(spark, sf_dir))
+    rows = labelled(prepared(spark, sf_dir))
     src.reuse(spark, path, lambda: rows)
     return src.reuse(spark, path, lambda: rows.limit(0)).select("doc_id", F.array_join("labels", " ").alias("labels"))
 
@@ -327,34 +324,35 @@ _ENC = f"WITH {FEAT_SQL}, {W_SQL}, known AS (SELECT DISTINCT doc_id FROM f JOIN
 
 @query("i1_encode", f"WITH {FEAT_SQL}, {W_SQL} SELECT doc_id, count(*) AS n, round(sum(value * w), 5) AS total FROM f JOIN w0 USING (token_id) GROUP BY doc_id")
 def i1(spark, sf_dir):
-    return em.encode(word_features(normed(spark, sf_dir)), weights(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total"))
+    return em.encode(word_features(prepared(spark, sf_dir)), weights(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total"))
 
 
 @query("i2_encode_occurrences", f"WITH {FEAT_SQL}, {W_SQL} SELECT o.doc_id, count(*) AS n, round(sum(w * value / n), 5) AS total FROM o JOIN f USING (doc_id, token_id) JOIN w0 USING (token_id) GROUP BY o.doc_id")
 def i2(spark, sf_dir):
-    docs = normed(spark, sf_dir)
-    vocabulary = word_vocabulary(docs)
+    docs = prepared(spark, sf_dir)
+    vocabulary = cut(word_vocabulary(docs))
     occurrences = docs.select("doc_id", F.posexplode(word_column()).alias("pos", "token")).join(vocabulary.select("token", "token_id"), "token").select("doc_id", "pos", "token_id")
-    rows = em.encode_occurrences(occurrences, vec.features(docs, word_column(), vocabulary), weights(spark, sf_dir))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total"))
+    rows, _ = em.occurrence_vectors(occurrences, vec.features(docs, word_column(), vocabulary), weights(spark, sf_dir))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("doc_id").agg(F.sum(F.size("v")).alias("n"), F.round(F.sum(total), 5).alias("total"))
 
 
 @query("i4_transform", f"{_ENC} SELECT doc_id, label, round(v, 5) AS value FROM x")
 def i4(spark, sf_dir):
     """Documents without known tokens get ones (i3)."""
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     return em.transform(docs, word_features(docs), weights(spark, sf_dir)).withColumn("value", F.round("value", 5))
 
 
 @query("i5_intercept", f"{_ENC} SELECT doc_id, label, round(v + 0.5, 5) AS value FROM x")
 def i5(spark, sf_dir):
-    docs, w = normed(spark, sf_dir), weights(spark, sf_dir)
+    docs, w = prepared(spark, sf_dir), weights(spark, sf_dir)
     return em.transform(docs, word_features(docs), w, w.select("label").distinct().withColumn("intercept", F.lit(0.5))).withColumn("value", F.round("value", 5))
 
 
 @query("i6_distance", f"{_ENC} SELECT doc_id, label, round(v / norm, 5) AS value FROM x JOIN names USING (label)")
 def i6(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     return em.transform(docs, word_features(docs), weights(spark, sf_dir), distance=True).withColumn("value", F.round("value", 5))
 
 
@@ -375,10 +373,13 @@ def i8(spark, sf_dir):
 
 @query("i9_tailored")
 def i9(spark, sf_dir):
-    """Label, sample, train and score in one go: the corpus's own embedding."""
-    docs = normed(spark, sf_dir)
-    w = em.weights_from_models(tr.named(_models(spark, sf_dir, intercept=False)))
-    return em.transform(docs, word_features(docs), w).withColumn("value", F.round("value", 2))
+    """Label, sample, train and score in one go: the corpus's own embedding, on features of a segment vocabulary."""
+    docs = prepared(spark, sf_dir)
+    first = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
+    vocabulary = cut(sg.second_vocabulary(docs, F.col("norm"), first, K))
+    w = tl.tailored(docs, F.col("norm"), vocabulary, keywords=keywords(docs), min_pos=MIN_POS, max_pos=MAX_POS, min_neg=MIN_NEG, order=ORDER)
+    features = vec.features(sg.segment(docs, F.col("norm"), vocabulary), F.col("tokens"), vocabulary)
+    return em.transform(docs, features, w).withColumn("value", F.round("value", 2))
 
 
 @query("i10_unit_columns", f"WITH {W_SQL} SELECT label, token_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY label)), 6) AS w FROM w0")
@@ -407,13 +408,13 @@ _TOK = f"WITH {OCC_SQL}, {W_SQL}, s AS (SELECT doc_id, label, sum(w) AS v FROM o
 
 @query("i13_embed_tokens", f"{_TOK} SELECT doc_id, label, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) AS value FROM x")
 def i13(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     return em.embed_tokens(vec.known_tokens(docs, word_column(), word_vocabulary(docs)), docs, weights(spark, sf_dir)).withColumn("value", F.round("value", 5))
 
 
 @query("i14_unit_rows", f"{_ENC} SELECT doc_id, label, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) AS value FROM x")
 def i14(spark, sf_dir):
-    docs = normed(spark, sf_dir)
+    docs = prepared(spark, sf_dir)
     return em.unit_rows(em.transform(docs, word_features(docs), weights(spark, sf_dir))).withColumn("value", F.round("value", 5))
 
 
@@ -423,7 +424,10 @@ def _truth(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
 
 
-@query("c1_split")
+_PART = "('0x' || substring(md5('0:' || doc_id), 1, 8))::BIGINT % 100"
+
+
+@query("c1_split", f"SELECT doc_id, CASE WHEN {_PART} < 75 THEN 'train' ELSE 'validation' END AS part FROM documents")
 def c1(spark, sf_dir):
     train, rest = cl.split(table(spark, sf_dir, "documents"))
     return train.select("doc_id", F.lit("train").alias("part")).unionByName(rest.select("doc_id", F.lit("validation").alias("part")))
@@ -431,23 +435,23 @@ def c1(spark, sf_dir):
 
 @query("c2_classify_tokens")
 def c2(spark, sf_dir):
-    rows = cl.sparse_vectors(vec.sparse_rows(word_features(normed(spark, sf_dir))), K)
-    return cl.predict(rows, _truth(spark, sf_dir))
+    docs = prepared(spark, sf_dir)
+    return cl.predict(cl.token_vectors(docs, word_column(), word_vocabulary(docs)), _truth(spark, sf_dir))
 
 
 @query("c3_classify_segments")
 def c3(spark, sf_dir):
-    docs = normed(spark, sf_dir).select("doc_id", "norm")
+    docs = prepared(spark, sf_dir)
     first = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
-    cut = sg.segment(docs, F.col("norm"), first)
-    rows = vec.features(cut, F.col("tokens"), voc.build_vocabulary(cut, F.col("tokens"), K))
-    return cl.predict(cl.sparse_vectors(vec.sparse_rows(rows), K), _truth(spark, sf_dir))
+    pieces = cut(sg.segment(docs, F.col("norm"), first))
+    return cl.predict(cl.token_vectors(pieces, F.col("tokens"), voc.build_vocabulary(pieces, F.col("tokens"), K)), _truth(spark, sf_dir))
 
 
 @query("c4_classify_embeddings")
 def c4(spark, sf_dir):
-    docs = normed(spark, sf_dir)
-    return cl.predict(cl.dense_vectors(em.transform(docs, word_features(docs), weights(spark, sf_dir))), _truth(spark, sf_dir))
+    docs = prepared(spark, sf_dir)
+    vectors, _ = em.vectors(docs, word_features(docs), weights(spark, sf_dir))
+    return cl.predict(cl.dense_vectors(vectors), _truth(spark, sf_dir))
 
 
 @query(
@@ -470,9 +474,11 @@ def _dated(docs):
 _DAY = "(DATE '2022-09-01' + (doc_id % 60)::INTEGER)"
 
 
-@query("k1_drop_retweets", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '^RT @')")
+@query("k1_drop_retweets", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'RT @someone ' || text ELSE text END AS text FROM documents) WHERE NOT regexp_matches(text, '^RT @')")
 def k1(spark, sf_dir):
-    return cu.drop_retweets(table(spark, sf_dir, "documents")).select("doc_id")
+    """Every seventh document is made a retweet first: the table has none."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("RT @someone "), "text")).otherwise(F.col("text"))
+    return cu.drop_retweets(table(spark, sf_dir, "documents").withColumn("text", text)).select("doc_id")
 
 
 @query("k2_mask", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, 'https?://\S+', '_url', 'g'), '@\S+', '_usr', 'g')) AS digest FROM documents")
@@ -509,10 +515,10 @@ def k7(spark, sf_dir):
 
 
 def _near_sql(days: int) -> str:
-    return f"""WITH {DOCS_SQL}, s AS (SELECT DISTINCT doc_id, {_DAY} AS day, unnest(list_transform(range(1, len(w) - 1), lambda i : array_to_string(w[i : i + 2], '~'))) AS g FROM d),
+    return f"""WITH {DOCS_SQL}, s AS (SELECT DISTINCT doc_id, {_DAY} AS day, unnest(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i : i + 4], '~'))) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND b.doc_id < a.doc_id AND abs(a.day - b.day) <= {days} GROUP BY 1, 2)
-SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT a FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 100 >= (x.n + y.n - c) * 80)"""
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT a FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 100 >= (x.n + y.n - c) * 75)"""
 
 
 @query("k8_near_duplicates_day", _near_sql(0))
@@ -525,9 +531,9 @@ def k9(spark, sf_dir):
     return cu.drop_near_duplicates(_dated(normed(spark, sf_dir)).select("doc_id", "day", "norm"), 2).select("doc_id")
 
 
-@query("k10_shuffle", "SELECT doc_id FROM documents")
+@query("k10_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS position FROM documents")
 def k10(spark, sf_dir):
-    return cu.shuffle(table(spark, sf_dir, "documents")).select("doc_id")
+    return cu.shuffle(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "position")
 
 
 @query("k11_size_table", "SELECT source AS country, nullif(count(*) FILTER (WHERE doc_id % 5 > 0), 0) AS train, nullif(count(*) FILTER (WHERE doc_id % 5 = 0), 0) AS test FROM documents WHERE lang = 'en' GROUP BY source")

@@ -11,7 +11,7 @@ from ..operators import segment as sg
 from ..operators import vocabulary as voc
 from ..sources import corpus as src
 from ..streaming import text as st
-from .base import DF_SQL, DOCS_SQL, SYMBOLS_SQL, VOC_SQL, norm_sql, normed, query, table, word_column, word_vocabulary
+from .base import DF_SQL, DOCS_SQL, SYMBOLS_SQL, VOC_SQL, K, norm_sql, normed, prepared, query, table, word_column, word_vocabulary
 
 
 @query("s1_read_corpus", "SELECT doc_id, md5(text) AS digest FROM documents")
@@ -41,24 +41,26 @@ def s5(spark, sf_dir):
 def s8(spark, sf_dir):
     docs = normed(spark, sf_dir)
     path = st.scratch(spark)
-    src.write_vocabulary(word_vocabulary(docs).select("token", "df"), voc.document_count(docs), {"k": 500}, path)
+    src.write_vocabulary(word_vocabulary(docs).select("token", "df"), voc.document_count(docs), {"k": K}, path)
     tokens, meta = src.read_vocabulary(spark, path)
     return tokens.crossJoin(F.broadcast(meta.select("n_docs")))
 
 
+_esc = lambda pattern: pattern.replace("{", "{{").replace("}", "}}")
+_EMOJI_SQL, _MARKS_SQL = _esc(nz.EMOJI), _esc(nz.EMOJI_MARKS)
 _STEPS = {
     "n1_lower": (nz.lower, "lower({0})"),
     "n2_numbers": (nz.numbers, r"regexp_replace({0}, '\d+\.?\d+|\d+', '_num', 'g')"),
     "n3_users": (nz.users, r"regexp_replace({0}, '@\S+', '_usr', 'g')"),
     "n5_hashtags": (nz.hashtags, r"regexp_replace({0}, '#\S+', '_htag', 'g')"),
-    "n6_entities": (nz.entities, None),
-    "n7_emoticons": (nz.emoticons, None),
+    "n6_entities": (nz.entities, "array_to_string(list_transform(regexp_extract_all({0}, '[\\pL\\pN_]+|[^\\pL\\pN_]+'), lambda x : CASE WHEN regexp_full_match(x, '[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+') THEN '_ent' ELSE x END), '')"),
+    "n7_emoticons": (nz.emoticons, f"regexp_replace(regexp_replace({{0}}, '{_MARKS_SQL}', '', 'g'), '{_EMOJI_SQL}', '', 'g')"),
     "n8_strip_marks": (nz.strip_marks, "strip_accents({0})"),
     "n9_decompose": (nz.decompose, None),
-    "n10_collapse_repeats": (nz.collapse_repeats, None),
+    "n10_collapse_repeats": (nz.collapse_repeats, "array_to_string(list_filter(string_split({0}, ''), lambda x, i : i = 1 OR x <> string_split({0}, '')[i - 1]), '')"),
     "n11_delete_punctuation": (nz.delete_punctuation, f"regexp_replace({{0}}, '{SYMBOLS_SQL.replace('{', '{{').replace('}', '}}')}', '', 'g')"),
     "n12_mark_punctuation": (nz.mark_punctuation, rf"regexp_replace({{0}}, '({SYMBOLS_SQL.replace('{', '{{').replace('}', '}}')})', '~e:\1~', 'g')"),
-    "n13_mark_emojis": (nz.mark_emojis, None),
+    "n13_mark_emojis": (nz.mark_emojis, f"regexp_replace(regexp_replace({{0}}, '{_MARKS_SQL}', '', 'g'), '({_EMOJI_SQL})', '~e:\\1~', 'g')"),
     "n14_mark_placeholders": (lambda c: nz.mark_placeholders(nz.users(c)), r"regexp_replace(regexp_replace({0}, '@\S+', '_usr', 'g'), '(_htag|_ent|_num|_url|_usr)', '~e:\1~', 'g')"),
     "n15_frame": (nz.frame, r"'~' || regexp_replace({0}, '[ \t\r\n]', '~', 'g') || '~'"),
     "n16_collapse_tildes": (lambda c: nz.collapse_tildes(nz.frame(c)), r"regexp_replace('~' || regexp_replace({0}, '[ \t\r\n]', '~', 'g') || '~', '~+', '~', 'g')"),
@@ -119,31 +121,31 @@ def t6(spark, sf_dir):
 
 @query("t8_segment")
 def t8(spark, sf_dir):
-    """Segments against the 500 most frequent tokens of the corpus itself."""
-    docs = normed(spark, sf_dir)
-    vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), 500)
+    """Segments against the K most frequent tokens of the corpus itself."""
+    docs = prepared(spark, sf_dir)
+    vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
     pieces = sg.segmenter(sg.surfaces(vocabulary), names=False)
     return docs.select("doc_id", pieces(F.col("norm")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.md5(F.array_join("a", " ")).alias("digest"))
 
 
 @query("t9_segment_tokens")
 def t9(spark, sf_dir):
-    docs = normed(spark, sf_dir)
-    vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), 500)
+    docs = prepared(spark, sf_dir)
+    vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
     return sg.segment(docs, F.col("norm"), vocabulary).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 @query(
     "t10_surfaces",
     f"""WITH {DF_SQL}, q AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_q_sql(3)}) AS token FROM d) GROUP BY token),
-a AS (SELECT token FROM (SELECT * FROM v0 UNION ALL SELECT * FROM q) ORDER BY df DESC, token LIMIT 500),
+a AS (SELECT token FROM (SELECT * FROM v0 UNION ALL SELECT * FROM q) ORDER BY df DESC, token LIMIT {K}),
 s AS (SELECT token, CASE WHEN starts_with(token, 'q:') THEN substring(token, 3) ELSE '~' || token || '~' END AS surface FROM a),
 b AS (SELECT surface, token FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY starts_with(token, 'q:'), token) AS r FROM s) WHERE r = 1)
 SELECT surface, token FROM b UNION ALL SELECT '~e:', token FROM b WHERE surface = '~e:~' AND NOT EXISTS (SELECT 1 FROM b WHERE surface = '~e:')""",
 )
 def t10(spark, sf_dir):
-    docs = normed(spark, sf_dir)
-    return sg.surfaces(voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 3])), 500))
+    docs = prepared(spark, sf_dir)
+    return sg.surfaces(voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 3])), K))
 
 
 @query("m1_identity", f"WITH {VOC_SQL} SELECT token, 'Segments_' || md5('k=500 lang=es') AS model_id FROM v")

@@ -8,7 +8,6 @@ state, bounded by the watermark; it catches texts that are equal once normalised
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..functions import tokens as tk
+from ..sources.scratch import scratch  # noqa: F401  where a stream keeps its output and state
 
 
 def read_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string, lang string, source string, n_chars long") -> DataFrame:
@@ -51,8 +51,3 @@ def run_once(stream: DataFrame, out: str, state: str, each_batch: Callable[[Data
         query = writer.foreachBatch(lambda rows, k: each_batch(rows).write.mode("overwrite").parquet(f"{out}/batch={k}")).start()
     query.awaitTermination()
     return stream.sparkSession.read.parquet(out)
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{uuid.uuid4().hex}"

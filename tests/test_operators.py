@@ -1,10 +1,15 @@
 """Vocabulary, sampling, training, embedding, curation and sources on small tables."""
 
+import os
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumivec.operators import classify, curate, embed, identity, labels, sampling, train, vectorize, vocabulary
+from lumivec.functions import tokens as tk
+from lumivec.operators import classify, curate, embed, identity, labels, positions, sampling, tailored, train, vectorize, vocabulary
+from lumivec.operators import vocabulary as vocabulary_
 from lumivec.sources import corpus
 from lumivec.streaming import text as st
 
@@ -14,8 +19,8 @@ def test_quotas(spark):
         t = spark.createDataFrame([(str(k), a) for k, a in enumerate(available)], "stratum string, available long")
         return [r["quota"] for r in sampling.uniform_quotas(t, n).orderBy("stratum").collect()]
 
-    assert quotas([1000, 100, 10], 500) == [390, 100, 10]
-    assert sum(quotas([20, 5, 4, 7], 10)) == 10
+    assert quotas([700, 90, 30], 400) == [280, 90, 30]
+    assert sum(quotas([25, 6, 3, 9], 12)) == 12
     assert quotas([3, 4], 100) == [3, 4]
 
 
@@ -52,11 +57,11 @@ def test_prune(spark):
         t = spark.createDataFrame([("a", k, v) for k, v in enumerate(column)], "label string, token_id int, w double")
         return [r["w"] for r in embed.prune(t, share).orderBy("token_id").collect()]
 
-    assert prune([0.5, 0.1, 0.4], 0.65) == [0.5, 0.0, 0.4]
-    assert prune([0.0, 0.0, 0.0], 0.65) == [0.0, 0.0, 0.0]
-    assert prune([0.33, 0.33, 0.33], 0.65) == [0.33, 0.33, 0.33]
-    assert prune([0.9, 0.1, 0.0], 0.65) == [0.9, 0.1, 0.0]
-    assert prune([1.0, -1.2, 0.1], 1) == [1.0, 0.0, 0.1]
+    assert prune([0.45, 0.15, 0.4], 0.7) == [0.45, 0.0, 0.4]
+    assert prune([0.0, 0.0], 0.7) == [0.0, 0.0]
+    assert prune([0.25, 0.25, 0.25, 0.25], 0.7) == [0.25] * 4
+    assert prune([0.05, 0.8, 0.15], 0.7) == [0.05, 0.8, 0.15]
+    assert prune([2.0, -0.7, 0.3], 1) == [2.0, 0.0, 0.3]
 
 
 @pytest.fixture(scope="module")
@@ -108,12 +113,144 @@ def test_negatives_skip_labels_in_every_document(spark):
     assert {r["label"] for r in sampling.training_set(sampling.positives(t, limits, ["doc_id"]), neg).collect()} == {"odd"}
 
 
-def test_near_duplicates_in_a_window(spark):
-    text = "~" + "~".join(f"w{k}" for k in range(40)) + "~"
-    rows = [(1, "2022-09-01", text), (2, "2022-09-01", text), (3, "2022-09-03", text + "more~"), (4, "2022-09-08", text), (5, "2022-09-01", "~")]
-    t = spark.createDataFrame(rows, "doc_id long, day string, norm string").withColumn("day", F.col("day").cast("date"))
-    assert {r["doc_id"] for r in curate.near_duplicates(t, 0).collect()} == {2}
-    assert {r["doc_id"] for r in curate.near_duplicates(t, 2).collect()} == {2, 3}
+@pytest.mark.parametrize("block", [1024, 4])
+def test_first_documents_without_a_label(spark, monkeypatch, block):
+    monkeypatch.setattr(sampling, "BLOCK", block)
+    r = random.Random(block)
+    share = {"rare": 0.02, "half": 0.5, "most": 0.95, "all": 1.0}
+    rows = [(k, [x for x, p in share.items() if r.random() < p]) for k in range(300)]
+    t = spark.createDataFrame(rows, "doc_id long, labels array<string>").repartition(5)
+    limits = sampling.caps(labels.label_frequency(t), 20, 12)
+    n_neg = {x["label"]: x["n_neg"] for x in limits.collect()}
+    want = {(x, k) for x in share for k in [k for k, own in rows if x not in own][: n_neg[x]]}
+    assert {(x["label"], x["doc_id"]) for x in sampling.negatives(t, limits, ["doc_id"]).collect()} == want
+    rarest = labels.rarest_label(t, labels.label_frequency(t))
+    of = {x["doc_id"]: x["rarest"] for x in rarest.collect()}
+    strata = labels.rarest_frequency(rarest)
+    quota = {}
+    for x in share:
+        table = strata.filter(F.col("rarest") != x).select(F.col("rarest").alias("stratum"), F.col("freq").alias("available"))
+        quota |= {(x, q["stratum"]): q["quota"] for q in sampling.uniform_quotas(table, n_neg[x]).collect()}
+    want = {(x, k) for (x, stratum), q in quota.items() for k in [k for k, own in rows if of.get(k) == stratum and x not in own][:q]}
+    got = sampling.stratified_negatives(t, rarest, strata, limits, ["doc_id"])
+    assert {(x["label"], x["doc_id"]) for x in got.collect()} == want
+
+
+def test_positions(spark):
+    t = spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "doc_id long").repartition(9)
+    assert {(x["doc_id"], x["pos"]) for x in positions.numbered(t, ["doc_id"]).collect()} == {(k, k) for k in range(100)}
+    order = curate.shuffle(t).orderBy("position").collect()
+    assert [x["position"] for x in order] == list(range(100)) and [x["doc_id"] for x in order] != list(range(100))
+
+
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_duplicates(spark, monkeypatch, small):
+    monkeypatch.setattr(curate, "SMALL", small)
+    monkeypatch.setattr(curate, "FIRST", 2)
+    r = random.Random(small)
+    bases = [[f"w{r.randint(0, 10**6)}" for _ in range(60)] for _ in range(3)]
+    rows = []
+    for k in range(120):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            w[r.randrange(60)] = f"x{r.randint(0, 10**6)}"
+        rows.append((k, "2022-09-0%d" % r.randint(1, 6), "~" + "~".join(w[: r.choice([60, 60, 52, 3])]) + "~"))
+    rows += [(200, "2022-09-01", "~"), (201, None, rows[0][2])]
+    t = spark.createDataFrame(rows, "doc_id long, day string, norm string").withColumn("day", F.col("day").cast("date")).repartition(6)
+    sets = {k: {tuple(x.strip("~").split("~")[i : i + 5]) for i in range(len(x.strip("~").split("~")) - 4)} for k, _, x in rows}
+    for days in (0, 2):
+        near = lambda a, b: a[1] and b[1] and abs(int(a[1][-1]) - int(b[1][-1])) <= days
+        want = {a[0] for a in rows for b in rows if b[0] < a[0] and near(a, b) and sets[a[0]] and 100 * len(sets[a[0]] & sets[b[0]]) >= 75 * len(sets[a[0]] | sets[b[0]])}
+        assert {x["doc_id"] for x in curate.near_duplicates(t, days).collect()} == want and want
+
+
+def test_hidden_target(spark):
+    voc = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, token_id int")
+    rows = [("a", 1, [0, 1, 2], [0.6, 0.0, 0.8]), ("a", -1, [0, 2], [0.6, 0.8]), ("a", 1, [0], [1.0]), ("zz", 1, [0, 2], [0.6, 0.8]), ("b", 1, [0], [1.0])]
+    t = spark.createDataFrame(rows, "label string, y int, ids array<int>, values array<double>")
+    got = sorted((x["label"], x["y"], x["ids"], x["values"]) for x in sampling.hide_target(t, voc).collect())
+    assert got == [("a", -1, [0, 2], [0.6, 0.8]), ("a", 1, [], []), ("a", 1, [1, 2], [0.0, 1.0]), ("b", 1, [0], [1.0]), ("zz", 1, [0, 2], [0.6, 0.8])]
+
+
+def test_models_that_cannot_be_added(spark):
+    schema = "label array<string>, n long, no_sv long, intercept double, coef array<float>"
+    one = spark.createDataFrame([(["x"], 1, 1, None, [1.0, 2.0])], schema)
+    assert {(x["label"], x["token_id"]): x["w"] for x in embed.add(one, one).collect()} == {("x", 0): 1.0, ("x", 1): 2.0}
+    for bad in ([(["x"], 1, 1, 0.5, [1.0])], [(["x", "y"], 1, 1, None, [1.0])]):
+        with pytest.raises(ValueError, match="can't be added"):
+            embed.add(one, spark.createDataFrame(bad, schema))
+
+
+@pytest.fixture(scope="module")
+def tweets(spark):
+    r = random.Random(2)
+    topics = {"rain": "cloud wind storm wet".split(), "goal": "ball team match win".split(), "bread": "oven flour warm dough".split()}
+    rows = []
+    for k in range(240):
+        topic = r.choice(list(topics))
+        w = r.choices(topics[topic], k=5) + r.choices("the a of and".split(), k=3) + [topic] * r.choice([0, 1, 1])
+        r.shuffle(w)
+        rows.append((k, "~" + "~".join(w) + "~", "warm place" if k % 5 == 0 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, norm string, klass string")
+    vocabulary = vocabulary_.build_vocabulary(docs, tk.words(F.col("norm")), 100)
+    keywords = spark.createDataFrame([(x, 1) for x in topics], "token string, df long")
+    return docs, vocabulary, keywords
+
+
+def test_tailored(spark, tweets, tmp_path):
+    docs, vocabulary, keywords = tweets
+    given = dict(keywords=keywords, min_pos=20, max_pos=40, min_neg=30, order=["doc_id"])
+    ids = {x["token"]: x["token_id"] for x in vocabulary.collect()}
+    rows = tailored.training_rows(tailored.labelled_corpus(docs, F.col("norm"), vocabulary, keywords), vocabulary, ["doc_id"], 20, 40, 30, False, True).collect()
+    assert {x["label"] for x in rows} == {"rain", "goal", "bread"}
+    assert not any(ids[x["label"]] in x["ids"] for x in rows if x["y"] == 1)  # a positive doesn't hold its own label
+    assert sum(x["y"] == 1 for x in rows if x["label"] == "rain") == 40
+    weights = {(x["label"], x["token_id"]): x["w"] for x in tailored.tailored(docs, F.col("norm"), vocabulary, **given).collect()}
+    for label, friend in (("rain", "storm"), ("goal", "ball"), ("bread", "oven")):
+        own = {k: w for (x, k), w in weights.items() if x == label}
+        assert max(own, key=own.get) != ids[label] and own[ids[friend]] > 0
+        w, data = np.array([own[k] for k in sorted(own)]), [x for x in rows if x["label"] == label]
+        dense = np.zeros((len(data), len(own)))
+        for i, x in enumerate(data):
+            dense[i, x["ids"]] = x["values"]
+        y, c = np.array([x["y"] for x in data]), np.array([x["weight"] for x in data])
+        g = w - 2 * dense.T @ (c * y * np.maximum(0, 1 - y * (dense @ w)))
+        assert np.abs(g).max() < 0.05  # as far as half precision goes
+    path, kept = f"{tmp_path}/m", f"{tmp_path}/l"
+    first = tailored.models(docs, F.col("norm"), vocabulary, path=path, labelled_path=kept, **{**given, "min_pos": 1000})
+    assert first.count() == 0
+    again = tailored.models(docs, F.col("norm"), vocabulary, path=path, labelled_path=kept, **given)
+    assert sorted(x["label"] for x in again.collect()) == [["bread"], ["goal"], ["rain"]]
+    assert tailored.models(docs.limit(0), F.col("norm"), vocabulary, path=path, labelled_path=kept, **given).count() == 3  # all is there
+    both = tailored.tailored(docs, F.col("norm"), vocabulary, base=again.filter(F.array_contains("label", "rain")), **given)
+    assert {x["label"] for x in both.select("label").distinct().collect()} == {"rain", "goal", "bread"}
+
+
+def test_models_of_two_classes_and_of_strata(spark, tweets):
+    docs, vocabulary, keywords = tweets
+    two = tailored.models(docs.withColumn("klass", F.when(F.col("norm").contains("cloud"), "mx").otherwise("ar")), F.col("norm"), vocabulary, keywords=keywords, klass=F.col("klass"), self_supervised=False, min_pos=5, intercept=True)
+    assert [x["label"] for x in two.collect()] == [["ar", "mx"]]
+    kept = tailored.models(docs, F.col("norm"), vocabulary, keywords=keywords, min_pos=20, keep_unfreq=True, order=["doc_id"])
+    assert kept.count() == 3 and kept.filter("n < 40").count() == 0
+
+
+def test_unfinished_tables_are_made_again(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    made = corpus.reuse(spark, path, lambda: spark.range(3))
+    assert made.count() == 3 and corpus.reuse(spark, path, lambda: spark.range(9)).count() == 3
+    os.remove(f"{path}/_SUCCESS")
+    assert corpus.reuse(spark, path, lambda: spark.range(9)).count() == 9
+
+
+def test_classifiers_learn(spark, tweets):
+    docs, vocabulary, _ = tweets
+    truth = docs.select("doc_id", F.when(F.col("norm").rlike("cloud|wind|storm|wet"), 1).otherwise(0).alias("y"))
+    features = classify.token_vectors(docs, tk.words(F.col("norm")), vocabulary)
+    sparse = {x["doc_id"]: x for x in vectorize.sparse_rows(vectorize.features(docs, tk.words(F.col("norm")), vocabulary)).collect()}
+    for x in features.collect():
+        assert np.allclose([x["features"][i] for i in sparse[x["doc_id"]]["ids"]], sparse[x["doc_id"]]["values"])
+    found = classify.predict(features, truth).withColumn("model", F.lit("m"))
+    assert found.count() > 30 and classify.macro_recall(found).first()["macro_recall"] > 0.95
 
 
 def test_model_exchange(spark, tmp_path):
