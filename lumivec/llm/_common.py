@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -10,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20  # text bytes handled by one numpy pass
+SLICE_BYTES = 1 << 19  # text bytes handled by one numpy pass
+SPAN_BYTES = 1 << 17  # of them hashed at once
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # of an Arrow batch
 _U = np.uint64
 
 
@@ -31,23 +35,42 @@ def fold(id_col: str | Column, k: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % k
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows, which bounds a Python worker's memory when texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes, and so a Python worker's memory; Spark reads these settings from the session when a plan runs."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    Spark removes what is no longer referred to if spark.cleaner.referenceTracking.cleanCheckpoints is true.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:  # tests and single machines
-            where = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not where:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            where = f"/tmp/checkpoints/{uuid.uuid4().hex}"  # one machine, as in tests
         sc.setCheckpointDir(where)
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles of tables that cut() has written and nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release() -> None:
+    """Gives free memory back at the end of a task: idle Python workers wait for later stages beside a full heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn(pa.RecordBatch) -> pa.RecordBatch | pa.Table | None, over slices of at most SLICE_BYTES of text."""
 
@@ -57,6 +80,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
                 out = fn(part)
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        release()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -135,8 +159,17 @@ _POSITION = keys(4096)
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit multilinear hash of every span; spans are sorted and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, _U)
+    out = np.zeros(len(starts), _U)
+    size = np.cumsum(ends - starts)
+    at = 0
+    while at < len(starts):  # in blocks of about SPAN_BYTES, because each byte takes several words of memory
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SPAN_BYTES, "right")))
+        out[at:end] = _span_hash(data, starts[at:end], ends[at:end])
+        at = end
+    return out
+
+
+def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     length = ends - starts
     total = int(length.sum())
     first = np.cumsum(length) - length

@@ -1,35 +1,43 @@
 """Self-join of documents on the Jaccard similarity of their word shingles.
 
-Two documents link when 100 * |A and B| >= 75 * |A or B|. The join is exact.
+Two documents link when 100 * |A and B| >= 75 * |A or B|. The join is exact: no
+cap on partners, candidates or groups.
 
 1. One pass computes every document's set size and class (documents with equal
-   sets), and counts shingles inside each map partition; those that occur in
-   several documents there are the frequent ones (at most FREQUENT of them are
+   sets), and counts shingles inside each map window; those that occur in
+   several classes there are the frequent ones (at most FREQUENT of them are
    broadcast). They only shape the token orders; any order is right.
-2. Token order A: frequent shingles last, otherwise by hash. Two linked sets
-   share a shingle among the first p(n) = n - ceil(3n/4) + 1 of each. These
-   prefixes of one document per class are dealt out by shingle, and shingles
-   that only one class has go.
-3. Candidates: the smaller class of a linked pair shares one of its first
-   n - ceil(6n/7) + 1 shingles with the larger one's prefix. Infrequent prefix
+2. Order A: rising (logarithmic) frequency, then hash. Two linked sets share a
+   shingle among the first p(n) = n - ceil(3n/4) + 1 of each, and one among the
+   first n - ceil(6n/7) + 1 of the smaller. One document a class deals out its
+   prefix by shingle; shingles that only one class has go. Infrequent prefix
    shingles that no other class has bound a pair too: a class with z of them
-   overlaps any class whose prefix reaches the frequent ones by n - z at most,
-   hence links only to sizes up to (7 * (n - z)) / 3 - n. In groups of more
-   than SMALL classes not all pairs are formed: such groups are gathered by
-   their centre (the class with the smallest z / n, from which others were
-   copied): members meet the centre, those outside its component then meet
-   PIVOTS other central ones, and those still outside meet the members of
-   other components, pair by pair once.
-4. The candidates must share enough prefix shingles under order A and ORDERS
-   further orders (c shared ones bound the overlap by c plus what follows the
-   prefixes); what passes all filters is verified on whole sets.
-5. Links between classes give components by alternating stars (_graph).
+   overlaps any class whose prefix reaches the frequent ones by n - z at most.
+3. Groups of up to SMALL classes form pairs. A pair goes on if it shares enough
+   prefix shingles under order A and then under each of ORDERS other global
+   orders (c shared ones bound the overlap by c plus what follows the
+   prefixes). These filters are joined on prefixes of two bytes a shingle, and
+   intersected before any whole set is moved.
+4. Larger groups form no pairs of all. What a class with few prefix shingles in
+   them (light) can link to has one of a few sizes, by which it is joined. The
+   others are gathered by a centre, the class with the largest share of such
+   shingles; a member meets the centre alone and keeps its difference to it,
+   delta = (what it adds, what it lacks). For two members, |x xor y| = |dx| +
+   |dy| - 2 |dx and dy|, so a link between members of which one is not linked to
+   the centre (`apart`) needs at least (7 (|dx| + |dy|) - n - m) / 14 > 0 common
+   delta shingles. Pairs must share prefix shingles of their deltas under ORDERS +
+   1 global orders (additions first, which are rare), all of them, and are
+   verified on deltas.
+5. Whole sets of what is left of (3) are compared: first every class with the
+   candidate that has most candidates; then the pairs that these links leave unconnected.
+6. Links between classes give components by alternating stars (_graph).
 
 Defined results: null and empty texts and texts without words have the empty set,
 0 shingles, and are their own component; a text with fewer words than a shingle
 has one shingle, all its words; rows that repeat a document are one class; a
 null doc_id takes part in links, but is never a component's id unless no other
-id is there (then the component's id is null).
+id is there (then the component's id is null). Texts are held whole in a task,
+at about 30 bytes a word beside the text.
 """
 
 from __future__ import annotations
@@ -39,24 +47,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE, cut, gram_hash, long_array, map_arrow, mix, small_batches, slices, span_hash, utf8, words
+from ._common import LOWER, SPACE, cut, gram_hash, long_array, map_arrow, mix, release, small_batches, slices, span_hash, tidy, utf8, words
 from ._graph import components
 from .line_dedup import row_key
 
 SHINGLE = 5
 SMALL = 32
-PIVOTS = 8
+LIGHT = 10  # a class with fewer than n / LIGHT prefix shingles in large groups is light
 FREQUENT = 200_000
-LOCAL_COUNT = 3  # documents of one map window that make a shingle frequent
+LOCAL_COUNT = 3  # classes of one map window that make a shingle frequent
 LOCAL_TOKENS = 2_000_000
-ORDERS = 2
+ORDERS = 2  # besides order A
+SALTS = 64  # frequent shingles are dealt out over so many partitions
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
+FACTORS = [1, *(int(k) for k in mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1))]
 
 
 def prefix_size(n):
+    """Shingles of which a set of size n shares one with any linked set's prefix."""
     return n - (3 * n + 3) // 4 + 1
 
 
+def short_size(n):
+    """The same for the smaller set of a pair."""
+    return n - (6 * n + 6) // 7 + 1
+
+
 def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every row."""
     data, off = utf8(batch)
@@ -107,147 +123,328 @@ def _profile(batches):
                 held, size, seen = [], 0, set()
     if held:
         yield frequent()
+        del held
+    release()
+
 
+def levels(s: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How frequent each shingle of a set is: 0, or for the frequent ones the binary logarithm of their counts."""
+    token, level = late
+    if not len(token):
+        return np.zeros(len(s), np.uint8)
+    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    return np.where(token[at] == s, level[at], 0)
 
-def _among(s: np.ndarray, late: np.ndarray) -> np.ndarray:
-    return late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) and len(s) else np.zeros(len(s), bool)
 
+def ordered(s: np.ndarray, late: tuple[np.ndarray, np.ndarray], factor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A set in a global order, and its levels: rising frequency, and among equals the hash times an odd factor."""
+    level = levels(s, late)
+    order = np.lexsort((s * np.uint64(factor), level))
+    return s[order], level[order]
 
-def ordered(s: np.ndarray, late: np.ndarray, factor: int = 1) -> np.ndarray:
-    """A set in a global order: frequent shingles last, otherwise by hash times an odd factor."""
-    key = s * np.uint64(factor)
-    return s[np.lexsort((key, _among(s, late)))]
 
+def frequent_shingles(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most counted shingles (at most FREQUENT of them) in ascending order, and their levels."""
+    counted = profile.filter("cls is null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
+    token = np.array([r["token"] for r in counted], np.int64).view(np.uint64)
+    level = np.log2(np.array([r["times"] for r in counted], np.float64)).astype(np.uint8)
+    order = np.argsort(token)
+    return token[order], level[order]
 
-def _picked(source: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFrame:
-    """Rows (k_id, k_crc, text) whose key is, or is not, among the given ones; those are broadcast if few."""
-    return source.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, ["k_id", "k_crc"], how)
 
+def _picked(source: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Rows whose key is, or is not, among the given ones (a checkpointed table); those are broadcast if few."""
+    return source.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
-def _verify(pairs: DataFrame, sets: DataFrame, late) -> DataFrame:
-    """Of the pairs (x, y), those that share enough of every order's prefixes and whose whole sets link."""
-    factors = [1, *(int(k) for k in mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1))]
 
-    def passes(a: np.ndarray, b: np.ndarray) -> bool:
-        need = -(-3 * (len(a) + len(b)) // 7)
-        p, q = prefix_size(len(a)), prefix_size(len(b))
-        for k in factors:
-            c = len(np.intersect1d(ordered(a, late.value, k)[:p], ordered(b, late.value, k)[:q], assume_unique=True))
-            if c < max(1, need - max(len(a) - p, len(b) - q)):
-                return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= 75 * (len(a) + len(b) - both)
+def _arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(pa.RecordBatch) -> pa.RecordBatch over tables without texts."""
 
     def run(batches):
         for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("sx", "sy"))
-            yield batch.select(["a", "b"]).filter(pa.array([passes(a, b) for a, b in zip(x, y)], pa.bool_()))
+            if batch.num_rows:
+                yield fn(batch)
+        release()
 
-    small_batches(pairs.sparkSession)
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sx"))
-    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sy"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sx", "sy").mapInArrow(run, "a long, b long")
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k_id, k_crc, n, cls) of every row, and (a, b): verified links between classes that connect all that are linked."""
-    spark = docs.sparkSession
-    source = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
-    small_batches(spark)
-    profile = cut(source.mapInArrow(_profile, "k_id long, k_crc long, n long, cls long, token long, times long"))
-    rows = profile.filter("cls is not null").select("k_id", "k_crc", "n", "cls")
-    counted = profile.filter("cls is null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
-    late = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in counted.select("token").collect()], np.int64).view(np.uint64)))
+def _sets(batch: pa.RecordBatch, name: str, kind=np.uint64) -> list[np.ndarray]:
+    return [np.frombuffer(v, kind) for v in batch.column(name).to_pylist()]
+
+
+def _packed(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.tobytes() for v in arrays], pa.binary())
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _pair(x: str = "cls1", y: str = "cls2") -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with columns of table (by cls) for both: named c1 and c2."""
+    for k, v in (("1", "a"), ("2", "b")):
+        pairs = pairs.join(table.select(F.col("cls").alias(v), *(F.col(c).alias(c + k) for c in columns)), v)
+    return pairs
 
-    # one document stands for each class
-    full = rows.filter("cls <> 0")
-    one = full.groupBy("cls").agg(F.min(F.struct("k_id", "k_crc")).alias("k")).select("cls", "k.*")
-    others = cut(full.join(one, ["k_id", "k_crc", "cls"], "left_anti").select("k_id", "k_crc").distinct())
-    apart = _picked(source, others, others.count(), "left_anti")
+
+def _prefix_rows(apart: DataFrame, late) -> tuple[DataFrame, DataFrame]:
+    """Prefix shingles under order A that several classes have: cold (infrequent) and hot rows.
+
+    token, cls, n, short, most, df, centre. short: the shingle is among those of
+    the smaller set of a pair; most: the largest size that a class can link to
+    through a frequent shingle; centre: the class that gathers a large group.
+    """
 
     def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens, cls, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in shingle_sets(batch):
             if len(s):
-                head = ordered(s, late.value)[: prefix_size(len(s))]
-                hot = _among(head, late.value).astype(np.int64)
+                head, level = (x[: prefix_size(len(s))] for x in ordered(s, late.value))
+                hot = (level > 0).astype(np.int64)
                 tokens.append(head)
                 cls.append(np.full(len(head), set_class(s)))
-                short = (np.arange(len(head)) < len(s) - (6 * len(s) + 6) // 7 + 1).astype(np.int64)
-                packed.append(hot + 2 * hot[-1] + 4 * short + 8 * (len(hot) - hot.sum()) + (len(s) << 32))
+                short = (np.arange(len(head)) < short_size(len(s))).astype(np.int64)
+                packed.append(hot + 2 * short + 4 * (len(hot) - hot.sum()) + (len(s) << 32))
         return pa.RecordBatch.from_pydict({"token": long_array(np.concatenate(tokens)), "cls": np.concatenate(cls), "packed": np.concatenate(packed)})
 
-    whole = Window.partitionBy("token")
-    held = map_arrow(apart, prefixes, "token long, cls long, packed long")
-    held = cut(held.withColumn("df", F.count(F.lit(1)).over(whole)).filter("df > 1").drop("df"))
-    # hot: a frequent shingle; far: the prefix reaches frequent ones; short: enough for the smaller of a pair;
+    hot = F.col("packed") % 2 == 1
+    # frequent shingles need no count here, so that none is one task's work
+    salt = F.when(hot, F.pmod("cls", F.lit(SALTS))).otherwise(0)
+    same = Window.partitionBy("token", "salt")
+    held = map_arrow(apart, prefixes, "token long, cls long, packed long").withColumn("salt", salt)
+    held = held.withColumn("df", F.count(F.lit(1)).over(same)).withColumn("centre", F.min("cls").over(same)).filter(hot | (F.col("df") > 1))
     # own: infrequent shingles in the prefix; n: the set's size
-    bit = lambda k: (F.shiftright("packed", k) % 2 == 1)
-    held = held.select("token", "cls", bit(0).alias("hot"), bit(1).alias("far"), bit(2).alias("short"), (F.shiftright("packed", 3) % (1 << 29)).alias("own"), F.shiftright("packed", 32).alias("n"))
-    met = held.filter("not hot").groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
-    held = held.join(met, "cls", "left").withColumn("z", F.col("own") - F.coalesce("met", F.lit(0)))
-    held = held.withColumn("most", F.floor((F.col("n") - F.col("z")) * 7 / F.lit(3.0) + F.lit(1e-9)).cast("long") - F.col("n"))
-    held = held.filter(~F.col("hot") | (F.col("most") * 4 >= F.col("n") * 3))  # else too small for any partner here
-    held = held.withColumn("share", F.col("z") / F.col("n")).withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("centre", F.min(F.struct("share", "cls")).over(whole)["cls"])
-    held = cut(held.filter("df > 1").select("token", "cls", "n", "most", "far", "short", "share", "df", "centre"))
+    held = cut(held.select("token", "cls", F.shiftright("packed", 32).alias("n"), (F.shiftright("packed", 1) % 2 == 1).alias("short"), hot.alias("hot"), (F.shiftright("packed", 2) % (1 << 30)).alias("own"), "df", "centre"))
+    cold = held.filter("not hot")
+    met = cold.groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
+    rows = held.filter("hot").join(met, "cls", "left").withColumn("z", F.col("own") - F.coalesce("met", F.lit(0)))
+    rows = rows.withColumn("most", F.floor((F.col("n") - F.col("z")) * 7 / F.lit(3.0) + F.lit(1e-9)).cast("long") - F.col("n"))
+    rows = cut(rows.filter(F.col("most") * 4 >= F.col("n") * 3).select("token", "cls", "n", "short", "most", (F.col("z") / F.col("n")).alias("share")))
+    of_token = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("share", "cls"))["cls"].alias("centre")).filter("df > 1")
+    columns = ["token", "cls", "n", "short", "most", "df", "centre"]
+    return cold.withColumn("most", F.col("n") * 2).select(*columns), cut(rows.join(of_token, "token").select(*columns))
+
+
+def _need(n1: Column, n2: Column) -> Column:
+    """Prefix shingles that two linked sets of these sizes have in common at least."""
+    return F.ceil((n1 + n2) * 3 / F.lit(7.0) - F.lit(1e-9)) - F.ceil(F.greatest(n1, n2) * 3 / F.lit(4.0)) + 1
+
+
+def _small_pairs(held: DataFrame, in_large: DataFrame) -> DataFrame:
+    """(a, b) from groups of up to SMALL classes that may share enough prefix shingles under order A.
 
+    c shared ones of small groups, and as many of large ones as either has, bound what they share.
+    """
     few = held.filter(F.col("df") <= SMALL)
-    many = held.filter(F.col("df") > SMALL).groupBy("centre", "cls", "n", "most", "far", "share").agg(F.max("short").alias("short"))
-    side = lambda rows, k, key, *more: rows.select(key, *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "most", "far", *more)))
+    side = lambda k: few.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "most", "short")))
     first_smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cls1") < F.col("cls2")))
-    fits = (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3) & (~F.col("far2") | (F.col("n2") <= F.col("most1"))) & (~F.col("far1") | (F.col("n1") <= F.col("most2")))
-    pair = [F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")]
-
-    # c prefix shingles of small groups in common, and as many of large ones as either has, bound the overlap
-    met_in = side(few, 1, "token", "short").join(side(few, 2, "token"), "token").filter(first_smaller & fits)
-    shared = met_in.groupBy("cls1", "cls2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("short1").alias("near")).filter("near")
-    in_large = held.filter(F.col("df") > SMALL).groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
+    fits = (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") <= F.col("most1")) & (F.col("n1") <= F.col("most2"))
+    shared = side(1).join(side(2).drop("short2"), "token").filter(first_smaller & fits)
+    shared = shared.groupBy("cls1", "cls2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("short1").alias("near"))
     for k in (1, 2):
         shared = shared.join(in_large.select(F.col("cls").alias(f"cls{k}"), F.col("m").alias(f"m{k}")), f"cls{k}", "left")
-    most_shared = F.col("c") + F.least(F.coalesce("m1", F.lit(0)), F.coalesce("m2", F.lit(0)))
-    need = F.ceil((F.col("n1") + F.col("n2")) * 3 / F.lit(7.0) - F.lit(1e-9)) - F.greatest(*(F.ceil(F.col(n) * 3 / F.lit(4.0)) - 1 for n in ("n1", "n2")))
-    shared = shared.filter(most_shared >= need).select(*pair)
-    members = cut(many)
-    to_centre = members.filter("cls = centre").select("centre", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "most", "far")))
-    star = side(members, 1, "centre").join(to_centre, "centre").filter("cls1 <> cls2").filter(fits).select(*pair)
-    pairs = cut(shared.unionByName(star).distinct())
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(one, "cls").select("k_id", "k_crc").distinct()
-        wanted = cut(wanted)
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s = shingle_sets(batch)
-            return pa.RecordBatch.from_pydict({"cls": pa.array([set_class(v) for v in s], pa.int64()), "s": pa.array([v.tobytes() for v in s], pa.binary())})
-
-        made = map_arrow(_picked(source, wanted, wanted.count(), "left_semi"), run, "cls long, s binary")
-        return cut(made)
-
-    links = cut(_verify(pairs, sets_of(pairs), late))
-    if members.isEmpty():
-        return rows, links
-
-    def placed(links: DataFrame) -> DataFrame:
-        """The members with their components; apart: not the centre's."""
-        at = members.join(components(links).withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        main = at.filter("cls = centre").select("centre", F.col("root").alias("main"))
-        return cut(at.join(main, "centre").withColumn("apart", F.col("root") != F.col("main")))
-
-    # large groups: members outside the centre's component meet other central ones, then those of other components
-    central = [F.min(F.struct(F.floor(F.col("share") * 20), F.xxhash64("cls", F.lit(k)), "cls", "n", "most", "far")) for k in range(PIVOTS)]
-    pivots = members.groupBy("centre").agg(F.array_distinct(F.array(*central)).alias("p")).select("centre", F.explode("p").alias("p")).select("centre", "p.cls", "p.n", "p.most", "p.far")
-    star = side(placed(links).filter("apart"), 1, "centre").join(side(pivots, 2, "centre"), "centre").filter("cls1 <> cls2").filter(fits).select(*pair)
-    second = cut(star.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = cut(links.unionByName(_verify(second, sets_of(second), late)))
-        pairs = pairs.unionByName(second)
-    at = placed(links)
-    meet = side(at.filter("apart"), 1, "centre", "root", "short").join(side(at, 2, "centre", "root", "short", "apart"), "centre")
-    meet = meet.filter("root1 <> root2 and (not apart2 or cls1 < cls2)").filter(fits & F.when(first_smaller, F.col("short1")).otherwise(F.col("short2")))
-    more = cut(meet.select(*pair).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return rows, links
-    return rows, cut(links.unionByName(_verify(more, sets_of(more), late)))
+    large = F.least(F.coalesce("m1", F.lit(0)), F.coalesce("m2", F.lit(0)))
+    return shared.filter((F.col("near") | (large > 0)) & (F.col("c") + large >= _need(F.col("n1"), F.col("n2")))).select(*_pair())
+
+
+def _light_pairs(large: DataFrame) -> DataFrame:
+    """(a, b) of large groups (centre, cls, n, m) in which one has few shingles of large groups (m) for its size.
+
+    What they share under order A lies in large groups alone here (else small
+    groups have the pair), so m is at least _need(): the partner's size is within
+    about 3 m of the most or the least that can link.
+    """
+    room = F.col("m") * 28 / F.lit(9.0) + 4
+    above = F.sequence(F.floor(F.col("n") * 4 / F.lit(3.0) - room), F.floor(F.col("n") * 4 / F.lit(3.0)))
+    below = F.sequence(F.floor(F.col("n") * 3 / F.lit(4.0)), F.floor((F.col("n") + room) * 3 / F.lit(4.0)))
+    sizes = F.explode(F.array_distinct(F.concat(above, below))).alias("n2")
+    light = large.filter(F.col("m") * LIGHT < F.col("n")).select("centre", F.col("cls").alias("cls1"), F.col("n").alias("n1"), F.col("m").alias("m1"), sizes)
+    pairs = light.join(large.select("centre", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "m"))), ["centre", "n2"])
+    fits = (F.col("cls1") != F.col("cls2")) & (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3)
+    return pairs.filter(fits & (_need(F.col("n1"), F.col("n2")) <= F.least("m1", "m2"))).select(*_pair())
+
+
+def _class_sets(source: DataFrame, one: DataFrame, classes: DataFrame, late) -> DataFrame:
+    """cls, n, s (the whole set) and head1 .. (prefixes under the other orders, two bytes a shingle) of the given classes."""
+    wanted = cut(classes.join(one, "cls").select("k_id", "k_crc").distinct())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch)
+        out = {"cls": pa.array([set_class(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "s": _packed(sets)}
+        for k, factor in enumerate(FACTORS[1:], 1):
+            out[f"head{k}"] = _packed([np.unique((ordered(s, late.value, factor)[0][: prefix_size(len(s))] >> np.uint64(48)).astype(np.uint16)) for s in sets])
+        return pa.RecordBatch.from_pydict(out)
+
+    heads = "".join(f", head{k} binary" for k in range(1, ORDERS + 1))
+    return cut(map_arrow(_picked(source, wanted, ["k_id", "k_crc"], "left_semi"), run, "cls long, n long, s binary" + heads))
+
+
+def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that share enough prefix shingles under every further order.
+
+    Two bytes can make different shingles one: as many as a set lost that way
+    count as shared, so that no pair is dropped wrongly.
+    """
+    names = [f"head{k}" for k in range(1, ORDERS + 1)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
+        p1, p2 = prefix_size(n1), prefix_size(n2)
+        need = np.maximum(1, -(-3 * (n1 + n2) // 7) - np.maximum(n1 - p1, n2 - p2))
+        ok = np.ones(len(n1), bool)
+        for name in names:
+            x, y = _sets(batch, f"{name}1", np.uint16), _sets(batch, f"{name}2", np.uint16)
+            for i in np.flatnonzero(ok).tolist():
+                ok[i] = _common(x[i], y[i]) + min(p1[i] - len(x[i]), p2[i] - len(y[i])) >= need[i]
+        return batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return cut(_arrow(_both(pairs, sets, "n", *names).select("a", "b", "n1", "n2", *(n + k for n in names for k in "12")), run, "a long, b long"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a checkpointed table) those whose whole sets link."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for x, y in zip(_sets(batch, "s1"), _sets(batch, "s2")):
+            both = _common(x, y)
+            ok.append(100 * both >= 75 * (len(x) + len(y) - both))
+        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    classes = cut(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
+    return cut(_arrow(_both(pairs, _picked(sets.select("cls", "s"), classes, ["cls"], "left_semi"), "s").select("a", "b", "s1", "s2"), run, "a long, b long"))
+
+
+def _deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """centre, cls, n, m (the centre's size), d (size of the difference), apart, adds, lacks for every member but the centre."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        adds, lacks, n, m = [], [], [], []
+        for x, c in zip(_sets(batch, "s"), _sets(batch, "sc")):
+            adds.append(np.setdiff1d(x, c, assume_unique=True))
+            lacks.append(np.setdiff1d(c, x, assume_unique=True))
+            n.append(len(x))
+            m.append(len(c))
+        d = np.array([len(x) + len(y) for x, y in zip(adds, lacks)], np.int64)
+        far = 7 * d > np.array(n) + np.array(m)
+        return pa.RecordBatch.from_pydict({"centre": batch.column("centre"), "cls": batch.column("cls"), "n": n, "m": m, "d": d, "apart": far, "adds": _packed(adds), "lacks": _packed(lacks)})
+
+    few = lambda name, as_: _picked(sets.select(F.col("cls").alias(name), F.col("s").alias(as_)), cut(members.select(name).distinct()), [name], "left_semi")
+    rows = members.filter("cls <> centre").join(few("cls", "s"), "cls").join(few("centre", "sc"), "centre").select("centre", "cls", "s", "sc")
+    return cut(_arrow(rows, run, "centre long, cls long, n long, m long, d long, apart boolean, adds binary, lacks binary"))
+
+
+def _delta_links(deltas: DataFrame) -> DataFrame:
+    """Links between members of a large group of which one is apart from its centre."""
+    groups = deltas.filter("apart").select("centre").distinct()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = ("centre", "cls", "n", "m", "d", "apart")
+        centre, cls, size, centre_size, _, away = (batch.column(c).to_pylist() for c in columns)
+        parts = {k: [np.zeros(0, np.int64)] for k in (*columns[:3], "d", "token", *(f"r{k}" for k in range(len(FACTORS))))}
+        flags: dict[str, list] = {k: [np.zeros(0, bool)] for k in ("apart", "as_x", "as_y")}
+        for i, (more, less) in enumerate(zip(_sets(batch, "adds"), _sets(batch, "lacks"))):
+            token, late = np.concatenate((more, less)), np.repeat([False, True], (len(more), len(less)))
+            d, n, m = len(token), size[i], centre_size[i]
+            ranks = np.empty((len(FACTORS), d), np.int64)
+            for k, factor in enumerate(FACTORS):
+                ranks[k, np.lexsort((token * np.uint64(factor), late))] = np.arange(d)
+            least = ranks.min(0)
+            as_x = (least <= d - max(1, -(-(7 * d - n - m) // 14))) & away[i]  # whoever the partner is
+            as_y = least <= d - max(1, (7 * d - n + m) // 14 + 1)  # whichever partner that is apart
+            keep = as_x | as_y
+            some = int(keep.sum())
+            for name, v in (("centre", centre[i]), ("cls", cls[i]), ("n", n), ("d", d)):
+                parts[name].append(np.full(some, v, np.int64))
+            parts["token"].append(token[keep].view(np.int64))
+            for k in range(len(FACTORS)):
+                parts[f"r{k}"].append(ranks[k, keep])
+            for name, v in (("apart", np.full(some, away[i])), ("as_x", as_x[keep]), ("as_y", as_y[keep])):
+                flags[name].append(v)
+        return pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in (parts | flags).items()})
+
+    fields = ["centre long", "cls long", "n long", "d long", "token long", *(f"r{k} long" for k in range(len(FACTORS))), "apart boolean", "as_x boolean", "as_y boolean"]
+    rows = cut(_arrow(deltas.join(groups, "centre", "left_semi"), run, ", ".join(fields)))
+    names = ("cls", "n", "d", "apart", *(f"r{k}" for k in range(len(FACTORS))))
+    side = lambda role, k: rows.filter(role).select("centre", "token", *(F.col(c).alias(f"{c}_{k}") for c in names))
+    # both in the prefix that this pair needs: n - common + 1 of either
+    common = F.ceil((7 * (F.col("d_x") + F.col("d_y")) - F.col("n_x") - F.col("n_y")) / F.lit(14.0) - F.lit(1e-9))
+    near = [(F.col(f"r{k}_x") <= F.col("d_x") - common) & (F.col(f"r{k}_y") <= F.col("d_y") - common) for k in range(len(FACTORS))]
+    met = F.lit(0)
+    for k, ok in enumerate(near):
+        met = met + F.when(ok, 1 << k).otherwise(0)
+    once = F.when(F.col("apart_y"), F.col("cls_x") < F.col("cls_y")).otherwise(F.lit(True))
+    pairs = side("as_x", "x").join(side("as_y", "y"), ["centre", "token"]).filter(once & (met > 0))
+    pairs = pairs.groupBy("centre", "cls_x", "cls_y").agg(F.bit_or(met).alias("met")).filter(F.col("met") == (1 << len(FACTORS)) - 1)
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, d = (sum(batch.column(f"{c}_{k}").to_numpy() for k in "xy") for c in ("n", "d"))
+        both = [_common(a, b) + _common(c, e) for a, b, c, e in zip(*(_sets(batch, f"{c}_{k}") for c in ("adds", "lacks") for k in "xy"))]
+        return batch.select(["a", "b"]).filter(pa.array(7 * (d - 2 * np.array(both)) <= n))
+
+    for k in "xy":
+        pairs = pairs.join(deltas.select("centre", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "d", "adds", "lacks"))), ["centre", f"cls_{k}"])
+    return cut(_arrow(pairs.select(*_pair("cls_x", "cls_y"), *(f"{c}_{k}" for c in ("n", "d", "adds", "lacks") for k in "xy")), verify, "a long, b long"))
+
+
+def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k_id, k_crc, n, cls) of every row, and (a, b): verified links between classes that connect all that are linked."""
+    spark = docs.sparkSession
+    source = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    small_batches(spark)
+    profile = cut(source.mapInArrow(_profile, "k_id long, k_crc long, n long, cls long, token long, times long"))
+    rows = profile.filter("cls is not null").select("k_id", "k_crc", "n", "cls")
+    late = spark.sparkContext.broadcast(frequent_shingles(profile))
+
+    # one document stands for each class
+    full = rows.filter("cls <> 0")
+    one = full.groupBy("cls").agg(F.min(F.struct("k_id", "k_crc")).alias("k")).select("cls", "k.*")
+    others = cut(full.join(one, ["k_id", "k_crc", "cls"], "left_anti").select("k_id", "k_crc").distinct())
+    cold, hot = _prefix_rows(_picked(source, others, ["k_id", "k_crc"], "left_anti"), late)
+    held = cold.unionByName(hot)
+    in_large = cut(held.filter(F.col("df") > SMALL).groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")))
+    large = cut(held.filter(F.col("df") > SMALL).select("centre", "cls").distinct().join(in_large, "cls"))
+    pairs = cut(_small_pairs(held, in_large).unionByName(_light_pairs(large)).distinct())
+    tidy(spark)
+    heavy = large.filter(F.col("m") * LIGHT >= F.col("n"))
+    centres = heavy.groupBy("centre").agg(F.min(F.struct(-F.col("m") / F.col("n"), "cls"))["cls"].alias("own"))
+    members = cut(heavy.join(centres, "centre").select(F.col("own").alias("centre"), "cls").distinct())
+    classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(members.select("cls")).distinct()
+    sets = _class_sets(source, one, classes, late)
+    tidy(spark)
+
+    links = []
+    if not members.isEmpty():
+        deltas = _deltas(members, sets)
+        links += [deltas.filter("not apart").select(*_pair("centre", "cls")), _delta_links(deltas)]
+    pairs = _filtered(pairs, sets)
+    if not pairs.isEmpty():
+        # every class meets its most central candidate; then what these links leave apart
+        edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = edges.groupBy("b").agg((-F.count(F.lit(1))).alias("rank"))
+        best = edges.join(rank, "b").groupBy("a").agg(F.min(F.struct("rank", "b"))["b"].alias("b"))
+        first = cut(best.select(*_pair("a", "b")).distinct())
+        links.append(_verified(first, sets))
+        known = links[0].unionByName(links[-1]) if len(links) > 1 else links[-1]
+        up = cut(known.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("up")))
+        top = up.join(up.select(F.col("v").alias("up"), F.col("up").alias("top")), "up", "left").select("v", F.coalesce("top", "up").alias("top"))
+        rest = pairs.join(first, ["a", "b"], "left_anti")
+        for k in ("a", "b"):
+            rest = rest.join(top.select(F.col("v").alias(k), F.col("top").alias(f"top_{k}")), k, "left")
+        rest = cut(rest.filter(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"))
+        if not rest.isEmpty():
+            links.append(_verified(rest, sets))
+    late.unpersist()
+    found = links[0] if links else spark.createDataFrame([], "a long, b long")
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
