@@ -2,27 +2,39 @@
 
 A shard is a slice of documents. Its suffix array holds the word suffixes,
 sorted as big-endian strings of word hashes. Only suffixes whose first words
-also begin some benchmark suffix are sorted: no other can match a window, so
-this sieve loses nothing. Every benchmark suffix is binary-searched in every
-shard; the two ends of its range give all places, and its neighbours give the
-longest verbatim match. The job is map-only, whatever the number of documents.
-The benchmark goes out in blocks of at most BLOCK_WORDS words, each read
-against all shards, so what is broadcast has a fixed bound; each block adds
-to what earlier ones found in a row.
+also begin some benchmark suffix are sorted (SIEVE words, or a whole shorter
+item): no other can match a window, so this sieve loses nothing. Every benchmark
+suffix is binary-searched in every shard; the two ends of its range give all
+places. Windows that follow each other both in a document and in an item are one
+longer match; a shorter one shows when the shard's suffixes are searched among
+the benchmark's sorted ones, as the words shared with either neighbour.
+
+The benchmark goes out in blocks of about BLOCK_WORDS words. One block makes the
+job map-only; of several, each is broadcast, searched, its findings are
+checkpointed (rows with a match only) and released before the next is built, so
+that what the driver, a broadcast or a worker holds doesn't grow with the
+benchmark; findings are then joined to the documents.
 
 Defined results: null, empty or separator-only texts have no words and are
 clean; a benchmark item without words has no window; repeated document rows
-are judged one by one; equal items both count.
+are judged one by one; equal items both count. The longest match is a run of
+words that stands as such in one item (longest_item, one of them); of equally
+long ones the first in the document; 0 words without a match of SIEVE words or a
+whole shorter item. A text is held whole, at about 60 bytes a word.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_ALNUM, covered, gram_hash, id_text, long_array, map_arrow, runs, span_hash, utf8, words
+from ._common import LOWER, NOT_ALNUM, covered, cut, gram_hash, id_text, long_array, map_arrow, runs, span_hash, utf8, words
 
 WINDOW = 10
 SIEVE = 3
@@ -63,9 +75,13 @@ class Tests:
         self.is_window = (self.words == window) | ((size[item] < window) & (at == first[item])) if len(h) else np.zeros(0, bool)
         self.item = item
         self.suffix = _suffix_rows(h, at, end, window)
-        self.depth = max(1, min(SIEVE, int(size[size > 0].min()) if (size > 0).any() else 1))
-        whole = at + self.depth <= end
-        self.begin = np.unique(gram_hash(h, self.depth)[at[whole]]) if len(h) >= self.depth else np.zeros(0, np.uint64)
+        self.order = np.argsort(self.suffix, kind="stable")
+        self.begin = {}  # by depth: how suffixes begin that can match
+        for depth in range(1, SIEVE + 1):
+            long_enough = size[item] >= depth if depth == SIEVE else size[item] == depth
+            some = at[long_enough & (at + depth <= end)] if len(h) else at
+            if len(some):
+                self.begin[depth] = np.unique(gram_hash(h, depth)[some])
 
 
 def _common_words(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
@@ -75,23 +91,37 @@ def _common_words(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
     return np.where(same.all(1), window, np.argmin(same, 1))
 
 
-def _search(batch: pa.RecordBatch, t: Tests, keep_text: bool = False) -> pa.RecordBatch:
-    """One block against one shard; what earlier blocks have found in these rows is in the batch and is added to."""
+def _sieved(h: np.ndarray, t: Tests) -> np.ndarray:
+    """Places where a suffix begins that may match; documents' ends are respected later, by padding."""
+    may = np.zeros(len(h), bool)
+    for depth, begin in t.begin.items():
+        grams = gram_hash(h, depth)
+        may[: len(grams)] |= begin[np.minimum(np.searchsorted(begin, grams), len(begin) - 1)] == grams
+    return np.flatnonzero(may)
+
+
+def _chains(place: np.ndarray, test: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner, first place, first test suffix and words of every maximal match, from all places of whole windows."""
+    order = np.lexsort((place, place - test))
+    place, test, owner = place[order], test[order], owner[order]
+    head = np.ones(len(place), bool)
+    head[1:] = (np.diff(place) != 1) | (np.diff(test) != 1) | (np.diff(owner) != 0)
+    at = np.flatnonzero(head)
+    return owner[at], place[at], test[at], np.diff(np.append(at, len(place))) + window - 1
+
+
+def _search(batch: pa.RecordBatch, t: Tests) -> pa.RecordBatch:
+    """One block against one shard."""
     h, first = _word_hashes(batch)
     n, window = batch.num_rows, t.window
-    grams = gram_hash(h, t.depth)
-    # documents' ends are respected below: suffix rows are padded at them
-    sieve = np.zeros(0, np.int64)
-    if len(grams) and len(t.begin):
-        near = np.minimum(np.searchsorted(t.begin, grams), len(t.begin) - 1)
-        sieve = np.flatnonzero(t.begin[near] == grams)
+    sieve = _sieved(h, t)
     doc = np.searchsorted(first, sieve, "right") - 1
     end = first[doc + 1]
     rows = _suffix_rows(h, sieve, end, window)
     order = np.argsort(rows, kind="stable")
     array, place, owner = rows[order], sieve[order], doc[order]
 
-    hit_start, hit_len = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hit = np.zeros(len(h), bool)
     pairs = np.zeros((0, 2), np.int64)
     best = np.zeros((3, n), np.int64)
     best[2] = -1
@@ -105,43 +135,34 @@ def _search(batch: pa.RecordBatch, t: Tests, keep_text: bool = False) -> pa.Reco
         take = np.flatnonzero(t.is_window & (high > low))
         count = (high - low)[take]
         at = np.repeat(low[take], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        hit_start.append(place[at])
-        hit_len.append(np.repeat(t.words[take], count))
-        pairs = np.unique(np.stack([owner[at], np.repeat(t.item[take], count)], 1), axis=0)
-        # longest match (in words, as far as the compared width) of each document, from the neighbours of every test suffix
-        near, test = np.concatenate((low - 1, low)), np.tile(np.arange(len(low)), 2)
-        ok = (near >= 0) & (near < len(array))
-        near, test = near[ok], test[ok]
+        of = np.repeat(take, count)
+        hit = covered(len(h), place[at], t.words[of])
+        pairs = np.unique(np.stack([owner[at], t.item[of]], 1), axis=0)
+        # longest matches: chains of whole windows; every place's neighbours among the test suffixes for what is shorter
+        whole = t.words[of] == window
+        found = [_chains(place[at][whole], of[whole], owner[at][whole], window)]
+        at = np.searchsorted(t.suffix[t.order], array)
+        near, test = np.tile(np.arange(len(array)), 2), np.concatenate((at - 1, at))
+        ok = (test >= 0) & (test < len(t.suffix))
+        near, test = near[ok], t.order[test[ok]]
         got = _common_words(array[near], t.suffix[test], window)
-        near, test, got = near[got > 0], test[got > 0], got[got > 0]
-        rank = np.lexsort((test, place[near], -got, owner[near]))
-        d, at = np.unique(owner[near][rank], return_index=True)
+        some = (got < window) & (got >= SIEVE) | (got == t.words[test]) & t.is_window[test]
+        found.append((owner[near[some]], place[near[some]], test[some], got[some]))
+        whose, where, test, size = (np.concatenate(x) for x in zip(*found))
+        rank = np.lexsort((test, where, -size, whose))
+        d, at = np.unique(whose[rank], return_index=True)
         k = rank[at]
-        best[:, d] = got[k], place[near[k]] - first[d], t.item[test[k]]
+        best[:, d] = size[k], where[k] - first[d], t.item[test[k]]
     items = [set() for _ in range(n)]
     for r, i in pairs.tolist():
         items[r].add(t.item_ids[i])
     ids = [t.item_ids[i] if i >= 0 else None for i in best[2]]
-    if "hits" in batch.schema.names:
-        before = [batch.column(c).to_pylist() for c in ("hits", "items", "longest_words", "longest_start", "longest_item")]
-        for r, (spans, known, w, at, item) in enumerate(zip(*before)):
-            hit_start.append(np.array([x["start"] for x in spans], np.int64) + first[r])
-            hit_len.append(np.array([x["length"] for x in spans], np.int64))
-            items[r].update(known)
-            if w > best[0, r]:
-                best[0, r], best[1, r], ids[r] = w, at, item
-    hit = covered(len(h), np.concatenate(hit_start), np.concatenate(hit_len))
     s, e, row = runs(hit, first)
     spans = [[] for _ in range(n)]
     for a, b, r in zip(s.tolist(), e.tolist(), row.tolist()):
         spans[r].append({"start": a - int(first[r]), "length": b - a})
-        if b - a > best[0, r]:
-            best[0, r], best[1, r] = b - a, a - first[r]
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), long_array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array([list(x) for x in items], pa.list_(pa.int64())), pa.array(best[0], pa.int32()), pa.array(best[1], pa.int32()), pa.array(ids, pa.int64())]
-        + [batch.column("text")] * keep_text,
-        names=["doc_id", "n_words", "hits", "items", "longest_words", "longest_start", "longest_item"] + ["text"] * keep_text,
-    )
+    found = [long_array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array([list(x) for x in items], pa.list_(pa.int64())), pa.array(best[0], pa.int32()), pa.array(best[1], pa.int32()), pa.array(ids, pa.int64())]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", "n_words", "hits", "items", "longest_words", "longest_start", "longest_item"])
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
@@ -156,24 +177,81 @@ def _blocks(benchmark: DataFrame, block_words: int):
     yield rows
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, item_col: str = "item_id") -> DataFrame:
-    """Per document row: doc_id, n_words, hits (spans of hit words), items (ids whose windows occur), and the longest match."""
-    items = id_text(benchmark, item_col).filter("text is not null")
-    found = id_text(docs)
-    blocks = list(_block_tests(items, block_words, window))
-    for k, tests in enumerate(blocks, 1):
-        shared = docs.sparkSession.sparkContext.broadcast(tests)
-        keep = k < len(blocks)
-        found = map_arrow(found, lambda b, s=shared, keep=keep: _search(b, s.value, keep), _FOUND + ", text string" * keep)
-    return found
-
-
 def _block_tests(items: DataFrame, block_words: int, window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
     for rows in _blocks(items, block_words):
         yield Tests(pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], schema=schema), window)
 
 
+def _keyed(docs: DataFrame) -> list[Column]:
+    """What tells rows apart as far as their findings can differ: id and two checksums of the text."""
+    text = F.col("text").cast("string")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64(text).alias("k_hash"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("k_crc")]
+
+
+KEYS = ["k_id", "k_hash", "k_crc"]
+
+
+def _merged(spans: pd.Series) -> pd.Series:
+    """Spans that several blocks found, as the maximal runs that they cover."""
+    out = []
+    for found in spans:
+        start, length = (np.array([x[k] for x in found], np.int64) for k in ("start", "length"))
+        n = int((start + length).max()) if len(start) else 0
+        s, e, _ = runs(covered(n, start, length), np.array([0, n]))
+        out.append([{"start": int(a), "length": int(z - a)} for a, z in zip(s, e)])
+    return pd.Series(out)
+
+
+def _by_blocks(docs: DataFrame, blocks) -> DataFrame:
+    """KEYS, hits, items, longest of all rows with a match, the blocks one after another."""
+    source = docs.select(*_keyed(docs), "doc_id", F.col("text").cast("string").alias("text"))
+    names = ["hits", "items", "longest_words", "longest_start", "longest_item"]
+    parts = []
+    for tests in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            found = _search(batch, shared.value)
+            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), *(found.column(c) for c in names)], names=KEYS + names)
+            return out.filter(pc.greater(found.column("longest_words"), 0))
+
+        schema = f"k_id long, k_hash long, k_crc long, {_FOUND.split('n_words long, ')[1]}"
+        parts.append(cut(map_arrow(source, run, schema)).withColumn("block", F.lit(len(parts))))
+        shared.destroy()
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    longest = F.max(F.struct("longest_words", (-F.col("longest_start")).alias("start"), (-F.col("block")).alias("block"), "longest_item"))
+    spans = F.pandas_udf(_merged, _SPAN)
+    found = found.dropDuplicates([*KEYS, "block"]).groupBy(KEYS).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), longest.alias("best"))
+    return cut(found.select(*KEYS, spans("hits").alias("hits"), "items", F.col("best.longest_words").alias("longest_words"), (-F.col("best.start")).alias("longest_start"), F.col("best.longest_item").alias("longest_item")))
+
+
+def _first_or_all(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, item_col: str):
+    """The broadcast of the only block and None, or None and the findings of all blocks."""
+    blocks = _block_tests(id_text(benchmark, item_col).filter("text is not null"), block_words, window)
+    tests, more = next(blocks), next(blocks, None)
+    if more is None:
+        return docs.sparkSession.sparkContext.broadcast(tests), None
+    return None, _by_blocks(docs, itertools.chain([tests, more], blocks))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, item_col: str = "item_id") -> DataFrame:
+    """Per document row: doc_id, n_words, hits (spans of hit words), items (ids whose windows occur), and the longest match."""
+    docs = id_text(docs)
+    shared, found = _first_or_all(docs, benchmark, window, block_words, item_col)
+    if found is None:
+        return map_arrow(docs, lambda b: _search(b, shared.value), _FOUND)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*KEYS, "doc_id"]), long_array(np.diff(_word_hashes(batch)[1]))], names=[*KEYS, "doc_id", "n_words"])
+
+    rows = map_arrow(docs.select(*_keyed(docs), "doc_id", "text"), count, "k_id long, k_hash long, k_crc long, doc_id long, n_words long").join(found, KEYS, "left")
+    none = {"hits": F.array().cast(_SPAN), "items": F.array().cast("array<long>"), "longest_words": F.lit(0), "longest_start": F.lit(0)}
+    return rows.select("doc_id", "n_words", *(F.coalesce(c, none[c]).alias(c) for c in none), "longest_item")
+
+
 def hit_words(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda n, s: n + s["length"])
 
@@ -188,15 +266,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any hit, with all their columns; one map-only pass over the texts."""
-    items = id_text(benchmark, "item_id").filter("text is not null")
-    out = docs
-    for tests in _block_tests(items, BLOCK_WORDS, window):
-        shared = docs.sparkSession.sparkContext.broadcast(tests)
-        out = map_arrow(out, lambda b, s=shared: b.filter(pa.array(_clean_mask(b, s.value))), out.schema)
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without any hit, with all their columns; one map-only pass over the texts if the benchmark is one block."""
+    shared, found = _first_or_all(docs, benchmark, window, block_words, "item_id")
+    if found is None:
+        return map_arrow(docs, lambda b: b.filter(pa.array(_clean_mask(b, shared.value))), docs.schema)
+    gone = found.filter(F.size("hits") > 0).select(KEYS)
+    return docs.select(*_keyed(docs), F.struct(*docs.columns).alias("row")).join(gone, KEYS, "left_anti").select("row.*")
 
 
 def _clean_mask(batch: pa.RecordBatch, t: Tests) -> np.ndarray:
-    return np.array([not h for h in _search(pa.RecordBatch.from_arrays([batch.column("text"), batch.column("text")], names=["doc_id", "text"]), t).column("hits").to_pylist()], bool)
+    found = _search(pa.RecordBatch.from_arrays([batch.column("text")] * 2, names=["doc_id", "text"]), t)
+    return pc.equal(pc.list_value_length(found.column("hits")), 0).to_numpy(zero_copy_only=False)
