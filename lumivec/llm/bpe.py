@@ -4,8 +4,8 @@ A short word is a contiguous array of parts with the ranks of adjacent pairs
 beside it: scan for the lowest rank, delete the boundary it stands for, refresh
 the two neighbouring ranks, and go on until no pair has a rank. Words of more
 than LONG bytes take the same steps as numpy passes, all places of the lowest
-pair at once. Both are map-only: no shuffle, and memory is bounded by the batch
-and by CACHE remembered words.
+pair at once. Both are map-only: no shuffle, and memory is bounded by the batch,
+the longest text and CACHE_BYTES of remembered words.
 
 Defined results: a null text is encoded as the empty text (no ids, and the
 digests of the empty string); every row gives one row, repeated rows and null
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 
 from ._common import id_text, map_arrow, texts
 
-CACHE = 300_000
+CACHE_BYTES = 12 << 20  # of remembered words and ids, in each of two generations
 LONG = 200
-_NONE = 1 << 40
+_NONE = 1 << 62
 
 # The byte-level pre-tokenisation pattern that vocabularies of this kind are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,49 +48,55 @@ class Codec:
         model = spec["model"]
         if model["type"] != "BPE" or spec.get("normalizer") or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path}: only plain byte-level BPE is supported")
+        for key, plain in (("ignore_merges", False), ("byte_fallback", False), ("dropout", None), ("fuse_unk", False), ("continuing_subword_prefix", None), ("end_of_word_suffix", None)):
+            if (model.get(key) or plain) != plain:
+                raise ValueError(f"{path}: {key} is not supported")
+        before, after = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True) or after.get("type") != "ByteLevel":
+            raise ValueError(f"{path}: only byte-level pieces by the usual pattern, without a space before the text, are supported")
         vocab, letters = model["vocab"], byte_letters()
         self.byte_ids = [vocab[c] for c in letters]
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.pair: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, m in enumerate(model["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            self.pair[vocab[a], vocab[b]] = rank, vocab[a + b]
-        self.once = len({new for _, new in self.pair.values()}) == len(self.pair)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(key)
+        self.keys = key[order]  # pairs of parts, ascending; their ranks and what they become beside them
+        self.ranks = order.astype(np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)[order]
+        self.once = len(np.unique(self.made)) == len(merges) == len(np.unique(key))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces = {str(i): bytes(byte_of[c] for c in t) for t, i in vocab.items()}
+        self.pieces = {str(i): bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
         self.pieces |= {str(i): t.encode() for t, i in self.added.items()}
 
     def ready(self) -> None:
-        """What a worker builds once for itself."""
+        """What a worker builds once for itself: ranks by pair, one integer each."""
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        order = sorted(self.pair, key=lambda p: p[0] << 32 | p[1])
-        self.keys = np.array([a << 32 | b for a, b in order], np.int64)
-        self.values = np.array([self.pair[p] for p in order], np.int64).reshape(-1, 2)
+        self.pair = dict(zip(self.keys.tolist(), (self.ranks << 32 | self.made).tolist()))
         self.seen: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.room = CACHE_BYTES
 
     def short(self, parts: list[int]) -> list[int]:
-        pair = self.pair
-        none = (_NONE, 0)
-        ranks = [pair.get(p, none)[0] for p in zip(parts, parts[1:])]
+        get = self.pair.get
+        ranks = [get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]  # a pair's rank, and below it what it becomes
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             i = ranks.index(low)
-            parts[i] = pair[parts[i], parts[i + 1]][1]
+            parts[i] = made = low & 0xFFFFFFFF
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pair.get((parts[i - 1], parts[i]), none)[0]
+                ranks[i - 1] = get(parts[i - 1] << 32 | made, _NONE)
             if i < len(ranks):
-                ranks[i] = pair.get((parts[i], parts[i + 1]), none)[0]
+                ranks[i] = get(made << 32 | parts[i + 1], _NONE)
         return parts
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.values[at, 0], _NONE), self.values[at, 1]
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE), self.made[at]
 
     def long(self, ids: np.ndarray) -> np.ndarray:
         """As short(), for a long word: a rank's places go in one pass, of overlapping ones every second from the left."""
@@ -113,14 +119,17 @@ class Codec:
         """A word's ids, decimal and joined by commas."""
         raw = word.encode("utf-8", "replace")
         parts = [self.byte_ids[b] for b in raw]
-        if len(parts) > LONG and self.once and self.pair:
+        if len(parts) > LONG and self.once and len(self.keys):
             return ",".join(map(str, self.long(np.array(parts, np.int64)).tolist()))
         return ",".join(map(str, self.short(parts)))
 
     def keep(self, word: str) -> str:
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        self.seen[word] = ids = self.word(word)
+        ids = self.older.get(word) or self.word(word)
+        self.room -= len(word) + len(ids) + 200
+        if self.room < 0:  # the words of the generation before last are forgotten
+            self.older, self.seen, self.room = self.seen, {}, CACHE_BYTES
+        if len(word) <= LONG:
+            self.seen[word] = ids
         return ids
 
     def encode(self, text: str) -> str:

@@ -31,6 +31,7 @@ from ._common import _U, fold, map_arrow, mix, texts
 DIMS = 1024
 FIT_ROWS = 20_000
 _SCALE = 1 << 20
+CHUNK, GRAMS, SOME = 1 << 20, 1 << 13, 1 << 10  # characters, trigrams and vectors that one numpy pass holds
 _letters: np.ndarray | None = None
 
 
@@ -51,13 +52,19 @@ def letter_vectors(codes: np.ndarray, dims: int) -> np.ndarray:
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams (as integers of three code points) of the letters of a text, and their counts."""
     low = text.lower()
-    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where(_is_letter()[code], code, 32)
-    code = np.concatenate(([32], code, [32]))
-    code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))]
-    if len(code) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique(code[:-2] << 42 | code[1:-1] << 21 | code[2:], return_counts=True)
+    tail, found, counts = np.array([32]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(low), CHUNK):
+        code = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.concatenate((tail, np.where(_is_letter()[code], code, 32), [32] if at + CHUNK >= len(low) else []))
+        code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))].astype(np.int64)
+        tail = code[-2:]
+        grams, n = np.unique(code[:-2] << 42 | code[1:-1] << 21 | code[2:], return_counts=True)
+        found.append(grams)
+        counts.append(n)
+    if len(found) <= 2:
+        return found[-1], counts[-1]
+    grams, at = np.unique(np.concatenate(found), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate(counts), len(grams)).astype(np.int64)
 
 
 def trigram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
@@ -66,20 +73,27 @@ def trigram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
     codes, at = np.unique(part, return_inverse=True)
     v = letter_vectors(codes, dims)
     first, second, third = at.reshape(part.shape)
-    return (np.roll(v, 2, 1)[first] * np.roll(v, 1, 1)[second] * v[third]).astype(np.float32)
+    out = np.roll(v, 2, 1)[first]
+    out *= np.roll(v, 1, 1)[second]
+    out *= v[third]
+    return out
 
 
 def document_vectors(batch_texts: list[str], dims: int = DIMS):
-    """The unit vector of each text; zero where there is no letter."""
+    """The unit vector of each text; zero where there is no letter. Memory: GRAMS vectors of one byte a dimension."""
     found = [trigrams(t) for t in batch_texts]
     grams = np.unique(np.concatenate([g for g, _ in found])) if found else np.zeros(0, np.int64)
-    vectors = trigram_vectors(grams, dims)
     out = np.zeros((len(found), dims), np.float32)
-    for i, (g, n) in enumerate(found):
-        if len(g):
-            v = n.astype(np.float32) @ vectors[np.searchsorted(grams, g)]
-            out[i] = v / max(float(np.sqrt(v @ v)), 1e-9)
-    return out
+    for at in range(0, len(grams), GRAMS):
+        block = grams[at : at + GRAMS]
+        vectors = trigram_vectors(block, dims)
+        for i, (g, n) in enumerate(found):
+            a, z = np.searchsorted(g, block[0]), np.searchsorted(g, block[-1], "right")
+            for k in range(a, z, SOME):
+                some = slice(k, min(k + SOME, z))
+                out[i] += n[some].astype(np.float32) @ vectors[np.searchsorted(block, g[some])].astype(np.float32)
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64))
+    return out / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
 
 
 def shares(counts: dict[str, int], fit_rows: int) -> dict[str, int]:
