@@ -100,24 +100,27 @@ def _kept_runs(places: pd.Series, n_lines: pd.Series, window: pd.Series) -> pd.S
     return pd.Series(out)
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All rows and columns of docs with text replaced, and n_lines, n_removed (of the text before)."""
-    gone = removed_windows(docs, window).groupBy("k_id", "k_crc").agg(F.collect_set("at").alias("_places"))
-    k_id, k_crc = row_key(docs)
-    inner = [c for c in docs.columns if c != "text"]
-    packed = docs.select(k_id, k_crc, F.col("text").alias("_text"), F.struct(*inner).alias("_row") if inner else F.lit(None).alias("_row"))
-    lines = F.split("_text", "\n", -1)
-    n_lines = F.when(F.length("_text") > 0, F.size(lines)).otherwise(0).cast("long")
+def cut_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """row (all columns of docs, text replaced), n_lines and n_removed (of the text before) for every row."""
+    gone = removed_windows(docs, window).groupBy("k_id", "k_crc").agg(F.collect_set("at").alias("places"))
+    packed = docs.select(*row_key(docs), F.struct(*docs.columns).alias("row"))
+    text = F.col("row")["text"]
+    lines = F.split(text, "\n", -1)
+    n_lines = F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long")
     kept_runs = F.pandas_udf(_kept_runs, "array<struct<start:int,length:int>>")
-    runs = kept_runs("_places", F.coalesce(F.size(lines), F.lit(0)), F.lit(window))
-    packed = packed.join(gone, ["k_id", "k_crc"], "left").withColumn("_runs", runs)
-    kept = F.flatten(F.transform("_runs", lambda r: F.slice(lines, r["start"], r["length"])))
-    n_kept = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["length"])
-    hit = F.col("_runs").isNotNull()
-    columns = [F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("_text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
-    own = [F.when(hit, n_lines - n_kept).otherwise(0).cast("long").alias("n_removed"), n_lines.alias("n_lines")]
+    runs = kept_runs("places", F.coalesce(F.size(lines), F.lit(0)), F.lit(window))
+    packed = packed.join(gone, ["k_id", "k_crc"], "left").withColumn("runs", runs)
+    kept = F.flatten(F.transform("runs", lambda r: F.slice(lines, r["start"], r["length"])))
+    n_kept = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["length"])
+    hit = F.col("runs").isNotNull()
+    row = F.struct(*(F.when(hit, F.array_join(kept, "\n")).otherwise(text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return packed.select(row.alias("row"), n_lines.alias("n_lines"), F.when(hit, n_lines - n_kept).otherwise(0).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows and columns of docs with text replaced, and n_lines, n_removed; columns of these names in docs stay the user's."""
     taken = {c.lower() for c in docs.columns}
-    return packed.select(*columns, *(c for c, name in zip(own, ("n_removed", "n_lines")) if name not in taken))
+    return cut_lines(docs, window).select("row.*", *(c for c in ("n_removed", "n_lines") if c not in taken))
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
