@@ -16,29 +16,46 @@ from lumivec.llm.queries import tokenizer_path
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts that have no letter or resemble no language of the corpus."""
+    """Without texts that have no letter or resemble no language of the corpus.
+
+    Null and empty texts go; repeated rows are judged alike; ids and other
+    columns may be null or have any name; without a labelled text to learn
+    from, only texts without letters go; no rows give no rows.
+    """
     return langid.keep_known(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows are cut out; what loses all its lines goes."""
-    found = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*docs.columns)
+    """Later occurrences of repeated three-line windows are cut out; what loses all its lines goes.
+
+    n_chars, if there is such a column, is counted anew for what was cut. Null
+    and empty texts stay; rows of one doc_id count as one document; a null
+    doc_id comes first; no rows give no rows.
+    """
+    found = line_dedup.cut_lines(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    if "n_chars" in docs.columns:
+        old = F.col("row")["n_chars"]
+        now = F.length(F.col("row")["text"]).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("row", F.col("row").withField("n_chars", F.when(F.col("n_removed") > 0, now).otherwise(old)))
+    return found.select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id.
+
+    Rows without a word, null and empty texts included, all stay; of repeated
+    rows one stays; a row without doc_id stays only if its whole group has none.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a window of a benchmark item."""
+    """Without documents that hold a window of a benchmark item; null and empty texts hold none, and stay."""
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and digests of the ids and of the decoded text."""
+    """Token ids of every text, and digests of the ids and of the decoded text; null texts count as empty."""
     return bpe.encode_documents(docs, tokenizer_path(), with_text=False)
 
 
