@@ -47,6 +47,7 @@ def s8(spark, sf_dir):
 
 
 _esc = lambda pattern: pattern.replace("{", "{{").replace("}", "}}")
+_SIGNS = " 🙋🏽🎉 x☀️y"  # the tables have none
 _EMOJI_SQL, _MARKS_SQL = _esc(nz.EMOJI), _esc(nz.EMOJI_MARKS)
 _STEPS = {
     "n1_lower": (nz.lower, "lower({0})"),
@@ -54,13 +55,13 @@ _STEPS = {
     "n3_users": (nz.users, r"regexp_replace({0}, '@\S+', '_usr', 'g')"),
     "n5_hashtags": (nz.hashtags, r"regexp_replace({0}, '#\S+', '_htag', 'g')"),
     "n6_entities": (nz.entities, "array_to_string(list_transform(regexp_extract_all({0}, '[\\pL\\pN_]+|[^\\pL\\pN_]+'), lambda x : CASE WHEN regexp_full_match(x, '[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+') THEN '_ent' ELSE x END), '')"),
-    "n7_emoticons": (nz.emoticons, f"regexp_replace(regexp_replace({{0}}, '{_MARKS_SQL}', '', 'g'), '{_EMOJI_SQL}', '', 'g')"),
+    "n7_emoticons": (lambda c: nz.emoticons(F.concat(c, F.lit(_SIGNS))), f"regexp_replace(regexp_replace({{0}} || '{_SIGNS}', '{_MARKS_SQL}', '', 'g'), '{_EMOJI_SQL}', '', 'g')"),
     "n8_strip_marks": (nz.strip_marks, "strip_accents({0})"),
     "n9_decompose": (nz.decompose, None),
     "n10_collapse_repeats": (nz.collapse_repeats, "array_to_string(list_filter(string_split({0}, ''), lambda x, i : i = 1 OR x <> string_split({0}, '')[i - 1]), '')"),
     "n11_delete_punctuation": (nz.delete_punctuation, f"regexp_replace({{0}}, '{SYMBOLS_SQL.replace('{', '{{').replace('}', '}}')}', '', 'g')"),
     "n12_mark_punctuation": (nz.mark_punctuation, rf"regexp_replace({{0}}, '({SYMBOLS_SQL.replace('{', '{{').replace('}', '}}')})', '~e:\1~', 'g')"),
-    "n13_mark_emojis": (nz.mark_emojis, f"regexp_replace(regexp_replace({{0}}, '{_MARKS_SQL}', '', 'g'), '({_EMOJI_SQL})', '~e:\\1~', 'g')"),
+    "n13_mark_emojis": (lambda c: nz.mark_emojis(F.concat(c, F.lit(_SIGNS))), f"regexp_replace(regexp_replace({{0}} || '{_SIGNS}', '{_MARKS_SQL}', '', 'g'), '({_EMOJI_SQL})', '~e:\\1~', 'g')"),
     "n14_mark_placeholders": (lambda c: nz.mark_placeholders(nz.users(c)), r"regexp_replace(regexp_replace({0}, '@\S+', '_usr', 'g'), '(_htag|_ent|_num|_url|_usr)', '~e:\1~', 'g')"),
     "n15_frame": (nz.frame, r"'~' || regexp_replace({0}, '[ \t\r\n]', '~', 'g') || '~'"),
     "n16_collapse_tildes": (lambda c: nz.collapse_tildes(nz.frame(c)), r"regexp_replace('~' || regexp_replace({0}, '[ \t\r\n]', '~', 'g') || '~', '~+', '~', 'g')"),
