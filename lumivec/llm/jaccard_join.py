@@ -27,7 +27,9 @@ cap on partners, candidates or groups.
    the centre (`apart`) needs at least (7 (|dx| + |dy|) - n - m) / 14 > 0 common
    delta shingles. Pairs must share prefix shingles of their deltas under ORDERS +
    1 global orders (additions first, which are rare), all of them, and are
-   verified on deltas.
+   verified on deltas. Members apart are often copies of another text, or of a
+   part: those of equal marks (least hashes of deltas) meet one of them before, and
+   what is connected is compared no more.
 5. Whole sets of what is left of (3) are compared: first every class with the
    candidate that has most candidates; then the pairs that these links leave unconnected.
 6. Links between classes give components by alternating stars (_graph).
@@ -58,6 +60,7 @@ FREQUENT = 200_000
 LOCAL_COUNT = 3  # classes of one map window that make a shingle frequent
 LOCAL_TOKENS = 2_000_000
 ORDERS = 2  # besides order A
+MARKS = 8
 SALTS = 64  # frequent shingles are dealt out over so many partitions
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
 FACTORS = [1, *(int(k) for k in mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1))]
@@ -321,8 +324,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(_arrow(_both(pairs, _picked(sets.select("cls", "s"), classes, ["cls"], "left_semi"), "s").select("a", "b", "s1", "s2"), run, "a long, b long"))
 
 
+def _delta_order(adds: np.ndarray, lacks: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """A difference in a global order of its group, additions (which are rare) first, and each shingle's place in it."""
+    token = np.concatenate((adds, lacks))
+    order = np.lexsort((token * np.uint64(factor), np.repeat([False, True], (len(adds), len(lacks)))))
+    place = np.empty(len(token), np.int64)
+    place[order] = np.arange(len(token))
+    return token[order], place
+
+
 def _deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """centre, cls, n, m (the centre's size), d (size of the difference), apart, adds, lacks for every member but the centre."""
+    """centre, cls, n, m (the centre's size), d (size of the difference), apart, adds, lacks, marks for every member but the centre.
+
+    marks: the first shingle of the difference under each of MARKS orders of
+    hashes; head1 ..: the difference in the order of every further factor, what it
+    adds first, two bytes a shingle.
+    """
+
+    factors = mix(np.arange(1, MARKS + 1, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         adds, lacks, n, m = [], [], [], []
@@ -332,65 +351,90 @@ def _deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
             n.append(len(x))
             m.append(len(c))
         d = np.array([len(x) + len(y) for x, y in zip(adds, lacks)], np.int64)
+        heads = {f"head{k}": _packed([(_delta_order(x, y, factor)[0] >> np.uint64(48)).astype(np.uint16) for x, y in zip(adds, lacks)]) for k, factor in enumerate(FACTORS) if k}
         far = 7 * d > np.array(n) + np.array(m)
-        return pa.RecordBatch.from_pydict({"centre": batch.column("centre"), "cls": batch.column("cls"), "n": n, "m": m, "d": d, "apart": far, "adds": _packed(adds), "lacks": _packed(lacks)})
+        marks = [[int((np.concatenate(both) * np.uint64(k)).min().view(np.int64)) for k in factors] if len(both[0]) + len(both[1]) else [] for both in zip(adds, lacks)]
+        return pa.RecordBatch.from_pydict({"centre": batch.column("centre"), "cls": batch.column("cls"), "n": n, "m": m, "d": d, "apart": far, "adds": _packed(adds), "lacks": _packed(lacks), "marks": pa.array(marks, pa.list_(pa.int64()))} | heads)
 
     few = lambda name, as_: _picked(sets.select(F.col("cls").alias(name), F.col("s").alias(as_)), cut(members.select(name).distinct()), [name], "left_semi")
     rows = members.filter("cls <> centre").join(few("cls", "s"), "cls").join(few("centre", "sc"), "centre").select("centre", "cls", "s", "sc")
-    return cut(_arrow(rows, run, "centre long, cls long, n long, m long, d long, apart boolean, adds binary, lacks binary"))
+    return cut(_arrow(rows, run, "centre long, cls long, n long, m long, d long, apart boolean, adds binary, lacks binary, marks array<long>" + "".join(f", head{k} binary" for k in range(1, ORDERS + 1))))
+
+
+def _delta_verified(pairs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Those pairs (centre, cls_x, cls_y) that link, by their differences to the centre."""
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, d = (sum(batch.column(f"{c}_{k}").to_numpy() for k in "xy") for c in ("n", "d"))
+        both = [_common(a, b) + _common(c, e) for a, b, c, e in zip(*(_sets(batch, f"{c}_{k}") for c in ("adds", "lacks") for k in "xy"))]
+        return batch.select(["centre", "cls_x", "cls_y"]).filter(pa.array(7 * (d - 2 * np.array(both)) <= n))
+
+    for k in "xy":
+        pairs = pairs.join(deltas.select("centre", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "d", "adds", "lacks"))), ["centre", f"cls_{k}"])
+    return cut(_arrow(pairs.select("centre", "cls_x", "cls_y", *(f"{c}_{k}" for c in ("n", "d", "adds", "lacks") for k in "xy")), verify, "centre long, cls_x long, cls_y long"))
 
 
 def _delta_links(deltas: DataFrame) -> DataFrame:
-    """Links between members of a large group of which one is apart from its centre."""
-    groups = deltas.filter("apart").select("centre").distinct()
+    """Links that connect what is linked in large groups, where one of two members is apart from the centre.
+
+    A member apart first meets, for each of its marks, the nearest to the centre
+    of the members that have the same: copies of another text, or of a part of
+    the centre's, are connected by then, to each other or to the centre. Then
+    all that these links leave unconnected meet by prefixes.
+    """
+    deltas = cut(deltas.join(deltas.filter("apart").select("centre").distinct(), "centre", "left_semi"))
+    marked = deltas.select("centre", "cls", "d", "apart", F.posexplode("marks").alias("k", "mark"))
+    first = marked.groupBy("centre", "k", "mark").agg(F.min(F.struct("apart", "d", "cls"))["cls"].alias("cls_y"))
+    stars = marked.filter("apart").join(first, ["centre", "k", "mark"]).filter("cls <> cls_y").select("centre", F.col("cls").alias("cls_x"), "cls_y").distinct()
+    starred = _delta_verified(stars, deltas)
+    known = starred.join(deltas.select("centre", F.col("cls").alias("cls_y"), F.col("apart").alias("away")), ["centre", "cls_y"])
+    up = cut(known.groupBy("centre", F.col("cls_x").alias("cls")).agg(F.min(F.struct("away", F.when(F.col("away"), F.col("cls_y")).otherwise(F.col("centre")).alias("up")))["up"].alias("up")))
+    top = up.join(up.select("centre", F.col("cls").alias("up"), F.col("up").alias("top")), ["centre", "up"], "left").select("centre", "cls", F.coalesce("top", "up").alias("top"))
+    deltas = cut(deltas.join(top, ["centre", "cls"], "left").withColumn("top", F.when(F.col("apart"), F.coalesce("top", "cls")).otherwise(F.col("centre"))).drop("marks"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = ("centre", "cls", "n", "m", "d", "apart")
-        centre, cls, size, centre_size, _, away = (batch.column(c).to_pylist() for c in columns)
-        parts = {k: [np.zeros(0, np.int64)] for k in (*columns[:3], "d", "token", *(f"r{k}" for k in range(len(FACTORS))))}
-        flags: dict[str, list] = {k: [np.zeros(0, bool)] for k in ("apart", "as_x", "as_y")}
-        for i, (more, less) in enumerate(zip(_sets(batch, "adds"), _sets(batch, "lacks"))):
-            token, late = np.concatenate((more, less)), np.repeat([False, True], (len(more), len(less)))
-            d, n, m = len(token), size[i], centre_size[i]
-            ranks = np.empty((len(FACTORS), d), np.int64)
-            for k, factor in enumerate(FACTORS):
-                ranks[k, np.lexsort((token * np.uint64(factor), late))] = np.arange(d)
-            least = ranks.min(0)
-            as_x = (least <= d - max(1, -(-(7 * d - n - m) // 14))) & away[i]  # whoever the partner is
-            as_y = least <= d - max(1, (7 * d - n + m) // 14 + 1)  # whichever partner that is apart
+        names = ("centre", "cls", "n", "d", "top", "apart")
+        values, sizes = list(zip(*(batch.column(c).to_pylist() for c in names))), batch.column("m").to_pylist()
+        parts: dict[str, list] = {k: [np.zeros(0, bool if k in ("apart", "as_x", "as_y") else np.int64)] for k in (*names, "token", "r", "as_x", "as_y")}
+        for row, m, more, less in zip(values, sizes, _sets(batch, "adds"), _sets(batch, "lacks")):
+            _, _, n, d, _, away = row
+            token = _delta_order(more, less, FACTORS[0])[0]
+            rank = np.arange(d)
+            as_x = (rank <= d - max(1, -(-(7 * d - n - m) // 14))) & away  # whoever the partner is
+            as_y = rank <= d - max(1, (7 * d - n + m) // 14 + 1)  # whichever partner that is apart
             keep = as_x | as_y
-            some = int(keep.sum())
-            for name, v in (("centre", centre[i]), ("cls", cls[i]), ("n", n), ("d", d)):
-                parts[name].append(np.full(some, v, np.int64))
-            parts["token"].append(token[keep].view(np.int64))
-            for k in range(len(FACTORS)):
-                parts[f"r{k}"].append(ranks[k, keep])
-            for name, v in (("apart", np.full(some, away[i])), ("as_x", as_x[keep]), ("as_y", as_y[keep])):
-                flags[name].append(v)
-        return pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in (parts | flags).items()})
-
-    fields = ["centre long", "cls long", "n long", "d long", "token long", *(f"r{k} long" for k in range(len(FACTORS))), "apart boolean", "as_x boolean", "as_y boolean"]
-    rows = cut(_arrow(deltas.join(groups, "centre", "left_semi"), run, ", ".join(fields)))
-    names = ("cls", "n", "d", "apart", *(f"r{k}" for k in range(len(FACTORS))))
-    side = lambda role, k: rows.filter(role).select("centre", "token", *(F.col(c).alias(f"{c}_{k}") for c in names))
+            for name, v in zip(names, row):
+                parts[name].append(np.full(int(keep.sum()), v))
+            for name, v in (("token", token.view(np.int64)), ("r", rank), ("as_x", as_x), ("as_y", as_y)):
+                parts[name].append(v[keep])
+        return pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in parts.items()})
+
+    rows = cut(_arrow(deltas, run, "centre long, cls long, n long, d long, top long, apart boolean, token long, r long, as_x boolean, as_y boolean"))
+    side = lambda role, k: rows.filter(role).select("centre", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "d", "top", "apart", "r")))
     # both in the prefix that this pair needs: n - common + 1 of either
     common = F.ceil((7 * (F.col("d_x") + F.col("d_y")) - F.col("n_x") - F.col("n_y")) / F.lit(14.0) - F.lit(1e-9))
-    near = [(F.col(f"r{k}_x") <= F.col("d_x") - common) & (F.col(f"r{k}_y") <= F.col("d_y") - common) for k in range(len(FACTORS))]
-    met = F.lit(0)
-    for k, ok in enumerate(near):
-        met = met + F.when(ok, 1 << k).otherwise(0)
-    once = F.when(F.col("apart_y"), F.col("cls_x") < F.col("cls_y")).otherwise(F.lit(True))
-    pairs = side("as_x", "x").join(side("as_y", "y"), ["centre", "token"]).filter(once & (met > 0))
-    pairs = pairs.groupBy("centre", "cls_x", "cls_y").agg(F.bit_or(met).alias("met")).filter(F.col("met") == (1 << len(FACTORS)) - 1)
+    near = (F.col("r_x") <= F.col("d_x") - common) & (F.col("r_y") <= F.col("d_y") - common)
+    once = (F.col("top_x") != F.col("top_y")) & (~F.col("apart_y") | (F.col("cls_x") < F.col("cls_y")))
+    pairs = side("as_x", "x").join(side("as_y", "y"), ["centre", "token"]).filter(once & near).select("centre", "cls_x", "cls_y").distinct()
+    heads = [f"head{k}" for k in range(1, ORDERS + 1)]
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Which pairs share a shingle in the prefixes of every further order (of two bytes, so some more do)."""
         n, d = (sum(batch.column(f"{c}_{k}").to_numpy() for k in "xy") for c in ("n", "d"))
-        both = [_common(a, b) + _common(c, e) for a, b, c, e in zip(*(_sets(batch, f"{c}_{k}") for c in ("adds", "lacks") for k in "xy"))]
-        return batch.select(["a", "b"]).filter(pa.array(7 * (d - 2 * np.array(both)) <= n))
+        common = -(-(7 * d - n) // 14)
+        upto = {k: np.maximum(batch.column(f"d_{k}").to_numpy() - common + 1, 0) for k in "xy"}
+        ok = np.ones(len(n), bool)
+        for name in heads:
+            x, y = (_sets(batch, f"{name}_{k}", np.uint16) for k in "xy")
+            for i in np.flatnonzero(ok).tolist():
+                ok[i] = len(np.intersect1d(x[i][: upto["x"][i]], y[i][: upto["y"][i]])) > 0
+        return batch.select(["centre", "cls_x", "cls_y"]).filter(pa.array(ok))
 
+    columns = ["n", "d", *heads]
     for k in "xy":
-        pairs = pairs.join(deltas.select("centre", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "d", "adds", "lacks"))), ["centre", f"cls_{k}"])
-    return cut(_arrow(pairs.select(*_pair("cls_x", "cls_y"), *(f"{c}_{k}" for c in ("n", "d", "adds", "lacks") for k in "xy")), verify, "a long, b long"))
+        pairs = pairs.join(deltas.select("centre", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", *columns))), ["centre", f"cls_{k}"])
+    pairs = cut(_arrow(pairs.select("centre", "cls_x", "cls_y", *(f"{c}_{k}" for c in columns for k in "xy")), shared, "centre long, cls_x long, cls_y long"))
+    return starred.unionByName(_delta_verified(pairs, deltas)).select(*_pair("cls_x", "cls_y"))
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
