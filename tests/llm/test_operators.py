@@ -101,6 +101,41 @@ def test_language_id(docs, rows):
     assert langid.keep_known(docs).columns == docs.columns
 
 
+def test_held_out_accuracy_of_language_and_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(4), spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in langid.identify(docs).collect() if r["held_out"] and r["lang_pred"] != "und" and truth[r["doc_id"]]]
+    assert len(rows) > 150 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
+    good = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [r for r in quality_model.classify(docs, labels).collect() if r["held_out"] and r["doc_id"] in good]
+    assert len(rows) > 90 and sum(r["predicted"] == good[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
+
+
+def test_language_id_ties_and_nothing_to_learn(spark):
+    fits = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    same = "the same words in either language"
+    t = spark.createDataFrame([(fits[0], same, "zz"), (fits[1], same, "aa"), (fits[2], same, None)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(t).collect()} == {"aa"}  # equally near: the first by name
+    nothing = t.withColumn("lang", t["lang"].substr(100, 1)).filter("lang is null")
+    assert [(r["lang_pred"], r["score"]) for r in langid.identify(nothing).collect()] == [("und", 0.0)]
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    import numpy as np
+
+    text = " ".join(f"Wört{k % 37}" for k in range(500)) + "..a"
+    want = langid.trigrams(text)
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert all((a == b).all() for a, b in zip(langid.trigrams(text), want))
+    monkeypatch.setattr(langid, "GRAMS", 16)
+    monkeypatch.setattr(langid, "SOME", 3)
+    few = langid.document_vectors([text, "", "other words"])
+    monkeypatch.undo()
+    assert np.allclose(few, langid.document_vectors([text, "", "other words"]), atol=1e-6)
+
+
 def test_language_id_learns_rare_languages(spark):
     r = random.Random(8)
     text = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(80))
@@ -168,6 +203,23 @@ def test_secrets_in_the_tail_of_long_runs(spark):
     assert set(range(5, 205)) == {k for a, b in secrets.windows(5, 205) for k in range(a, b)}
 
 
+def test_secrets_that_no_pattern_finds(spark):
+    r = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(r.choices(letters, k=n))
+    prose = lambda: " ".join("".join(r.choices("the of and ing tion er st".split(), k=r.randint(1, 3))) + r.choice(["", "", ",", ".", "-2", "/x"]) for _ in range(40))
+    rows = [(k, f"{prose()} {r.choice(['token', 'secret', 'api_key'])} = {key(r.randint(20, 40))} {prose()}") for k in range(150)]
+    planted = {k: key(r.randint(20, 40)) for k in range(1000, 1080)}
+    rows += [(k, f"{prose()} {v} {prose()}") for k, v in planted.items()] + [(k, prose()) for k in range(2000, 2200)]
+    got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    found = {k: {texts[k][int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[k]["spans"].split(",") if x) if kind == "model"} for k in texts}
+    assert sum(v in found[k] for k, v in planted.items()) >= 0.9 * len(planted)
+    assert sum(bool(found[k]) for k in range(2000, 2200)) <= 10
+    few = spark.createDataFrame(rows[:3] + rows[-50:], "doc_id long, text string")
+    assert secrets.learn(few).threshold < 1  # three findings are enough to train on
+
+
 def test_substrings(docs, rows):
     got = by_id(substring_dedup.remove_repeats(docs))
     n = 200
@@ -216,6 +268,35 @@ def test_jaccard(docs, rows, small, monkeypatch):
     assert kept == sorted(str(want[g[0]][1] if want[g[0]][0] else g[0]) for g in groups.values())
 
 
+@pytest.mark.parametrize("small, light", [(32, 10), (2, 10), (1, 2), (3, 1000)])
+def test_jaccard_in_groups_of_copies_of_copies(spark, small, light, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
+    r = random.Random(small)
+    word = lambda: f"x{r.randint(0, 10**7)}"
+    base = [word() for _ in range(70)]
+    other = [w if r.random() < 0.94 else word() for w in base]  # copies of it are linked to each other, and few to those of base
+    texts = []
+    for k in range(90):
+        w = list(r.choice([base, other]))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1, 1, 2])] = [word()] * r.choice([0, 1, 2])
+        texts.append(" ".join(w))
+    texts += [" ".join([word() for _ in range(r.randint(20, 30))] + base[10:17]) for _ in range(12)]  # a passage that unrelated texts share
+    texts += [" ".join(base[: 30 + k] + [word() for _ in range(3)]) for k in range(0, 40, 4)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    label = list(range(len(texts)))
+    while True:
+        new = [min(label[j] for j in range(len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])) for i in range(len(sets))]
+        if new == label:
+            break
+        label = new
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.report(t).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) > 10
+
+
 def test_quality_rules(docs, rows):
     got = by_id(quality_rules.judge(docs))
     for i, x in rows:
@@ -231,10 +312,32 @@ def test_quality_rules(docs, rows):
         failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), dup, len(hit), failed)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
-        assert not (failed and r["kept"])
+        chars = max(1, sum(map(len, w)))
+        shares = {}
+        for n in quality_rules.NGRAM_LIMITS:
+            grams = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+            inside = {j for k in range(len(w) - n + 1) if grams[tuple(w[k : k + n])] > 1 for j in range(k, k + n)}
+            shares[f"share_{n}"] = sum(len(w[j]) for j in inside) / chars
+        lines, seen = 0, set()
+        for line in x.split("\n"):
+            if WORD.search(line):
+                lines += sum(map(len, WORD.findall(line))) * (line in seen)
+                seen.add(line)
+        assert abs(r["line_share"] - lines / chars) < 1e-6 and all(abs(r[k] - v) < 1e-6 for k, v in shares.items())
+        ok = lines / chars <= quality_rules.LINE_LIMIT and all(shares[f"share_{n}"] <= limit for n, limit in quality_rules.NGRAM_LIMITS.items())
+        assert r["kept"] == (not failed and ok)
     assert got[7]["kept"] and not got[21]["kept"]
 
 
+def test_quality_rules_reject_repetition_that_the_base_passes(spark):
+    lines = [" ".join(f"w{k}x{j}" for j in range(7)) for k in range(30)]
+    text = "\n".join(lines + lines[:15])  # a third of the lines again, in any 8-word window one break
+    mixed = "\n".join(x for k in range(10) for x in (f"fresh{k} words{k} here{k} a{k} b{k} c{k} d{k} e{k} f{k}", "the same six words again now"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame([(1, text), (2, mixed), (3, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert not got[2]["base_failed"] and not got[2]["kept"]
+    assert got[3]["kept"] and not got[1]["kept"]
+
+
 def test_quality_model(spark, docs):
     labels = spark.createDataFrame([(k, int(k % 2), 0, "x") for k in range(0, 110)] + [(None, 1, 0, "x"), (5, None, 0, "x"), (9999, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
     got = quality_model.classify(docs, labels).collect()
@@ -266,10 +369,52 @@ def test_language_model(docs, rows, hot, monkeypatch):
 def test_language_model_probabilities_sum_to_one():
     import numpy as np
 
-    m = lm_score.Model(np.arange(1, 40, dtype=np.uint64), np.arange(1, 40), 780, 39)
-    classes = np.arange(len(m.noise))
-    total = sum(10 ** m.log_probabilities(np.array([k]), np.array([3]), np.array([5]))[0] for k in classes)
-    assert abs(total - 1) < 1e-5
+    m = lm_score.Model(np.arange(1, 400, dtype=np.uint64), np.arange(1, 400) // 3, sum(range(1, 400)) // 3, 399)
+    assert m.groups == 4 and m.rest == 394
+    r = np.random.default_rng(1)
+    memory = {k: np.zeros_like(v) for k, v in m.p.items()}
+    for _ in range(3):
+        m.step(*r.integers(0, m.rest + 1, (3, 500)), r, memory)
+    each = np.arange(m.rest + 1)  # all other tokens are one entry
+    total = (10 ** m.log_probabilities(each, np.full(len(each), 3), np.full(len(each), 5))).sum()
+    assert abs(total - 1) < 1e-4
+
+
+def test_language_model_learns_contexts(spark):
+    r = random.Random(3)
+    pair = {w: f"{w}x" for w in ("red", "blue", "green", "grey")}
+    rows = [(k, " ".join(x for w in r.choices(list(pair), k=60) for x in (w, pair[w]))) for k in range(400)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score_documents(t.repartition(3)).collect()
+    held = [x for x in got if x["held_out"]]
+    assert len(held) > 30 and sum(x["score"] for x in held) > 0.75 * sum(x["base_score"] for x in held)
+    again = by_id(lm_score.score_documents(t.repartition(7)))
+    assert all(abs(again[x["doc_id"]]["score"] - x["score"]) < 1e-3 for x in got)  # however the input is dealt out
+
+
+def longest_match(w, items):
+    """Words and place of the longest run of w in one of the items, of 3 words at least or a whole shorter item."""
+    best = (0, 0)
+    for v in items:
+        for a in range(len(w)):
+            for b in range(len(v)):
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                if n >= 3 or n == len(v) > 0:
+                    best = max(best, (n, -a))
+    return best[0], -best[1]
+
+
+def test_longest_match_is_one_items_words(spark):
+    a, b, c = ([f"{x}{k}" for k in range(1, 16)] for x in "abc")
+    bench = spark.createDataFrame([(1, " ".join(a[:10])), (2, " ".join(b[:10])), (3, " ".join(b[5:10] + c[:5])), (4, " ".join(c)), (9, "zz")], "item_id long, text string")
+    texts = [" ".join(a[:10] + ["q"] + b[:10] + c[:5]), " ".join(a[:10] + ["q"] + c), " ".join(b[:4]), "q zz", " ".join(c[:3] + ["q"] + c[:9])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for block_words in (10**6, 5):
+        got = by_id(decontaminate.matches(docs, bench, block_words=block_words))
+        assert [(got[k]["longest_words"], got[k]["longest_start"], got[k]["longest_item"]) for k in range(5)] == [(10, 0, 1), (15, 11, 4), (4, 0, 2), (1, 1, 9), (9, 4, 4)]
+        assert [sorted(got[k]["items"]) for k in range(5)] == [[1, 2, 3], [1, 4], [], [9], []]
 
 
 @pytest.mark.parametrize("block_words", [1_000_000, 20])
@@ -294,9 +439,13 @@ def test_decontamination(spark, docs, rows, block_words):
                     found |= windows[tuple(w[k : k + size])]
         r = got[i]
         assert (r["n_words"], sum(s["length"] for s in r["hits"]), set(r["items"])) == (len(w), len(hit), found)
+        assert (r["longest_words"], r["longest_start"]) == longest_match(w, [ALNUM.findall(low(x or "")) for _, x in items])
+        run = w[r["longest_start"] : r["longest_start"] + r["longest_words"]]
+        assert (r["longest_item"] is None) == (not run)
+        assert not run or any(run == v[k : k + len(run)] for j, y in items if j == r["longest_item"] for v in [ALNUM.findall(low(y or ""))] for k in range(len(v)))
         b = brief[i]
         assert (b["n_hit"], b["n_items"], b["contaminated"], b["items_sha256"]) == (len(hit), len(found), bool(hit), sha(",".join(sorted(map(str, found)))))
-    kept = {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}
+    kept = {r["doc_id"] for r in decontaminate.clean(docs, bench, block_words=block_words).collect()}
     assert kept == {i for i, r in brief.items() if not r["contaminated"]}
 
 
