@@ -6,7 +6,9 @@ that repeat an earlier line. Everything is computed over the whole text by numpy
 passes on slices of documents; the job is map-only.
 
 Defined results: null and empty texts have no words, so base_failed is true and
-kept false; repeated rows are judged one by one.
+kept false; repeated rows are judged one by one; a share equal to its limit
+passes; lines are compared byte by byte. A text is held whole, at about 60 bytes
+a word beside it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from ._common import SPACE, covered, gram_hash, id_text, long_array, map_arrow, mix, row_starts, span_hash, utf8, words
 
-# Largest share of word characters inside duplicated n-grams, by n, and inside repeated lines: twice the limits of a published rule set, whose own values also reject good short texts with one repeated line.
+# Largest share of word characters inside duplicated n-grams, by n, and inside repeated lines: twice (for lines one and a half times)
+# the limits of a published rule set, whose own values also reject good short texts with one repeated line.
 NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 LINE_LIMIT = 0.30
 MIN_WORDS = 20
