@@ -42,7 +42,7 @@ from .line_dedup import row_key
 LENGTH = 200
 SEED = 32  # bytes of an anchor
 BLOCK = 12
-BROADCAST_PLACES = 1_500_000  # 8 bytes each, and 16 for each document
+BROADCAST_PLACES = 500_000  # 8 bytes each, and 16 for each document
 _PAIR = keys(2, 77)
 _KEYS = "k_id long, k_crc long"
 
@@ -209,8 +209,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return cut(lists.mapInArrow(merge, f"{_KEYS}, gone array<struct<start:long,stop:long>>"))
 
 
-def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Bytes left, and counts, of every row."""
+def _kept(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
+    """Counts, the digest of the bytes left, and if asked for these bytes, of every row."""
     data, off = utf8(batch)
     start, end, size = [], [], []
     for i, spans in enumerate(batch.column("gone").to_pylist()):
@@ -222,19 +222,20 @@ def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
     _, _, row = runs(gone, off)
     left = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(off[:-1], off[1:])]
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), long_array(np.diff(off)), long_array(total[off[1:]] - total[off[:-1]]), long_array(np.bincount(row, minlength=batch.num_rows)), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array(left, pa.binary())],
-        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+        [batch.column("doc_id"), long_array(np.diff(off)), long_array(total[off[1:]] - total[off[:-1]]), long_array(np.bincount(row, minlength=batch.num_rows)), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+        + [pa.array(left, pa.binary())] * with_bytes,
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes,
     )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: a cut may fall inside a character) for every row."""
+def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary: a cut may fall inside a character) for every row."""
     gone = repeated_spans(docs)
     n = gone.agg(F.coalesce(F.sum(F.size("gone") + 2), F.lit(0))).first()[0]
     source = docs.select(*row_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = source.join(F.broadcast(gone) if n <= BROADCAST_PLACES else gone, ["k_id", "k_crc"], "left").select("doc_id", "text", "gone")
-    return map_arrow(joined, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_arrow(joined, lambda b: _kept(b, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).drop("kept")
+    return remove_repeats(docs, with_bytes=False)
