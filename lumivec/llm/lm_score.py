@@ -1,25 +1,32 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are lower-cased words and one end mark for each text. The CLASSES most
-frequent tokens are predicted one by one, all others as one class that is shared
-out by smoothed counts, so every token has a normalised probability. A context
-of two tokens is mapped linearly to a vector; its product with each class vector
-(a batched matrix product) gives the scores, whose softmax gives log-probabilities.
+Tokens are lower-cased words and one end mark for each text. The most frequent
+ones (all that occur twice or more, MODEL_WORDS at most) have vectors of their
+own. A context of two tokens is mapped linearly to a vector; its product with a
+group's vector and then with those of the group's members (batched matrix
+products) gives scores, and two softmaxes normalised log-probabilities: groups
+are MEMBERS tokens of neighbouring frequency, and one more group, shared out by
+smoothed counts, is all other tokens. So every token has a probability, and they
+add up to 1.
 
 1. Counts of all training tokens: summed in numpy inside map windows, then by
    Spark over the whole corpus.
-2. Training: every partition runs stochastic gradient steps of noise-contrastive
-   estimation over all its training texts from the same start; the parameters
-   are averaged, weighted by tokens (Spark sums arrays of a fixed number).
+2. Training: the training texts are dealt out by a hash of id and text into
+   shards of about SHARD_TOKENS, in the order of that hash, so that the result
+   doesn't depend on how the input is partitioned (but for rounding). Every
+   shard runs stochastic gradient steps of noise-contrastive estimation over all
+   its texts from the same start, at both levels; the parameters are averaged,
+   weighted by tokens (Spark sums arrays of a fixed number).
 3. Scoring: counts of at least HOT_WORDS' rank go to all tasks (HOT_WORDS
    entries of 16 bytes at most); tokens outside are joined with their counts by
    shuffle and summed by document, so nothing is dropped and no hot word is
    shuffled.
 
 Defined results: a null or empty text is the end mark alone; without training
-texts c, N and V are 0 and the model is uniform over its single class; repeated
+texts c, N and V are 0 and the model is uniform over its single group; repeated
 rows are scored one by one; a null id belongs to no fold: it is neither held
-out nor learned from.
+out nor learned from; equally frequent tokens rank by their hash. A text is held
+whole, at about 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -31,15 +38,17 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE, cut, fold, long_array, map_arrow, slices, small_batches, span_hash, utf8, words
+from ._common import LOWER, SPACE, cut, fold, long_array, map_arrow, release, slices, small_batches, span_hash, utf8, words
 from .line_dedup import row_key
 
-CLASSES = 511
+MODEL_WORDS = 1 << 12
+MEMBERS = 64
 HOT_WORDS = 1_000_000
 DIMS = 16
-NOISE = 24
-BATCH = 8192
-RATE = 0.08
+NOISE, WORD_NOISE = 24, 8
+BATCH = 16384
+RATE = 0.06
+SHARD_TOKENS = 4_000_000
 WINDOW_TOKENS = 4_000_000
 END = np.uint64(1)  # the end mark's name; words' names are odd and larger, see _tokens
 _WIDE = 256
@@ -82,31 +91,49 @@ def token_counts(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Class table, parameters, and the counts that are known everywhere."""
+    """Token and group tables, parameters, and the counts that are known everywhere."""
 
     def __init__(self, hot: np.ndarray, count: np.ndarray, total: int, kinds: int):
         self.hot, self.count, self.total, self.kinds = hot, count, total, kinds
-        top = np.lexsort((hot, -count))[:CLASSES]
-        self.top = np.sort(hot[top])
-        n = len(self.top)
-        at = np.searchsorted(hot, self.top)
-        self.rest = n  # the class of all other tokens
-        self.start = n + 1  # what stands before a text
-        shares = np.append(count[at], total - count[at].sum()) + 1.0
-        self.rest_total, self.rest_kinds = int(total - count[at].sum()), kinds - n
+        ranked = np.lexsort((hot, -count))
+        ranked = ranked[count[ranked] > 1][:MODEL_WORDS]
+        n = len(ranked)
+        self.rank_of = np.argsort(hot[ranked])
+        self.top = hot[ranked][self.rank_of]
+        self.rest, self.start = n, n + 1  # as contexts: all other tokens, and what stands before a text
+        own = count[ranked].astype(np.float64)
+        self.groups = -(-n // MEMBERS)  # the group after the last is all other tokens
+        self.rest_total, self.rest_kinds = int(total - own.sum()), kinds - n
+        padded = np.zeros(self.groups * MEMBERS)
+        padded[:n] = own + 1.0
+        table = padded.reshape(self.groups, MEMBERS)
+        shares = np.append(table.sum(1), self.rest_total + 1.0)
         self.noise = shares / shares.sum()
+        self.word_noise = table / np.maximum(table.sum(1, keepdims=True), 1e-9)
+        self.padding = padded == 0
+        self.word_steps = np.minimum(np.cumsum(self.word_noise, 1), 1 - 1e-12)
+        self.word_steps[:, -1] = 1.0
+        self.word_base = np.log(WORD_NOISE * np.maximum(self.word_noise.ravel(), 1e-9)).astype(np.float32)
         r = np.random.default_rng(13)
-        self.p = {"r": r.normal(0, 0.1, (n + 2, DIMS)), "q": r.normal(0, 0.1, (n + 1, DIMS)), "b": np.log(self.noise), "c1": np.eye(DIMS) * 0.7, "c2": np.eye(DIMS) * 0.3}
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
+        small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
+        self.p = {
+            "r": small(n + 2, DIMS), "q": small(self.groups + 1, DIMS), "b": np.log(self.noise).astype(np.float32),
+            "w": small(len(padded), DIMS), "d": np.log(np.maximum(self.word_noise.ravel(), 1e-9)).astype(np.float32),
+            "c1": np.eye(DIMS, dtype=np.float32) * np.float32(0.7), "c2": np.eye(DIMS, dtype=np.float32) * np.float32(0.3),
+        }
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
         if not len(self.top):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-        return np.where(self.top[at] == h, at, self.rest)
+        return np.where(self.top[at] == h, self.rank_of[at], self.rest)
+
+    def group(self, rank: np.ndarray) -> np.ndarray:
+        return np.where(rank == self.rest, self.groups, rank // MEMBERS)
 
-    def contexts(self, cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes before each token, and those before these."""
-        one = np.concatenate(([self.start], cls[:-1]))
+    def contexts(self, rank: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens before each token, and those before these."""
+        one = np.concatenate(([self.start], rank[:-1]))
         one[first[:-1]] = self.start
         two = np.concatenate(([self.start], one[:-1]))
         two[first[:-1]] = self.start
@@ -119,70 +146,102 @@ class Model:
         at = 0
         for k in sorted(self.p):
             n = self.p[k].size
-            self.p[k] = flat[at : at + n].reshape(self.p[k].shape)
+            self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
             at += n
 
-    def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        """One gradient step; the noise tokens are shared by the batch."""
-        p, k = self.p, len(noise)
+    def step(self, rank: np.ndarray, one: np.ndarray, two: np.ndarray, r: np.random.Generator, memory: dict[str, np.ndarray]) -> None:
+        """One gradient step; the noise is shared by the batch: some groups, and some members of each group."""
+        p, group = self.p, self.group(rank)
         a, b = p["r"][one], p["r"][two]
         v = a @ p["c1"] + b @ p["c2"]
-        base = np.log(k * self.noise)
-        true = (v * p["q"][w]).sum(1) + p["b"][w] - base[w]
-        false = v @ p["q"][noise].T + (p["b"] - base)[noise]
-        gt = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        gf = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        dv = gt[:, None] * p["q"][w] + gf @ p["q"][noise]
+        noise = r.choice(len(self.noise), NOISE, p=self.noise)
+        base = np.log(NOISE * self.noise).astype(np.float32)
+        gt = -_sigmoid(-((v * p["q"][group]).sum(1) + p["b"][group] - base[group]))
+        gf = _sigmoid(v @ p["q"][noise].T + (p["b"] - base)[noise])
+        dv = gt[:, None] * p["q"][group] + gf @ p["q"][noise]
         g = {k: np.zeros_like(x) for k, x in p.items()}
         np.add.at(g["q"], noise, gf.T @ v)
         np.add.at(g["b"], noise, gf.sum(0))
-        g["q"] += _scatter(w, gt[:, None] * v, len(p["q"]))
-        g["b"] += np.bincount(w, gt, len(p["b"]))
+        g["q"] += _scatter(group, gt[:, None] * v, len(p["q"]))
+        g["b"] += np.bincount(group, gt, len(p["b"]))
+        order = np.argsort(group, kind="stable")
+        edge = np.searchsorted(group[order], np.arange(self.groups + 1))
+        word_gt = np.zeros(len(rank), np.float32)
+        drawn, base = r.random((self.groups, WORD_NOISE)), self.word_base
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            at = order[edge[k] : edge[k + 1]]
+            false = np.searchsorted(self.word_steps[k], drawn[k]) + k * MEMBERS
+            some, wrong = v[at], p["w"][false]
+            gf = _sigmoid(some @ wrong.T + (p["d"] - base)[false])
+            dv[at] += gf @ wrong
+            np.add.at(g["w"], false, gf.T @ some)
+            np.add.at(g["d"], false, gf.sum(0))
+        known = rank < self.rest
+        mine = rank[known]
+        right = p["w"][mine]
+        word_gt[known] = -_sigmoid(-((v[known] * right).sum(1) + (p["d"] - base)[mine]))
+        dv[known] += word_gt[known, None] * right
+        g["w"] += _scatter(mine, word_gt[known, None] * v[known], len(p["w"]))
+        g["d"] += np.bincount(mine, word_gt[known], len(p["d"]))
         g["c1"], g["c2"] = a.T @ dv, b.T @ dv
         g["r"] = _scatter(one, dv @ p["c1"].T, len(p["r"])) + _scatter(two, dv @ p["c2"].T, len(p["r"]))
         for name, x in g.items():  # Adagrad
             memory[name] += x * x
-            p[name] -= RATE * x / np.sqrt(memory[name] + 1e-6)
+            p[name] -= np.float32(RATE) * x / np.sqrt(memory[name] + np.float32(1e-6))
 
-    def log_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 of each token's class given its context; equal contexts are worked out once."""
+    def log_probabilities(self, rank: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability given its context, for all other tokens that of their group; equal contexts are worked out once."""
         n = self.start + 1
         code, at = np.unique(one * n + two, return_inverse=True)
-        out = np.empty(len(w))
-        order = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[order], np.arange(0, len(code) + 2048, 2048))
-        p = self.p
-        for i, (lo, hi) in enumerate(zip(edge[:-1], edge[1:])):
-            some = code[2048 * i : 2048 * (i + 1)]
-            v = (p["r"][some // n] @ p["c1"] + p["r"][some % n] @ p["c2"]).astype(np.float32)
-            s = v @ p["q"].T.astype(np.float32) + p["b"].astype(np.float32)
-            top = s.max(1)
-            norm = top + np.log(np.exp(s - top[:, None]).sum(1))
-            mine = order[lo:hi]
-            row = at[mine] - 2048 * i
-            out[mine] = s[row, w[mine]] - norm[row]
+        p = {k: x.astype(np.float64) for k, x in self.p.items()}  # so that a text's score doesn't depend on its slice
+        out, group = np.empty(len(rank)), self.group(rank)
+        v = p["r"][code // n] @ p["c1"] + p["r"][code % n] @ p["c2"]
+        norm = np.empty(len(code))
+        for i in range(0, len(code), 4096):
+            norm[i : i + 4096] = _log_sum(v[i : i + 4096] @ p["q"].T + p["b"])
+        order = np.argsort(group, kind="stable")
+        edge = np.searchsorted(group[order], np.arange(self.groups + 2))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            mine = order[edge[k] : edge[k + 1]]
+            out[mine] = v[at[mine]] @ p["q"][k] + p["b"][k] - norm[at[mine]]
+            if k < self.groups:
+                rows = slice(k * MEMBERS, (k + 1) * MEMBERS)
+                bias = np.where(self.padding[rows], -1e9, p["d"][rows])
+                for i in range(0, len(mine), 4096):
+                    some = mine[i : i + 4096]
+                    s = v[at[some]] @ p["w"][rows].T + bias
+                    out[some] += s[np.arange(len(some)), rank[some] - k * MEMBERS] - _log_sum(s)
         return out / np.log(10)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(1)
+    return top + np.log(np.exp((s - top[:, None]).astype(np.float32)).sum(1, dtype=np.float64))
+
+
 def _scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1)
+    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
 
 
 def train(docs: DataFrame, model: Model) -> Model:
-    """Every partition's texts once, from the same start; then the weighted mean."""
+    """Every shard's texts once, from the same start; then the weighted mean."""
 
     def run(batches):
-        p = {k: v.copy() for k, v in shared.value.p.items()}
         local = shared.value
-        local.p = p
-        memory = {k: np.zeros_like(v) for k, v in p.items()}
+        start = local.p
+        local.p = {k: v.copy() for k, v in start.items()}
+        memory = {k: np.zeros_like(v) for k, v in start.items()}
         r, seen, held, size = np.random.default_rng(17), 0, [], 0
         for batch in batches:
             for part in slices(batch):
                 h, _, first = _tokens(part)
-                cls = local.classes(h)
-                held.append(np.stack([cls, *local.contexts(cls, first)]))
-                size += len(cls)
+                rank = local.ranks(h)
+                held.append(np.stack([rank, *local.contexts(rank, first)]))
+                size += len(rank)
                 if size < BATCH * 16:
                     continue
                 seen += _steps(local, np.concatenate(held, 1), r, memory)
@@ -191,22 +250,30 @@ def train(docs: DataFrame, model: Model) -> Model:
             seen += _steps(local, np.concatenate(held, 1), r, memory)
         if seen:
             flat = local.flat()
-            flat = np.concatenate((flat, np.zeros(-len(flat) % _WIDE))).reshape(-1, _WIDE)
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "v": pa.array(list(flat), pa.list_(pa.float64())), "n": np.full(len(flat), float(seen))})
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(run, "i long, v array<double>, n double")
+            flat = np.concatenate((flat, np.zeros(-len(flat) % _WIDE, np.float32))).reshape(-1, _WIDE)
+            for i in range(0, len(flat), 512):
+                some = flat[i : i + 512]
+                yield pa.RecordBatch.from_pydict({"i": np.arange(i, i + len(some)), "v": pa.FixedSizeListArray.from_arrays(pa.array(some.ravel().astype(np.float64)), _WIDE).cast(pa.list_(pa.float64())), "n": np.full(len(some), float(seen))})
+        local.p = start  # a worker may run several shards
+        release()
+
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    small_batches(spark)
+    place = F.xxhash64("doc_id", "text")
+    shards = docs.select("text", place.alias("place")).repartition(max(1, -(-model.total // SHARD_TOKENS)), "place").sortWithinPartitions("place", "text")
+    parts = shards.select("text").mapInArrow(run, "i long, v array<double>, n double")
     rows = parts.groupBy("i").agg(vector_to_array(Summarizer.mean(array_to_vector("v"), F.col("n"))).alias("v")).collect()
     if rows:
         model.load(np.concatenate([r["v"] for r in sorted(rows, key=lambda r: r["i"])])[: len(model.flat())])
+    shared.unpersist()
     return model
 
 
 def _steps(model: Model, x: np.ndarray, r: np.random.Generator, memory: dict) -> int:
-    for i in range(0, x.shape[1], BATCH):
-        w, one, two = x[:, i : i + BATCH]
-        model.step(w, one, two, r.choice(len(model.noise), NOISE, p=model.noise), memory)
+    size = max(512, min(BATCH, -(-x.shape[1] // 16)))  # a small corpus takes some steps too
+    for i in range(0, x.shape[1], size):
+        model.step(*x[:, i : i + size], r, memory)
     return x.shape[1]
 
 
@@ -230,8 +297,8 @@ def _score(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
     """A row for each text, and one for each token of it that the model has no count of."""
     h, row, first = _tokens(batch)
     n = batch.num_rows
-    cls = m.classes(h)
-    logp = m.log_probabilities(cls, *m.contexts(cls, first)) if len(m.noise) else np.zeros(len(h))
+    rank = m.ranks(h)
+    logp = m.log_probabilities(rank, *m.contexts(rank, first))
     if len(m.hot):
         at = np.minimum(np.searchsorted(m.hot, h), len(m.hot) - 1)
         known = m.hot[at] == h
@@ -239,7 +306,7 @@ def _score(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
     else:
         known, own = np.zeros(len(h), bool), np.zeros(len(h))
     size = np.diff(first)
-    rest = cls == m.rest
+    rest = rank == m.rest
     add = lambda x: np.bincount(row, x, n)
     base = add(own) - size * np.log10(m.total + m.kinds + 1)
     score = add(logp) + add(own * rest) - add(rest) * np.log10(m.rest_total + m.rest_kinds + 1)
@@ -257,7 +324,7 @@ def _score(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
 def score_documents(docs: DataFrame, k: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     text = F.col("text").cast("string").alias("text")
-    model, cold_counts = learn(docs.filter(fold("doc_id", k) != held_out).select(text))
+    model, cold_counts = learn(docs.filter(fold("doc_id", k) != held_out).select("doc_id", text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "k_id long, k_crc long, n_tokens long, n_known long, base_score double, score double, h long, times long"
     rows = cut(map_arrow(docs.select(*row_key(docs), text), lambda b: _score(b, shared.value), fields))
@@ -267,4 +334,4 @@ def score_documents(docs: DataFrame, k: int = 7, held_out: int = 2) -> DataFrame
     joined = texts.join(found.join(copies, ["k_id", "k_crc"]), ["k_id", "k_crc"], "left")
     more, more_known = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0)), F.coalesce(F.expr("more_known div copies"), F.lit(0))
     doc_id = F.when(F.col("k_id") != F.lit(-(1 << 63)), F.col("k_id")).alias("doc_id")
-    return joined.select(doc_id, F.coalesce(fold(doc_id, k) == held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + more_known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.round(F.col("base_score") + more, 6).alias("base_score"), F.round(F.col("score") + more, 6).alias("score"))
+    return joined.select(doc_id, F.coalesce(fold(doc_id, k) == held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + more_known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.round(F.col("base_score") + more, 6).alias("base_score"), F.round(F.col("score") + more, 4).alias("score"))

@@ -370,7 +370,7 @@ def test_language_model_probabilities_sum_to_one():
     import numpy as np
 
     m = lm_score.Model(np.arange(1, 400, dtype=np.uint64), np.arange(1, 400) // 3, sum(range(1, 400)) // 3, 399)
-    assert m.groups == 4 and m.rest == 394
+    assert m.groups == 7 and m.rest == 394
     r = np.random.default_rng(1)
     memory = {k: np.zeros_like(v) for k, v in m.p.items()}
     for _ in range(3):
