@@ -29,6 +29,16 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+KEYS = ["k_id", "k_hash", "k_crc"]
+NO_ID = -(1 << 63)
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """What tells rows apart, named KEYS: the id, and 64 and 32 bits of two checksums of the text."""
+    text = F.col("text").cast("string")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(text).alias("k_hash"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).cast("long").alias("k_crc")]
+
+
 def fold(id_col: str | Column, k: int) -> Column:
     """crc32 of the id written as text, modulo k; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_ALNUM, covered, cut, gram_hash, id_text, long_array, map_arrow, runs, span_hash, utf8, words
+from ._common import KEYS, LOWER, NOT_ALNUM, covered, cut, gram_hash, id_text, long_array, map_arrow, row_key, runs, span_hash, utf8, words
 
 WINDOW = 10
 SIEVE = 3
@@ -183,15 +183,6 @@ def _block_tests(items: DataFrame, block_words: int, window: int):
         yield Tests(pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], schema=schema), window)
 
 
-def _keyed(docs: DataFrame) -> list[Column]:
-    """What tells rows apart as far as their findings can differ: id and two checksums of the text."""
-    text = F.col("text").cast("string")
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64(text).alias("k_hash"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("k_crc")]
-
-
-KEYS = ["k_id", "k_hash", "k_crc"]
-
-
 def _merged(spans: pd.Series) -> pd.Series:
     """Spans that several blocks found, as the maximal runs that they cover."""
     out = []
@@ -205,7 +196,7 @@ def _merged(spans: pd.Series) -> pd.Series:
 
 def _by_blocks(docs: DataFrame, blocks) -> DataFrame:
     """KEYS, hits, items, longest of all rows with a match, the blocks one after another."""
-    source = docs.select(*_keyed(docs), "doc_id", F.col("text").cast("string").alias("text"))
+    source = docs.select(*row_key(docs), "doc_id", F.col("text").cast("string").alias("text"))
     names = ["hits", "items", "longest_words", "longest_start", "longest_item"]
     parts = []
     for tests in blocks:
@@ -247,7 +238,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*KEYS, "doc_id"]), long_array(np.diff(_word_hashes(batch)[1]))], names=[*KEYS, "doc_id", "n_words"])
 
-    rows = map_arrow(docs.select(*_keyed(docs), "doc_id", "text"), count, "k_id long, k_hash long, k_crc long, doc_id long, n_words long").join(found, KEYS, "left")
+    rows = map_arrow(docs.select(*row_key(docs), "doc_id", "text"), count, "k_id long, k_hash long, k_crc long, doc_id long, n_words long").join(found, KEYS, "left")
     none = {"hits": F.array().cast(_SPAN), "items": F.array().cast("array<long>"), "longest_words": F.lit(0), "longest_start": F.lit(0)}
     return rows.select("doc_id", "n_words", *(F.coalesce(c, none[c]).alias(c) for c in none), "longest_item")
 
@@ -272,7 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
     if found is None:
         return map_arrow(docs, lambda b: b.filter(pa.array(_clean_mask(b, shared.value))), docs.schema)
     gone = found.filter(F.size("hits") > 0).select(KEYS)
-    return docs.select(*_keyed(docs), F.struct(*docs.columns).alias("row")).join(gone, KEYS, "left_anti").select("row.*")
+    return docs.select(*row_key(docs), F.struct(*docs.columns).alias("row")).join(gone, KEYS, "left_anti").select("row.*")
 
 
 def _clean_mask(batch: pa.RecordBatch, t: Tests) -> np.ndarray:

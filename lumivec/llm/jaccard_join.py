@@ -19,8 +19,9 @@ cap on partners, candidates or groups.
    prefixes). These filters are joined on prefixes of two bytes a shingle, and
    intersected before any whole set is moved.
 4. Larger groups form no pairs of all. What a class with few prefix shingles in
-   them (light) can link to has one of a few sizes, by which it is joined. The
-   others are gathered by a centre, the class with the largest share of such
+   them (light) can link to has one of a few sizes: it meets one class of each, that
+   with most such shingles, and later what all links so far leave unconnected
+   (components are met before their members). The others are gathered by a centre, the class with the largest share of such
    shingles; a member meets the centre alone and keeps its difference to it,
    delta = (what it adds, what it lacks). For two members, |x xor y| = |dx| +
    |dy| - 2 |dx and dy|, so a link between members of which one is not linked to
@@ -46,12 +47,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE, cut, gram_hash, long_array, map_arrow, mix, release, small_batches, slices, span_hash, tidy, utf8, words
+from ._common import KEYS, LOWER, SPACE, cut, gram_hash, long_array, map_arrow, mix, release, row_key, small_batches, slices, span_hash, tidy, utf8, words
 from ._graph import components
-from .line_dedup import row_key
 
 SHINGLE = 5
 SMALL = 32
@@ -101,21 +101,21 @@ def set_class(s: np.ndarray) -> int:
 
 def _profile(batches):
     """Per row its class; per map window the shingles of several documents."""
-    schema = pa.schema([("k_id", pa.int64()), ("k_crc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("k_id", pa.int64()), ("k_hash", pa.int64()), ("k_crc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
     held, size, seen = [], 0, set()
 
     def frequent():
         t, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         t, c = t[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
         none = pa.nulls(len(t), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, long_array(t), long_array(c)], schema=schema)
+        return pa.RecordBatch.from_arrays([*[none] * (len(schema) - 2), long_array(t), long_array(c)], schema=schema)
 
     for batch in batches:
         for part in slices(batch):
             sets = shingle_sets(part)
             cls = [set_class(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("k_id"), part.column("k_crc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in KEYS), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), none, none], schema=schema)
             for c, s in zip(cls, sets):
                 if c not in seen:
                     seen.add(c)
@@ -256,8 +256,8 @@ def _small_pairs(held: DataFrame, in_large: DataFrame) -> DataFrame:
     return shared.filter((F.col("near") | (large > 0)) & (F.col("c") + large >= _need(F.col("n1"), F.col("n2")))).select(*_pair())
 
 
-def _light_pairs(large: DataFrame) -> DataFrame:
-    """(a, b) of large groups (centre, cls, n, m) in which one has few shingles of large groups (m) for its size.
+def _light_sizes(large: DataFrame) -> DataFrame:
+    """(centre, cls1, n1, m1, n2): the sizes of what a class can link to that has few shingles of large groups (m) for its size.
 
     What they share under order A lies in large groups alone here (else small
     groups have the pair), so m is at least _need(): the partner's size is within
@@ -268,14 +268,42 @@ def _light_pairs(large: DataFrame) -> DataFrame:
     below = F.sequence(F.floor(F.col("n") * 3 / F.lit(4.0)), F.floor((F.col("n") + room) * 3 / F.lit(4.0)))
     sizes = F.explode(F.array_distinct(F.concat(above, below))).alias("n2")
     light = large.filter(F.col("m") * LIGHT < F.col("n")).select("centre", F.col("cls").alias("cls1"), F.col("n").alias("n1"), F.col("m").alias("m1"), sizes)
-    pairs = light.join(large.select("centre", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "m"))), ["centre", "n2"])
-    fits = (F.col("cls1") != F.col("cls2")) & (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3)
-    return pairs.filter(fits & (_need(F.col("n1"), F.col("n2")) <= F.least("m1", "m2"))).select(*_pair())
+    known = large.select("centre", F.col("n").alias("n2")).distinct()
+    fits = (F.col("n1") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n1") * 3)
+    return light.join(known, ["centre", "n2"]).filter(fits)
+
+
+def _met(sizes: DataFrame, partners: DataFrame) -> DataFrame:
+    """(a, b): classes (centre, cls1, n1, m1, n2, ..) with partners of the group (centre, n2, cls2, m2, ..) that may share enough."""
+    both = ["centre", "n2", *(["top2"] if "top2" in partners.columns else [])]
+    fits = (F.col("cls1") != F.col("cls2")) & (_need(F.col("n1"), F.col("n2")) <= F.least("m1", "m2"))
+    return sizes.join(partners, both).filter(fits).select(*_pair())
+
+
+def _light_first(sizes: DataFrame, large: DataFrame) -> DataFrame:
+    """(a, b): every light class with one class of each fitting size: that with most shingles of large groups."""
+    best = large.groupBy("centre", F.col("n").alias("n2")).agg(F.max(F.struct(F.col("m").alias("m2"), F.col("cls").alias("cls2"))).alias("x")).select("centre", "n2", "x.*")
+    return _met(sizes, best)
+
+
+def _light_rest(sizes: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): light classes with all of fitting sizes that links don't connect to them already.
+
+    A class meets the components of a size first, one row each, so that what is
+    connected costs no row for each pair.
+    """
+    root = components(links).select(F.col("v").alias("cls"), "root")
+    top = lambda df, cls, name: df.join(root.withColumnRenamed("cls", cls), cls, "left").withColumn(name, F.coalesce("root", cls)).drop("root")
+    sizes = top(sizes, "cls1", "top1")
+    partners = cut(top(large.select("centre", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("m").alias("m2")), "cls2", "top2"))
+    apart = sizes.join(partners.groupBy("centre", "n2", "top2").agg(F.max("m2").alias("most")), ["centre", "n2"])
+    apart = apart.filter((F.col("top1") != F.col("top2")) & (_need(F.col("n1"), F.col("n2")) <= F.least("m1", "most"))).drop("top1", "most")
+    return _met(cut(apart), partners)
 
 
 def _class_sets(source: DataFrame, one: DataFrame, classes: DataFrame, late) -> DataFrame:
     """cls, n, s (the whole set) and head1 .. (prefixes under the other orders, two bytes a shingle) of the given classes."""
-    wanted = cut(classes.join(one, "cls").select("k_id", "k_crc").distinct())
+    wanted = cut(classes.join(one, "cls").select(*KEYS).distinct())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch)
@@ -285,7 +313,7 @@ def _class_sets(source: DataFrame, one: DataFrame, classes: DataFrame, late) ->
         return pa.RecordBatch.from_pydict(out)
 
     heads = "".join(f", head{k} binary" for k in range(1, ORDERS + 1))
-    return cut(map_arrow(_picked(source, wanted, ["k_id", "k_crc"], "left_semi"), run, "cls long, n long, s binary" + heads))
+    return cut(map_arrow(_picked(source, wanted, KEYS, "left_semi"), run, "cls long, n long, s binary" + heads))
 
 
 def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -437,70 +465,87 @@ def _delta_links(deltas: DataFrame) -> DataFrame:
     return starred.unionByName(_delta_verified(pairs, deltas)).select(*_pair("cls_x", "cls_y"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+
+
+def _all(spark: SparkSession, links: list[DataFrame]) -> DataFrame:
+    found = links[0] if links else spark.createDataFrame([], "a long, b long")
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _pair_links(pairs: DataFrame, sets: DataFrame, known: list[DataFrame]) -> list[DataFrame]:
+    """Tables of links among the pairs that, with those known, connect all of them that link."""
+    pairs = _filtered(pairs, sets)
+    if pairs.isEmpty():
+        return []
+    # every class meets its most central candidate; then what these links leave apart
+    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rank = edges.groupBy("b").agg((-F.count(F.lit(1))).alias("rank"))
+    best = edges.join(rank, "b").groupBy("a").agg(F.min(F.struct("rank", "b"))["b"].alias("b"))
+    first = cut(best.select(*_pair("a", "b")).distinct())
+    found = [_verified(first, sets)]
+    known = [*known[:1], *found]
+    up = cut(_all(pairs.sparkSession, known).groupBy(F.col("b").alias("v")).agg(F.min("a").alias("up")))
+    top = up.join(up.select(F.col("v").alias("up"), F.col("up").alias("top")), "up", "left").select("v", F.coalesce("top", "up").alias("top"))
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for k in ("a", "b"):
+        rest = rest.join(top.select(F.col("v").alias(k), F.col("top").alias(f"top_{k}")), k, "left")
+    rest = cut(rest.filter(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"))
+    return found if rest.isEmpty() else [*found, _verified(rest, sets)]
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k_id, k_crc, n, cls) of every row, and (a, b): verified links between classes that connect all that are linked."""
+    """(k_id, k_hash, k_crc, n, cls) of every row, and (a, b): verified links between classes that connect all that are linked."""
     spark = docs.sparkSession
     source = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
     small_batches(spark)
-    profile = cut(source.mapInArrow(_profile, "k_id long, k_crc long, n long, cls long, token long, times long"))
-    rows = profile.filter("cls is not null").select("k_id", "k_crc", "n", "cls")
+    profile = cut(source.mapInArrow(_profile, "k_id long, k_hash long, k_crc long, n long, cls long, token long, times long"))
+    rows = profile.filter("cls is not null").select(*KEYS, "n", "cls")
     late = spark.sparkContext.broadcast(frequent_shingles(profile))
 
     # one document stands for each class
     full = rows.filter("cls <> 0")
-    one = full.groupBy("cls").agg(F.min(F.struct("k_id", "k_crc")).alias("k")).select("cls", "k.*")
-    others = cut(full.join(one, ["k_id", "k_crc", "cls"], "left_anti").select("k_id", "k_crc").distinct())
-    cold, hot = _prefix_rows(_picked(source, others, ["k_id", "k_crc"], "left_anti"), late)
+    one = full.groupBy("cls").agg(F.min(F.struct("k_id", "k_hash", "k_crc")).alias("k")).select("cls", "k.*")
+    others = cut(full.join(one, ["k_id", "k_hash", "k_crc", "cls"], "left_anti").select(*KEYS).distinct())
+    cold, hot = _prefix_rows(_picked(source, others, KEYS, "left_anti"), late)
     held = cold.unionByName(hot)
     in_large = cut(held.filter(F.col("df") > SMALL).groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")))
     large = cut(held.filter(F.col("df") > SMALL).select("centre", "cls").distinct().join(in_large, "cls"))
-    pairs = cut(_small_pairs(held, in_large).unionByName(_light_pairs(large)).distinct())
+    sizes = cut(_light_sizes(large))
+    pairs = cut(_small_pairs(held, in_large).unionByName(_light_first(sizes, large)).distinct())
     tidy(spark)
     heavy = large.filter(F.col("m") * LIGHT >= F.col("n"))
     centres = heavy.groupBy("centre").agg(F.min(F.struct(-F.col("m") / F.col("n"), "cls"))["cls"].alias("own"))
     members = cut(heavy.join(centres, "centre").select(F.col("own").alias("centre"), "cls").distinct())
-    classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(members.select("cls")).distinct()
-    sets = _class_sets(source, one, classes, late)
+    sets = _class_sets(source, one, _ends(pairs).unionByName(members.select("cls")).distinct(), late)
     tidy(spark)
 
     links = []
     if not members.isEmpty():
         deltas = _deltas(members, sets)
         links += [deltas.filter("not apart").select(*_pair("centre", "cls")), _delta_links(deltas)]
-    pairs = _filtered(pairs, sets)
-    if not pairs.isEmpty():
-        # every class meets its most central candidate; then what these links leave apart
-        edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = edges.groupBy("b").agg((-F.count(F.lit(1))).alias("rank"))
-        best = edges.join(rank, "b").groupBy("a").agg(F.min(F.struct("rank", "b"))["b"].alias("b"))
-        first = cut(best.select(*_pair("a", "b")).distinct())
-        links.append(_verified(first, sets))
-        known = links[0].unionByName(links[-1]) if len(links) > 1 else links[-1]
-        up = cut(known.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("up")))
-        top = up.join(up.select(F.col("v").alias("up"), F.col("up").alias("top")), "up", "left").select("v", F.coalesce("top", "up").alias("top"))
-        rest = pairs.join(first, ["a", "b"], "left_anti")
-        for k in ("a", "b"):
-            rest = rest.join(top.select(F.col("v").alias(k), F.col("top").alias(f"top_{k}")), k, "left")
-        rest = cut(rest.filter(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"))
-        if not rest.isEmpty():
-            links.append(_verified(rest, sets))
+    links += _pair_links(pairs, sets, links)
+    if not sizes.isEmpty():
+        more = cut(_light_rest(sizes, large, _all(spark, links)).join(pairs, ["a", "b"], "left_anti").distinct())
+        if not more.isEmpty():
+            links += _pair_links(more, _class_sets(source, one, _ends(more).distinct(), late), links)
     late.unpersist()
-    found = links[0] if links else spark.createDataFrame([], "a long, b long")
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return rows, found
+    return rows, _all(spark, links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """k_id, k_crc, doc_id, n_shingles, component_id and the component's internal root (null for empty sets) for every row."""
+    """k_id, k_hash, k_crc, doc_id, n_shingles, component_id and the component's internal root (null for empty sets) for every row."""
     rows, links = link_classes(docs)
     root = components(links).withColumnRenamed("v", "cls")
     alone = F.when(F.col("cls") == 0, F.lit(None)).otherwise(F.coalesce("root", "cls"))
-    rows = cut(rows.join(root, "cls", "left").select("k_id", "k_crc", F.col("n").alias("n_shingles"), alone.alias("root")))
+    rows = cut(rows.join(root, "cls", "left").select(*KEYS, F.col("n").alias("n_shingles"), alone.alias("root")))
     real = F.when(F.col("k_id") != F.lit(-(1 << 63)), F.col("k_id"))
     lowest = cut(rows.filter("root is not null").groupBy("root").agg(F.min(real).alias("component_id")))
     named = rows.join(lowest, "root", "left").withColumn("k_real", real)
-    return named.select("k_id", "k_crc", F.col("k_real").alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), F.col("k_real")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    return named.select(*KEYS, F.col("k_real").alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), F.col("k_real")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -511,11 +556,10 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of one row of each component, of those with the component's id; rows with the empty set all stay."""
     found = near_duplicates(docs)
-    one = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k_id", "k_crc")).alias("k")).select("k.k_id", "k.k_crc")
-    stay = cut(found.join(one, ["k_id", "k_crc"], "left_semi").unionByName(found.filter("root is null")).groupBy("k_id", "k_crc").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("root").isNotNull()).alias("single")))
-    k_id, k_crc = row_key(docs)
-    kept = docs.select(k_id, k_crc, F.struct(*docs.columns).alias("_row")).join(stay, ["k_id", "k_crc"])
+    one = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k_id", "k_hash", "k_crc")).alias("k")).select("k.k_id", "k.k_hash", "k.k_crc")
+    stay = cut(found.join(one, KEYS, "left_semi").unionByName(found.filter("root is null")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("times"), F.max(F.col("root").isNotNull()).alias("single")))
+    kept = docs.select(*row_key(docs), F.struct(*docs.columns).alias("_row")).join(stay, KEYS)
     again = F.col("single") & (F.col("times") > 1)  # repeated rows of one key
     if stay.filter(again).isEmpty():
         return kept.select("_row.*")
-    return kept.filter(~again).select("_row.*").unionByName(kept.filter(again).dropDuplicates(["k_id", "k_crc"]).select("_row.*"))
+    return kept.filter(~again).select("_row.*").unionByName(kept.filter(again).dropDuplicates(KEYS).select("_row.*"))

@@ -23,20 +23,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, cut, gram_hash, map_arrow, row_starts, span_hash, utf8, words
+from ._common import KEYS, SPACE, cut, gram_hash, map_arrow, row_key, row_starts, span_hash, utf8, words
 
 WINDOW = 3
 _B = np.arange(256)
 NEWLINE = _B == 10
-NO_ID = -(1 << 63)
-
-
-def row_key(docs: DataFrame) -> list[Column]:
-    """What tells a row apart: its id and a checksum of its text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).cast("long").alias("k_crc")]
 
 
 def _windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
@@ -69,19 +63,19 @@ def _windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     again[order[1:][same]] = True
     take = pa.array(doc)
     return pa.RecordBatch.from_arrays(
-        [batch.column("k_id").take(take), batch.column("k_crc").take(take), pa.array(key.view(np.int64)), pa.array(more), pa.array((at - first[doc]).astype(np.int32)), pa.array(again)],
-        names=["k_id", "k_crc", "h", "g", "at", "again"],
+        [*(batch.column(k).take(take) for k in KEYS), pa.array(key.view(np.int64)), pa.array(more), pa.array((at - first[doc]).astype(np.int32)), pa.array(again)],
+        names=[*KEYS, "h", "g", "at", "again"],
     )
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k_id, k_crc, at: every occurrence of a window after its first."""
+    """k_id, k_hash, k_crc, at: every occurrence of a window after its first."""
     source = docs.select(*row_key(docs), F.col("text").cast("string").alias("text")).filter(F.col("text").contains("\n"))
-    rows = cut(map_arrow(source, lambda b: _windows(b, window), "k_id long, k_crc long, h long, g int, at int, again boolean"))
+    rows = cut(map_arrow(source, lambda b: _windows(b, window), "k_id long, k_hash long, k_crc long, h long, g int, at int, again boolean"))
     once = rows.filter("not again")
     first = cut(once.groupBy("h", "g").agg(F.min("k_id").alias("first"), F.max("k_id").alias("last")).filter("first < last").select("h", "g", "first"))
     later = once.join(first, ["h", "g"]).filter("k_id > first")
-    return later.select("k_id", "k_crc", "at").unionByName(rows.filter("again").select("k_id", "k_crc", "at"))
+    return later.select(*KEYS, "at").unionByName(rows.filter("again").select(*KEYS, "at"))
 
 
 def _kept_runs(places: pd.Series, n_lines: pd.Series, window: pd.Series) -> pd.Series:
@@ -102,14 +96,14 @@ def _kept_runs(places: pd.Series, n_lines: pd.Series, window: pd.Series) -> pd.S
 
 def cut_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """row (all columns of docs, text replaced), n_lines and n_removed (of the text before) for every row."""
-    gone = removed_windows(docs, window).groupBy("k_id", "k_crc").agg(F.collect_set("at").alias("places"))
+    gone = removed_windows(docs, window).groupBy(*KEYS).agg(F.collect_set("at").alias("places"))
     packed = docs.select(*row_key(docs), F.struct(*docs.columns).alias("row"))
     text = F.col("row")["text"]
     lines = F.split(text, "\n", -1)
     n_lines = F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long")
     kept_runs = F.pandas_udf(_kept_runs, "array<struct<start:int,length:int>>")
     runs = kept_runs("places", F.coalesce(F.size(lines), F.lit(0)), F.lit(window))
-    packed = packed.join(gone, ["k_id", "k_crc"], "left").withColumn("runs", runs)
+    packed = packed.join(gone, KEYS, "left").withColumn("runs", runs)
     kept = F.flatten(F.transform("runs", lambda r: F.slice(lines, r["start"], r["length"])))
     n_kept = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["length"])
     hit = F.col("runs").isNotNull()

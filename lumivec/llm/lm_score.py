@@ -38,8 +38,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE, cut, fold, long_array, map_arrow, release, slices, small_batches, span_hash, utf8, words
-from .line_dedup import row_key
+from ._common import KEYS, LOWER, SPACE, cut, fold, long_array, map_arrow, release, row_key, slices, small_batches, span_hash, utf8, words
 
 MODEL_WORDS = 1 << 12
 MEMBERS = 64
@@ -315,9 +314,9 @@ def _score(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
     take = pa.array(cold[0].astype(np.int64))
     both = lambda a, b: pa.concat_arrays([a, b])
     return pa.RecordBatch.from_arrays(
-        [both(batch.column(c), batch.column(c).take(take)) for c in ("k_id", "k_crc")]
+        [both(batch.column(c), batch.column(c).take(take)) for c in KEYS]
         + [both(long_array(size), none), both(long_array(add(known)), none), both(pa.array(base), none.cast(pa.float64())), both(pa.array(score), none.cast(pa.float64())), both(pa.nulls(n, pa.int64()), long_array(cold[1])), both(pa.nulls(n, pa.int64()), long_array(times[:k]))],
-        names=["k_id", "k_crc", "n_tokens", "n_known", "base_score", "score", "h", "times"],
+        names=[*KEYS, "n_tokens", "n_known", "base_score", "score", "h", "times"],
     )
 
 
@@ -326,12 +325,12 @@ def score_documents(docs: DataFrame, k: int = 7, held_out: int = 2) -> DataFrame
     text = F.col("text").cast("string").alias("text")
     model, cold_counts = learn(docs.filter(fold("doc_id", k) != held_out).select("doc_id", text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "k_id long, k_crc long, n_tokens long, n_known long, base_score double, score double, h long, times long"
+    fields = "k_id long, k_hash long, k_crc long, n_tokens long, n_known long, base_score double, score double, h long, times long"
     rows = cut(map_arrow(docs.select(*row_key(docs), text), lambda b: _score(b, shared.value), fields))
-    found = rows.filter("h is not null").join(cold_counts, "h").groupBy("k_id", "k_crc").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
+    found = rows.filter("h is not null").join(cold_counts, "h").groupBy(*KEYS).agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
     texts = rows.filter("h is null")
-    copies = texts.groupBy("k_id", "k_crc").agg(F.count(F.lit(1)).alias("copies"))  # repeated rows have added up
-    joined = texts.join(found.join(copies, ["k_id", "k_crc"]), ["k_id", "k_crc"], "left")
+    copies = texts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("copies"))  # repeated rows have added up
+    joined = texts.join(found.join(copies, KEYS), KEYS, "left")
     more, more_known = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0)), F.coalesce(F.expr("more_known div copies"), F.lit(0))
     doc_id = F.when(F.col("k_id") != F.lit(-(1 << 63)), F.col("k_id")).alias("doc_id")
     return joined.select(doc_id, F.coalesce(fold(doc_id, k) == held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + more_known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.round(F.col("base_score") + more, 6).alias("base_score"), F.round(F.col("score") + more, 4).alias("score"))

@@ -36,15 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _U, covered, cut, keys, long_array, map_arrow, mix, row_starts, runs, utf8
-from .line_dedup import row_key
+from ._common import _U, KEYS, covered, cut, keys, long_array, map_arrow, mix, row_key, row_starts, runs, utf8
 
 LENGTH = 200
 SEED = 32  # bytes of an anchor
 BLOCK = 12
 BROADCAST_PLACES = 500_000  # 8 bytes each, and 16 for each document
 _PAIR = keys(2, 77)
-_KEYS = "k_id long, k_crc long"
+_KEYS = "k_id long, k_hash long, k_crc long"
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,7 +75,7 @@ def all_names(data: np.ndarray, length: int = SEED) -> np.ndarray:
 
 def _rows(batch: pa.RecordBatch, row: np.ndarray, **columns) -> pa.RecordBatch:
     take = pa.array(row)
-    return pa.RecordBatch.from_pydict({"k_id": batch.column("k_id").take(take), "k_crc": batch.column("k_crc").take(take)} | {k: long_array(v) for k, v in columns.items()})
+    return pa.RecordBatch.from_pydict({k: batch.column(k).take(take) for k in KEYS} | {k: long_array(v) for k, v in columns.items()})
 
 
 def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -148,18 +147,18 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     core = Window.partitionBy("core")
     whole = Window.partitionBy("core", "whole")
     found = rows.withColumn("same", F.when(F.col("whole") == 0, F.lit(1)).otherwise(F.count(F.lit(1)).over(whole)))
-    found = found.withColumn("nth", F.when(F.col("whole") == 0, F.lit(1)).otherwise(F.row_number().over(whole.orderBy("k_id", "k_crc", "start"))))
+    found = found.withColumn("nth", F.when(F.col("whole") == 0, F.lit(1)).otherwise(F.row_number().over(whole.orderBy(*KEYS, "start"))))
     found = found.withColumn("n", F.count(F.lit(1)).over(core)).withColumn("least", F.min("same").over(core)).withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(core))
     done, go = F.col("same") > 1, (F.col("least") == 1) & (F.col("kinds") > 1) & (F.col("nth") == 1)
-    return found.filter(F.col("n") > 1).filter(done | go).select("k_id", "k_crc", "start", "stop", "anchor", done.alias("done"), go.alias("open"))
+    return found.filter(F.col("n") > 1).filter(done | go).select(*KEYS, "start", "stop", "anchor", done.alias("done"), go.alias("open"))
 
 
 def _with_places(source: DataFrame, rows: DataFrame, place) -> DataFrame:
     """The documents of rows, with their places as a list; the lists are broadcast if there are few."""
-    rows = rows.select("k_id", "k_crc", place.alias("p"))
+    rows = rows.select(*KEYS, place.alias("p"))
     n = rows.count()
-    lists = rows.groupBy("k_id", "k_crc").agg(F.collect_set("p").alias("places"))
-    return source.join(F.broadcast(lists) if n <= BROADCAST_PLACES else lists, ["k_id", "k_crc"])
+    lists = rows.groupBy(*KEYS).agg(F.collect_set("p").alias("places"))
+    return source.join(F.broadcast(lists) if n <= BROADCAST_PLACES else lists, KEYS)
 
 
 def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,20 +173,20 @@ def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
                 merged.append([start, end])
         out.append([{"start": a, "stop": b} for a, b in merged])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    return pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_crc"), pa.array(out, kind)], names=["k_id", "k_crc", "gone"])
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), pa.array(out, kind)], names=[*KEYS, "gone"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """k_id, k_crc, gone: the maximal runs of removed bytes of every document that has some (whole copies: one run)."""
+    """k_id, k_hash, k_crc, gone: the maximal runs of removed bytes of every document that has some (whole copies: one run)."""
     source = docs.select(*row_key(docs), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= LENGTH)
     same = ["h", "size"]
-    known = cut(source.select("k_id", "k_crc", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size")))
+    known = cut(source.select(*KEYS, F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size")))
     groups = known.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("k_id").alias("first")).filter("n > 1")
     copies = cut(known.join(cut(groups), same))
     # by (id, checksum) the first of each group of copies goes through the steps
-    others = copies.filter("k_id > first").select("k_id", "k_crc").distinct()
+    others = copies.filter("k_id > first").select(*KEYS).distinct()
     n = others.count()
-    single = source.join(F.broadcast(others) if n <= BROADCAST_PLACES else others, ["k_id", "k_crc"], "left_anti")
+    single = source.join(F.broadcast(others) if n <= BROADCAST_PLACES else others, KEYS, "left_anti")
 
     fields = f"{_KEYS}, core long, whole long, start long, stop long, anchor long"
     zero = cut(_sorted_out(map_arrow(single, _anchors, fields)))
@@ -197,11 +196,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     two = two.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("n > 1")
 
     code = lambda start, size: (F.shiftleft(start, 32) + size).alias("code")
-    spans = two.select("k_id", "k_crc", code(F.col("start"), F.lit(LENGTH)))
+    spans = two.select(*KEYS, code(F.col("start"), F.lit(LENGTH)))
     for rows in (zero, one):
-        spans = spans.unionByName(rows.filter("done").select("k_id", "k_crc", code(F.col("start"), F.col("stop") - F.col("start"))))
-    spans = spans.unionByName(copies.select("k_id", "k_crc", F.col("size").alias("code")))
-    lists = spans.groupBy("k_id", "k_crc").agg(F.collect_set("code").alias("spans"))
+        spans = spans.unionByName(rows.filter("done").select(*KEYS, code(F.col("start"), F.col("stop") - F.col("start"))))
+    spans = spans.unionByName(copies.select(*KEYS, F.col("size").alias("code")))
+    lists = spans.groupBy(*KEYS).agg(F.collect_set("code").alias("spans"))
 
     def merge(batches):
         yield from map(_merge, batches)
@@ -233,7 +232,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     gone = repeated_spans(docs)
     n = gone.agg(F.coalesce(F.sum(F.size("gone") + 2), F.lit(0))).first()[0]
     source = docs.select(*row_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = source.join(F.broadcast(gone) if n <= BROADCAST_PLACES else gone, ["k_id", "k_crc"], "left").select("doc_id", "text", "gone")
+    joined = source.join(F.broadcast(gone) if n <= BROADCAST_PLACES else gone, KEYS, "left").select("doc_id", "text", "gone")
     return map_arrow(joined, lambda b: _kept(b, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
