@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, langid, line_dedup, lm_score, quality_model, quality_rules, secrets, substring_dedup
+from . import bpe, decontaminate, jaccard_join, langid, line_dedup, lm_score, merkle_manifest, quality_model, quality_rules, secrets, substring_dedup
 from ._common import read_table
 
 
@@ -99,6 +99,56 @@ SELECT l.doc_id, (CASE WHEN l.text = '' THEN 0 ELSE len(l.w) END)::BIGINT AS n_l
 FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.report(read_table(spark, sf_dir, "documents"))
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _levels(name: str, levels: int) -> str:
+    """CTEs {name}0 (g, i, h) to {name}{levels}: each run of 8 becomes one node where its group has several; before and after: the siblings."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}{k}s AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n, list(h) OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(array_to_string(any_value(run), '')) END AS h FROM {name}{k}s GROUP BY g, i // 8)")
+        out.append(f"{name}{k}p AS (SELECT g, i, CASE WHEN n = 1 THEN NULL ELSE array_to_string(run[1 : i % 8], '') END AS b, CASE WHEN n = 1 THEN NULL ELSE array_to_string(run[i % 8 + 2 :], '') END AS a FROM {name}{k}s)")
+    return ",\n".join(out)
+
+
+def _folds(name: str, levels: int) -> str:
+    """CTEs {name}f0 (.., g, i, fold, proof) to {name}f{levels}: a node folded with its siblings, level by level."""
+    return ",\n".join(
+        f"{name}f{k + 1} AS (SELECT f.* REPLACE (f.i // 8 AS i, CASE WHEN b IS NULL THEN fold ELSE sha256(b || fold || a) END AS fold, proof || coalesce(b || a, '') AS proof) FROM {name}f{k} f JOIN {name}{k}p p ON p.g IS NOT DISTINCT FROM f.g AND p.i = f.i)"
+        for k in range(levels)
+    )
+
+
+_CRC_TABLE = "(SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) FROM range(256) t(n))"
+
+
+def _crc32(text: str) -> str:
+    """Of ASCII text, with a table t in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x)::INT + 1])), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, lang, sha256({' || '.join(_field(c) for c in merkle_manifest.FIELDS)}) AS leaf,
+  CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN sha256({' || '.join(_field(c if c != 'text' else "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") for c in merkle_manifest.FIELDS)}) END AS other FROM documents, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d),
+a0 AS (SELECT lang AS g, rank AS i, leaf AS h FROM r),
+{_levels('a', 9)},
+b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, g AS name, h FROM a9),
+{_levels('b', 9)},
+af0 AS (SELECT doc_id, leaf, lang, lang AS g, rank AS i, coalesce(other, leaf) AS fold, '' AS proof FROM r),
+{_folds('a', 9)},
+bf0 AS (SELECT f.* REPLACE (0 AS g, b0.i AS i), b0.h AS subroot FROM af9 f JOIN b0 ON f.lang IS NOT DISTINCT FROM b0.name),
+{_folds('b', 9)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM bf9, b9
+"""
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -110,5 +160,6 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op12_merkle": op12_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_merkle": OP12_SQL}
