@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, langid, line_dedup, lm_score, merkle_manifest, quality_model, quality_rules, secrets, substring_dedup
+from . import bpe, decontaminate, jaccard_join, langid, license_scan, line_dedup, lm_score, merkle_manifest, quality_model, quality_rules, secrets, substring_dedup
 from ._common import read_table
 
 
@@ -99,6 +99,32 @@ SELECT l.doc_id, (CASE WHEN l.text = '' THEN 0 ELSE len(l.w) END)::BIGINT AS n_l
 FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+def op11_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(read_table(spark, sf_dir, "documents"))
+
+
+_ALNUM = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TEMPLATES = ", ".join(f"({k}, '{t.lower()}', '{label}', {phrase})" for k, (t, label, phrase) in enumerate([(*x, True) for x in license_scan.PHRASES] + [(*x, False) for x in license_scan.NOTICES]))
+_NEAR = f"(PARTITION BY rid, template ORDER BY diagonal RANGE BETWEEN {license_scan.DRIFT} PRECEDING AND {license_scan.DRIFT} FOLLOWING)"
+
+OP11_SQL = f"""
+WITH t AS (SELECT *, CASE WHEN phrase THEN len(w) ELSE least({license_scan.GRAM}, len(w)) END AS k FROM (SELECT template, label, phrase, {_ALNUM.format('text')} AS w FROM (VALUES {_TEMPLATES}) v(template, text, label, phrase))),
+tg AS (SELECT template, label, phrase, k, place, array_to_string(w[place + 1 : place + k], ' ') AS gram FROM (SELECT *, unnest(range(len(w) - k + 1)) AS place FROM t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM.format(_LOWER)} AS w FROM documents),
+dg AS (SELECT rid, k, i AS at_, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT rid, w, k, unnest(range(len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
+v AS (SELECT rid, template, label, phrase, at_ - place AS diagonal, count(*) AS votes, min(at_) AS first_at FROM dg JOIN tg USING (k, gram) GROUP BY ALL),
+b AS (SELECT rid, template, label, diagonal, list(diagonal) OVER {_NEAR} AS band, sum(votes) OVER {_NEAR} AS total FROM v WHERE NOT phrase),
+p AS (SELECT * FROM (SELECT *, max({{'total': total, 'd': -diagonal}}) OVER {_NEAR} AS best FROM b) WHERE best.d = -diagonal),
+c AS (SELECT p.rid, p.template, p.label, p.diagonal, unnest(p.band) AS x, t.w AS tw FROM p JOIN t USING (template) WHERE p.total >= greatest(1, ceil((len(t.w) - t.k + 1) * {license_scan.LEAST_VOTES} - 1e-9))),
+m AS (SELECT rid, template, label, diagonal, x, tw, unnest(range(len(tw))) AS q FROM c),
+s AS (SELECT rid, template, label, diagonal, count(DISTINCT q) / any_value(len(tw)) AS score FROM m JOIN d USING (rid) WHERE q + x >= 0 AND q + x < len(d.w) AND d.w[q + x + 1] = tw[q + 1] GROUP BY ALL HAVING score >= {license_scan.MATCH}),
+base AS (SELECT rid, count(*) AS n_base, min(first_at) AS first_word, max(first_at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM v WHERE phrase GROUP BY rid),
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT rid, label, score FROM s UNION ALL SELECT rid, label, 1.0::DOUBLE FROM v WHERE phrase) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.report(read_table(spark, sf_dir, "documents"))
 
@@ -160,6 +186,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_license": op11_license,
     "op12_merkle": op12_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_merkle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_license": OP11_SQL, "op12_merkle": OP12_SQL}
