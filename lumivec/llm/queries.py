@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, langid, license_scan, line_dedup, lm_score, merkle_manifest, quality_model, quality_rules, secrets, substring_dedup
+from . import bpe, collocations, decontaminate, jaccard_join, langid, license_scan, line_dedup, lm_score, merkle_manifest, quality_model, quality_rules, secrets, substring_dedup
 from ._common import read_table
 
 
@@ -175,6 +175,27 @@ bf0 AS (SELECT f.* REPLACE (0 AS g, b0.i AS i), b0.h AS subroot FROM af9 f JOIN
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM bf9, b9
 """
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+o AS (SELECT lang, size, w[i : i + size - 1] AS w FROM (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM p, range(1, {collocations.DEPTH + 1}) t(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, array_to_string(w, ' ') AS phrase, any_value(w) AS w, count(*) AS a FROM o GROUP BY lang, size, array_to_string(w, ' ') HAVING count(*) >= {collocations.LEAST}),
+c AS (SELECT * FROM f WHERE size > 1),
+k AS (SELECT c.lang, c.size, c.phrase, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ') AND l.size = k
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 :], ' ') AND r.size = c.size - k),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[x : x + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS x FROM c, range(2, {collocations.DEPTH}) t(m) WHERE size > m) GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {collocations.CONTAINED} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= {collocations.TOP}
+"""
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -188,5 +209,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_license": op11_license,
     "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_license": OP11_SQL, "op12_merkle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_license": OP11_SQL, "op12_merkle": OP12_SQL, "op13_collocations": OP13_SQL}
