@@ -16,8 +16,9 @@ in) are merged, and what could be a notice is verified word by word.
 3. A diagonal's band is all diagonals with votes within DRIFT of it; bands that
    have the most votes among their neighbours and enough for a notice are verified:
    a word of the template counts as found if one of the band's diagonals has
-   votes and the text has the word there. From MATCH of the template's words on, its label
-   is given, and that share is the span's score.
+   votes and the text has the word there. From MATCH of the template's words on, its
+   label is given, and that share is the span's score. Of notices that begin within
+   SAME words of each other (licenses share sentences) that with most words found counts.
 4. A phrase is a template that must stand as it is; its one gram is the whole of
    it, so each of its votes is a place.
 
@@ -40,6 +41,7 @@ GRAM = 4
 DRIFT = 4
 MATCH = 0.6
 LEAST_VOTES = 0.25  # of a notice's grams
+SAME = 16
 SIEVE_GRAMS = 1_000_000  # 8 bytes each
 
 # The phrases that always count, and their labels.
@@ -56,7 +58,7 @@ NOTICES = [
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mpl"),
     ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unlicense"),
-    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so", "bsl"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
 ]
@@ -161,8 +163,8 @@ def votes(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The share of each template's words that a band's diagonals find in its text."""
-    share = []
+    """The words of each template that a band's diagonals find in its text, and their share."""
+    hits, size = [], []
     for text, own, band in zip(*(batch.column(c).to_pylist() for c in ("words", "template_words", "band"))):
         text, own = np.array(text, np.int64), np.array(own, np.int64)
         found = np.zeros(len(own), bool)
@@ -170,9 +172,11 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = np.arange(len(own)) + d
             ok = (at >= 0) & (at < len(text))
             found[ok] |= text[at[ok]] == own[ok]
-        share.append(found.sum() / len(own))
+        hits.append(int(found.sum()))
+        size.append(len(own))
     keep = [batch.column(c) for c in ("rid", "label", "first", "last")]
-    return pa.RecordBatch.from_arrays([*keep, pa.array(share, pa.float64())], names=["rid", "label", "first", "last", "score"])
+    hits = np.array(hits, np.int64)
+    return pa.RecordBatch.from_arrays([*keep, pa.array(hits), pa.array(hits / np.array(size, np.float64))], names=["rid", "label", "first", "last", "found", "score"])
 
 
 def _notices(rows: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
@@ -195,8 +199,9 @@ def _notices(rows: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 yield _verified(batch.slice(at, 64))
 
-    checked = texts.mapInArrow(run, "rid long, label string, first long, last long, score double")
-    return checked.filter(F.col("score") >= MATCH)
+    checked = texts.mapInArrow(run, "rid long, label string, first long, last long, found long, score double")
+    beside = Window.partitionBy("rid").orderBy("first").rangeBetween(-SAME, SAME)
+    return checked.filter(F.col("score") >= MATCH).withColumn("best", F.max(F.struct("found", "score")).over(beside)).filter(F.struct("found", "score") == F.col("best")).drop("best", "found")
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:

@@ -113,11 +113,12 @@ tg AS (SELECT template, label, phrase, k, place, array_to_string(w[place + 1 : p
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM.format(_LOWER)} AS w FROM documents),
 dg AS (SELECT rid, k, i AS at_, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT rid, w, k, unnest(range(len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
 v AS (SELECT rid, template, label, phrase, at_ - place AS diagonal, count(*) AS votes, min(at_) AS first_at FROM dg JOIN tg USING (k, gram) GROUP BY ALL),
-b AS (SELECT rid, template, label, diagonal, list(diagonal) OVER {_NEAR} AS band, sum(votes) OVER {_NEAR} AS total FROM v WHERE NOT phrase),
+b AS (SELECT rid, template, label, diagonal, list(diagonal) OVER {_NEAR} AS band, sum(votes) OVER {_NEAR} AS total, min(first_at) OVER {_NEAR} AS first_at FROM v WHERE NOT phrase),
 p AS (SELECT * FROM (SELECT *, max({{'total': total, 'd': -diagonal}}) OVER {_NEAR} AS best FROM b) WHERE best.d = -diagonal),
-c AS (SELECT p.rid, p.template, p.label, p.diagonal, unnest(p.band) AS x, t.w AS tw FROM p JOIN t USING (template) WHERE p.total >= greatest(1, ceil((len(t.w) - t.k + 1) * {license_scan.LEAST_VOTES} - 1e-9))),
-m AS (SELECT rid, template, label, diagonal, x, tw, unnest(range(len(tw))) AS q FROM c),
-s AS (SELECT rid, template, label, diagonal, count(DISTINCT q) / any_value(len(tw)) AS score FROM m JOIN d USING (rid) WHERE q + x >= 0 AND q + x < len(d.w) AND d.w[q + x + 1] = tw[q + 1] GROUP BY ALL HAVING score >= {license_scan.MATCH}),
+c AS (SELECT p.rid, p.template, p.label, p.diagonal, p.first_at, unnest(p.band) AS x, t.w AS tw FROM p JOIN t USING (template) WHERE p.total >= greatest(1, ceil((len(t.w) - t.k + 1) * {license_scan.LEAST_VOTES} - 1e-9))),
+m AS (SELECT rid, template, label, diagonal, first_at, x, tw, unnest(range(len(tw))) AS q FROM c),
+s1 AS (SELECT rid, template, label, diagonal, first_at, count(DISTINCT q) AS hits, count(DISTINCT q) / any_value(len(tw)) AS score FROM m JOIN d USING (rid) WHERE q + x >= 0 AND q + x < len(d.w) AND d.w[q + x + 1] = tw[q + 1] GROUP BY ALL HAVING score >= {license_scan.MATCH}),
+s AS (SELECT * FROM s1 QUALIFY {{'h': hits, 's': score}} = max({{'h': hits, 's': score}}) OVER (PARTITION BY rid ORDER BY first_at RANGE BETWEEN {license_scan.SAME} PRECEDING AND {license_scan.SAME} FOLLOWING)),
 base AS (SELECT rid, count(*) AS n_base, min(first_at) AS first_word, max(first_at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM v WHERE phrase GROUP BY rid),
 every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT rid, label, score FROM s UNION ALL SELECT rid, label, 1.0::DOUBLE FROM v WHERE phrase) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
