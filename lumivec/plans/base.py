@@ -102,7 +102,7 @@ LAB_SQL = f"{DF_SQL}, kw AS (SELECT token FROM v0 WHERE length(token) >= 4 ORDER
 RARE_SQL = f"{LAB_SQL}, r AS (SELECT doc_id, label AS rarest FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY freq, label) AS k FROM l JOIN lf USING (label)) WHERE k = 1)"
 CAPS_SQL = f"{RARE_SQL}, cap AS (SELECT label, freq, least({MAX_POS}, freq) AS n_pos, greatest(least({MAX_POS}, freq), {MIN_NEG}) AS n_neg FROM lf), ld AS (SELECT DISTINCT doc_id FROM l)"
 POS_SQL = f"{CAPS_SQL}, p AS (SELECT label, doc_id, 1 AS y FROM (SELECT l.label, doc_id, n_pos, row_number() OVER (PARTITION BY l.label ORDER BY doc_id) AS k FROM l JOIN cap USING (label)) WHERE k <= n_pos)"
-NEG_SQL = f"{POS_SQL}, ng AS (SELECT label, doc_id, -1 AS y FROM (SELECT cap.label, ld.doc_id, n_neg, row_number() OVER (PARTITION BY cap.label ORDER BY ld.doc_id) AS k FROM cap, ld WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.label = cap.label AND l.doc_id = ld.doc_id)) WHERE k <= n_neg)"
+NEG_SQL = f"{POS_SQL}, ng AS (SELECT label, doc_id, -1 AS y FROM (SELECT label, doc_id, n_neg, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM (SELECT label, doc_id, n_neg FROM cap, ld) ANTI JOIN l USING (label, doc_id)) WHERE k <= n_neg)"
 TRAIN_SQL = f"{NEG_SQL}, t AS (SELECT * FROM (SELECT * FROM p UNION ALL SELECT * FROM ng) WHERE label IN (SELECT label FROM p INTERSECT SELECT label FROM ng))"
 W_SQL = f"w0 AS (SELECT i::INTEGER AS token_id, unnest(embedding)::DOUBLE AS w, 'd' || (generate_subscripts(embedding, 1) - 1) AS label FROM range({K}) t(i) JOIN embeddings ON vec_id = i % (SELECT count(*) FROM embeddings))"
 

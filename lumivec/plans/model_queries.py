@@ -19,6 +19,7 @@ from ..sources import corpus as src
 from ..sources.scratch import cut
 from ..streaming import text as st
 from .base import CAPS_SQL, DF_SQL, DOCS_SQL, FEAT_SQL, LAB_SQL, NEG_SQL, OCC_SQL, POS_SQL, RARE_SQL, TRAIN_SQL, VOC_SQL, W_SQL, MAX_POS, MIN_NEG, MIN_POS, K, fill_sql, keywords, labelled, normed, prepared, query, table, weights, word_column, word_features, word_vocabulary
+from .text_queries import SEGMENT_SQL
 
 ORDER = sp.corpus_order()
 
@@ -51,7 +52,11 @@ def v5(spark, sf_dir):
     return voc.first_documents(table(spark, sf_dir, "documents"), 100).select("doc_id")
 
 
-@query("v6_second_vocabulary")
+@query(
+    "v6_second_vocabulary",
+    f"""{SEGMENT_SQL}, sv AS (SELECT token, count(DISTINCT doc_id) AS df FROM sg GROUP BY token ORDER BY df DESC, token LIMIT {K})
+SELECT token, df, (row_number() OVER (ORDER BY token) - 1)::INTEGER AS token_id, round(log2((SELECT count(*) FROM dn)::DOUBLE / df), 6) AS idf FROM sv""",
+)
 def v6(spark, sf_dir):
     docs = normed(spark, sf_dir).select("doc_id", "norm")
     first = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)

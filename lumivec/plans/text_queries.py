@@ -120,7 +120,41 @@ def t6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tk.token_list_column(F.col("lang")).cast("array<string>"), ",").alias("tokens"))
 
 
-@query("t8_segment")
+def segment_sql(docs: str, first: str, levels: int = 17) -> str:
+    """CTEs: sg (doc_id, s, token, surface), the segments of `docs` (doc_id, norm) under the tokens of `first`.
+
+    Every start walks on while the text is a prefix of a surface; the chain of
+    jumps from a text's beginning comes from doubling the jumps (2^levels of them).
+    """
+    jumps, seen = [], []
+    for k in range(levels):
+        seen.append(f"r{k + 1} AS MATERIALIZED (SELECT g FROM r{k} UNION SELECT j.nxt FROM r{k} JOIN j{k} j USING (g))")
+        jumps.append(f"j{k + 1} AS MATERIALIZED (SELECT a.g, b.nxt FROM j{k} a JOIN j{k} b ON a.nxt = b.g)")
+    double = ", ".join(x for pair in zip(seen, jumps) for x in pair)
+    return f"""s0 AS (SELECT token, CASE WHEN starts_with(token, 'q:') THEN substring(token, 3) ELSE '~' || token || '~' END AS surface FROM {first}),
+s1 AS (SELECT surface, token FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY starts_with(token, 'q:'), token) AS r FROM s0) WHERE r = 1),
+s2 AS (SELECT surface, token FROM s1 UNION ALL SELECT '~e:', token FROM s1 WHERE surface = '~e:~' AND NOT EXISTS (SELECT 1 FROM s1 WHERE surface = '~e:')),
+pr AS MATERIALIZED (SELECT substring(surface, 1, n) AS part, max(CASE WHEN n = length(surface) THEN token END) AS token FROM (SELECT *, unnest(range(1, length(surface) + 1)) AS n FROM s2) GROUP BY part),
+dn AS MATERIALIZED (SELECT doc_id, norm, length(norm) AS size, (sum(length(norm)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - length(norm))::BIGINT AS base FROM {docs}),
+ds AS MATERIALIZED (SELECT doc_id, size, base, s, substring(norm, s, (SELECT max(length(surface)) FROM s2)) AS rest FROM (SELECT *, unnest(range(1, size + 1)) AS s FROM dn)),
+wk AS (SELECT base + s AS g, rest, 1 AS n, pr.token FROM ds JOIN pr ON pr.part = substring(rest, 1, 1)
+       UNION ALL SELECT g, rest, n + 1, pr.token FROM wk JOIN pr ON pr.part = substring(rest, 1, n + 1) WHERE n < length(rest)),
+ms AS (SELECT g, max(n) AS far, max(n) FILTER (WHERE token IS NOT NULL) AS hit, arg_max(token, n) FILTER (WHERE token IS NOT NULL) AS token FROM wk GROUP BY g),
+es AS MATERIALIZED (SELECT doc_id, s, base + s AS g, token, substring(rest, 1, hit) AS surface,
+  CASE WHEN s + coalesce(far, 0) > size THEN NULL WHEN far IS NULL THEN base + s + 1
+       WHEN coalesce(hit, far) >= 2 AND substring(rest, coalesce(hit, far), 1) = '~' THEN base + s + coalesce(hit, far) - 1 ELSE base + s + coalesce(hit, far) END AS nxt
+  FROM ds LEFT JOIN ms ON ms.g = base + s),
+r0 AS MATERIALIZED (SELECT g FROM es WHERE s = 1), j0 AS MATERIALIZED (SELECT g, nxt FROM es WHERE nxt IS NOT NULL), {double},
+sg AS (SELECT doc_id, s, token, surface FROM es JOIN r{levels} USING (g) WHERE token IS NOT NULL)"""
+
+
+FIRST_SQL = f"""q AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_concat({_q_sql(2)}, {_q_sql(3)})) AS token FROM d) GROUP BY token),
+first AS (SELECT token FROM (SELECT * FROM v0 UNION ALL SELECT * FROM q) ORDER BY df DESC, token LIMIT {K})"""
+SEGMENT_SQL = f"WITH RECURSIVE {DF_SQL}, {FIRST_SQL}, {segment_sql('d', 'first')}"
+_DIGEST_SQL = "SELECT doc_id, count(s) AS n, md5(coalesce(string_agg({}, ' ' ORDER BY s), '')) AS digest FROM dn LEFT JOIN sg USING (doc_id) GROUP BY doc_id"
+
+
+@query("t8_segment", f"{SEGMENT_SQL} {_DIGEST_SQL.format('surface')}")
 def t8(spark, sf_dir):
     """Segments against the K most frequent tokens of the corpus itself."""
     docs = prepared(spark, sf_dir)
@@ -129,7 +163,7 @@ def t8(spark, sf_dir):
     return docs.select("doc_id", pieces(F.col("norm")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.md5(F.array_join("a", " ")).alias("digest"))
 
 
-@query("t9_segment_tokens")
+@query("t9_segment_tokens", f"{SEGMENT_SQL} {_DIGEST_SQL.format('token')}")
 def t9(spark, sf_dir):
     docs = prepared(spark, sf_dir)
     vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)

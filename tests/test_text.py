@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,12 +70,21 @@ def test_segments(spark):
     assert segments(spark, "verde casa?., , 🎉grande", base) == "verde casa e:? e:. e:, e:, e:🎉 grande".split()
     assert segments(spark, "verde casa ?.,", [*base, "verde~casa", "e:?~e:."]) == ["verde~casa", "e:?~e:.", "e:,"]
     assert segments(spark, None, base) == []
+    words = spark.createDataFrame([(w, 1) for w in ["é", "日本", "b"]], "token string, df long")
+    rows = spark.createDataFrame([(1, "~é~b~"), (2, None), (3, ""), (4, "~日本~x~é~"), (5, "zz")], "doc_id long, norm string")
+    for form in (sg.segment, sg.segment_by_joins):
+        assert {r["doc_id"]: r["tokens"] for r in form(rows, F.col("norm"), words).collect()} == {1: ["é", "b"], 2: [], 3: [], 4: ["日本", "é"], 5: []}
+
+
+def found(texts, known):
+    names = sorted(known)
+    return sg._Known(names, names).segments(pa.array(texts, pa.string()), False).to_pylist()
 
 
 def test_segment_rules():
-    assert sg.spans("~ab~cd", sg.tree({"~ab~", "~ab~cdef", "cd"})) == [(0, 4)]  # a match at the end of a walk ends the text
-    assert sg.spans("abcb", sg.tree({"abcd", "b"})) == [(3, 4)]  # walked-over characters are skipped
-    assert sg.spans("", sg.tree({"abcd", "b"})) == []
+    assert found(["~ab~cd"], {"~ab~", "~ab~cdef", "cd"}) == [["~ab~"]]  # a match at the end of a walk ends the text
+    assert found(["abcb"], {"abcd", "b"}) == [["b"]]  # walked-over characters are skipped
+    assert found(["", None, "x"], {"abcd", "b"}) == [[], [], []] and found(["ab"], set()) == [[]]
 
 
 def slow_spans(text, known):
@@ -100,10 +110,11 @@ def slow_spans(text, known):
 
 def test_segments_equal_the_rules(spark):
     r = random.Random(5)
-    for _ in range(300):
-        known = {"".join(r.choices("ab~", k=r.randint(1, 5))) for _ in range(r.randint(1, 8))}
-        text = "".join(r.choices("ab~", k=r.randint(0, 30)))
-        assert sg.spans(text, sg.tree(known)) == slow_spans(text, known)
+    for _ in range(400):
+        letters = r.choice(["ab~", "aé~è", "a日本~"])
+        known = {"".join(r.choices(letters, k=r.randint(1, 5))) for _ in range(r.randint(1, 8))}
+        texts = ["".join(r.choices(letters + "x", k=r.choice([0, 5, 30, 700]))) for _ in range(4)]
+        assert found(texts, known) == [[t[a:b] for a, b in slow_spans(t, known)] for t in texts]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("norm", nz.normalize(F.col("text"))).filter(F.length("norm") < 1500).select("doc_id", "norm")
     first = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), 300)
     table = {x["surface"]: x["token"] for x in sg.surfaces(first).collect()}
@@ -113,6 +124,9 @@ def test_segments_equal_the_rules(spark):
         want = [table[x["norm"][a:b]] for a, b in slow_spans(x["norm"], table)]
         assert got[x["doc_id"]] == want
         counts.update(set(want))
+    short = docs.filter(F.length("norm") < 300).withColumn("s", F.lit("clash"))
+    joined = {x["doc_id"]: x["tokens"] for x in sg.segment_by_joins(short, F.col("norm"), first).collect()}
+    assert len(joined) > 20 and all(got[k] == v for k, v in joined.items())
     second = sg.second_vocabulary(docs, F.col("norm"), first, 50)
     assert [(x["token"], x["df"]) for x in second.orderBy("token_id").collect()] == sorted(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50])
 
