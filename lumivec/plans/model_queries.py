@@ -337,7 +337,7 @@ def i2(spark, sf_dir):
     docs = prepared(spark, sf_dir)
     vocabulary = cut(word_vocabulary(docs))
     occurrences = docs.select("doc_id", F.posexplode(word_column()).alias("pos", "token")).join(vocabulary.select("token", "token_id"), "token").select("doc_id", "pos", "token_id")
-    rows, _ = em.occurrence_vectors(occurrences, vec.features(docs, word_column(), vocabulary), weights(spark, sf_dir))
+    rows, _ = em.occurrence_vectors(occurrences, vec.features(docs, word_column(), vocabulary), weights(spark, sf_dir), "float64")
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return rows.groupBy("doc_id").agg(F.sum(F.size("v")).alias("n"), F.round(F.sum(total), 5).alias("total"))
 
@@ -346,19 +346,19 @@ def i2(spark, sf_dir):
 def i4(spark, sf_dir):
     """Documents without known tokens get ones (i3)."""
     docs = prepared(spark, sf_dir)
-    return em.transform(docs, word_features(docs), weights(spark, sf_dir)).withColumn("value", F.round("value", 5))
+    return em.transform(docs, word_features(docs), weights(spark, sf_dir), precision="float64").withColumn("value", F.round("value", 5))
 
 
 @query("i5_intercept", f"{_ENC} SELECT doc_id, label, round(v + 0.5, 5) AS value FROM x")
 def i5(spark, sf_dir):
     docs, w = prepared(spark, sf_dir), weights(spark, sf_dir)
-    return em.transform(docs, word_features(docs), w, w.select("label").distinct().withColumn("intercept", F.lit(0.5))).withColumn("value", F.round("value", 5))
+    return em.transform(docs, word_features(docs), w, w.select("label").distinct().withColumn("intercept", F.lit(0.5)), precision="float64").withColumn("value", F.round("value", 5))
 
 
 @query("i6_distance", f"{_ENC} SELECT doc_id, label, round(v / norm, 5) AS value FROM x JOIN names USING (label)")
 def i6(spark, sf_dir):
     docs = prepared(spark, sf_dir)
-    return em.transform(docs, word_features(docs), weights(spark, sf_dir), distance=True).withColumn("value", F.round("value", 5))
+    return em.transform(docs, word_features(docs), weights(spark, sf_dir), distance=True, precision="float64").withColumn("value", F.round("value", 5))
 
 
 @query("i7_weights_from_models", "SELECT label::VARCHAR AS label, count(*) * 64 AS n, round(sum(list_sum(embedding)::DOUBLE), 3) AS total FROM embeddings GROUP BY label")
@@ -384,7 +384,7 @@ def i9(spark, sf_dir):
     vocabulary = cut(sg.second_vocabulary(docs, F.col("norm"), first, K))
     w = tl.tailored(docs, F.col("norm"), vocabulary, keywords=keywords(docs), min_pos=MIN_POS, max_pos=MAX_POS, min_neg=MIN_NEG, order=ORDER)
     features = vec.features(sg.segment(docs, F.col("norm"), vocabulary), F.col("tokens"), vocabulary)
-    return em.transform(docs, features, w).withColumn("value", F.round("value", 2))
+    return em.transform(docs, features, w, precision="float64").withColumn("value", F.round("value", 2))
 
 
 @query("i10_unit_columns", f"WITH {W_SQL} SELECT label, token_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY label)), 6) AS w FROM w0")
@@ -414,13 +414,13 @@ _TOK = f"WITH {OCC_SQL}, {W_SQL}, s AS (SELECT doc_id, label, sum(w) AS v FROM o
 @query("i13_embed_tokens", f"{_TOK} SELECT doc_id, label, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) AS value FROM x")
 def i13(spark, sf_dir):
     docs = prepared(spark, sf_dir)
-    return em.embed_tokens(vec.known_tokens(docs, word_column(), word_vocabulary(docs)), docs, weights(spark, sf_dir)).withColumn("value", F.round("value", 5))
+    return em.embed_tokens(vec.known_tokens(docs, word_column(), word_vocabulary(docs)), docs, weights(spark, sf_dir), "float64").withColumn("value", F.round("value", 5))
 
 
 @query("i14_unit_rows", f"{_ENC} SELECT doc_id, label, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) AS value FROM x")
 def i14(spark, sf_dir):
     docs = prepared(spark, sf_dir)
-    return em.unit_rows(em.transform(docs, word_features(docs), weights(spark, sf_dir))).withColumn("value", F.round("value", 5))
+    return em.unit_rows(em.transform(docs, word_features(docs), weights(spark, sf_dir), precision="float64")).withColumn("value", F.round("value", 5))
 
 
 # ---------------------------------------------------------------- classifiers

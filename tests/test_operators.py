@@ -78,18 +78,59 @@ def test_transform_is_features_times_weights(small):
     x = {(r["doc_id"], r["token_id"]): r["value"] for r in features.collect()}
     w = {(r["token_id"], r["label"]): r["w"] for r in weights.collect()}
     b = weights.select("label").distinct().withColumn("intercept", F.lit(0.25))
-    got = {(r["doc_id"], r["label"]): r["value"] for r in embed.transform(docs, features, weights, b).collect()}
+    got = {(r["doc_id"], r["label"]): r["value"] for r in embed.transform(docs, features, weights, b, precision="float64").collect()}
     for d in (1, 2, 3, 4):
         for name in ("x", "y"):
             known = [(k, v) for (i, k), v in x.items() if i == d]
             want = sum(v * w[k, name] for k, v in known) if known else 1.0
             assert abs(got[d, name] - want - 0.25) < 1e-9
     occurrences = docs.select("doc_id", F.posexplode("w").alias("pos", "token")).join(voc.select("token", "token_id"), "token")
-    each = embed.encode_occurrences(occurrences.select("doc_id", "pos", "token_id"), features, weights)
+    each = embed.encode_occurrences(occurrences.select("doc_id", "pos", "token_id"), features, weights, "float64")
     sums = {(r["doc_id"], r["label"]): r["v"] for r in each.groupBy("doc_id", "label").agg(F.sum("value").alias("v")).collect()}
     assert all(abs(v + 0.25 - got[k]) < 1e-9 for k, v in sums.items()) and len(sums) == 4
 
 
+def test_blocks_of_labels_make_no_difference(spark):
+    """Several blocks, labels and tokens without weights, two precisions, a zero label, repeated and missing ids."""
+    r = random.Random(3)
+    features = spark.createDataFrame([(d, t, 1 + t % 2, r.random()) for d in range(30) for t in r.sample(range(12), r.randint(1, 9))], "doc_id long, token_id int, n long, value double")
+    docs = spark.createDataFrame([(d, "x", "y", 1) for d in [*range(32), 3]], "doc_id long, label string, ids string, block int")
+    rows = [(f"l{k:02}", t, r.random() - 0.5) for k in range(23) for t in range(10) if r.random() < 0.7] + [("zero", 0, 0.0), ("none", 3, None)]
+    weights = spark.createDataFrame(rows, "label string, token_id int, w double")
+    b = spark.createDataFrame([("l03", 0.5), ("other", 9.0)], "label string, intercept double")
+    x, w = {}, {(k, t): v or 0.0 for k, t, v in rows}
+    for f in features.collect():
+        x.setdefault(f["doc_id"], []).append((f["token_id"], f["value"]))
+    names = sorted({k for k, _, _ in rows})
+    for cells in (1 << 22, 60, 1):
+        got = {(g["doc_id"], g["label"]): g["value"] for g in embed.transform(docs, features, weights, b, precision="float64", cells=cells).collect()}
+        assert set(got) == {(d, k) for d in range(32) for k in names}
+        for (d, k), v in got.items():
+            want = sum(a * w.get((k, t), 0.0) for t, a in x[d]) if d in x else 1.0
+            assert abs(v - want - 0.5 * (k == "l03")) < 1e-9
+        single = embed.transform(docs, features, weights, b, cells=cells)
+        assert dict(single.dtypes)["value"] == "float" and all(abs(g["value"] - got[g["doc_id"], g["label"]]) < 1e-5 for g in single.collect())
+        far = {(g["doc_id"], g["label"]): g["value"] for g in embed.transform(docs, features, weights, distance=True, precision="float64", cells=cells).collect()}
+        assert far[0, "zero"] is None and far[0, "none"] is None and far[31, "l00"] > 0
+        whole, labels = embed.vectors(docs, features, weights, b, precision="float64", cells=cells)
+        assert labels == names and whole.count() == 33 and all(abs(v - got[g["doc_id"], k]) < 1e-9 for g in whole.collect() for k, v in zip(names, g["v"]))
+    assert embed.transform(docs, features, weights.limit(0)).count() == 0
+
+
+def test_scoring_shuffles_no_label_times_feature(spark):
+    """With 16,384 labels the plan's exchanges move documents' sparse rows only."""
+    features = spark.createDataFrame([(d, t, 1, 0.5) for d in range(20) for t in range(4)], "doc_id long, token_id int, n long, value double")
+    weights = spark.range(1 << 14).select(F.concat(F.lit("l"), "id").alias("label"), F.explode(F.array(F.lit(0), F.lit(3))).alias("token_id"), (F.col("id") % 7 - 3.0).alias("w"))
+    found, names = embed.vectors(spark.range(21).withColumnRenamed("id", "doc_id"), features, weights)
+    assert len(names) == 1 << 14
+    rows = {r["doc_id"]: r["v"] for r in found.collect()}
+    assert len(rows) == 21 and all(len(v) == 1 << 14 for v in rows.values())
+    k = names.index("l5")
+    assert rows[0][k] == 2.0 and rows[20][k] == 1.0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # nothing is exchanged above the product
+
+
 def test_merge(spark):
     a = spark.createDataFrame([("x", 0, 1.0), ("x", 1, 2.0), ("y", 0, 5.0)], "label string, token_id int, w double")
     b = spark.createDataFrame([("x", 1, 4.0), ("x", 2, 6.0), ("z", 0, 7.0)], "label string, token_id int, w double")
