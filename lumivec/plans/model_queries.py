@@ -263,6 +263,25 @@ def h2(spark, sf_dir):
     return _coef_digest(_models(spark, sf_dir))
 
 
+@query("h2_one_large_label", f"WITH {FEAT_SQL} SELECT '1' AS label, count(*) AS n, TRUE AS optimal FROM labels WHERE quality IS NOT NULL AND doc_id IN (SELECT doc_id FROM f)")
+def h2_large(spark, sf_dir):
+    """One label of any size, fitted by passes over its rows; optimal: the gradient, summed anew by a join, is (almost) 0 where the fit ended."""
+    docs = prepared(spark, sf_dir)
+    vocabulary = cut(word_vocabulary(docs))
+    features = vec.features(docs, word_column(), vocabulary)
+    given = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", (F.col("quality") * 2 - 1).alias("y"), F.lit("1").alias("label"))
+    rows = cut(sp.class_weights(given).join(vec.sparse_rows(features), "doc_id"))
+    size = vocabulary.count()
+    w = tr.fit_large(rows, size)
+    weights = spark.createDataFrame([(k, float(v)) for k, v in enumerate(w[:-1])], "token_id int, w double")
+    each = rows.select("doc_id", "y", "weight", F.explode(F.arrays_zip("ids", "values")).alias("x")).select("doc_id", "y", "weight", F.col("x.ids").alias("token_id"), F.col("x.values").alias("value"))
+    slack = each.join(weights, "token_id").groupBy("doc_id").agg(F.sum(F.col("value") * F.col("w")).alias("h"))
+    each = each.join(slack, "doc_id").withColumn("r", -2 * F.col("weight") * F.col("y") * F.greatest(F.lit(0.0), 1 - F.col("y") * (F.col("h") + float(w[-1]))))
+    slope = each.groupBy("token_id").agg(F.sum(F.col("r") * F.col("value")).alias("g"), F.sum(-2 * F.col("weight") * F.col("y") * F.col("value")).alias("g0")).join(weights, "token_id")
+    good = slope.agg((F.sqrt(F.sum((F.col("w") + F.col("g")) * (F.col("w") + F.col("g")))) <= 1e-4 * F.sqrt(F.sum(F.col("g0") * F.col("g0")))).alias("optimal"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(good))  # one row
+
+
 @query(
     "h3_decision_values",
     f"WITH {FEAT_SQL}, lab AS (SELECT doc_id, 'd' || quality AS label, 2 * toxic - 1 AS y FROM labels), {W_SQL} SELECT lab.label, lab.doc_id, y::INTEGER AS y, round(sum(value * coalesce(w, 0)), 6) AS h FROM lab JOIN f USING (doc_id) LEFT JOIN w0 ON w0.label = lab.label AND w0.token_id = f.token_id GROUP BY ALL",

@@ -238,11 +238,60 @@ def tweets(spark):
     return docs, vocabulary, keywords
 
 
+def sparse_training(n, size, seed=4):
+    r = np.random.default_rng(seed)
+    ids = [np.sort(r.choice(size, r.integers(1, 6), replace=False)) for _ in range(n)]
+    values = [v / np.linalg.norm(v) for v in (r.random(len(i)) + 0.1 for i in ids)]
+    y = np.where([i[0] < size // 3 for i in ids], 1, -1)
+    y[r.random(n) < 0.1] *= -1
+    return ids, values, y
+
+
+@pytest.mark.parametrize("intercept", [True, False])
+def test_one_label_of_any_size_ends_at_the_same_optimum(spark, intercept):
+    ids, values, y = sparse_training(300, 40)
+    weight = np.where(y == 1, 150 / (y == 1).sum(), 150 / (y == -1).sum())
+    want = train.fit_svm(ids, values, y, weight, 40, intercept)
+    rows = [(int(a), float(b), i.tolist(), v.tolist()) for a, b, i, v in zip(y, weight, ids, values)]
+    docs = spark.createDataFrame(rows, "y int, weight double, ids array<int>, values array<double>").repartition(7)
+    got = train.fit_large(docs, 40, intercept)
+    assert np.abs(got - want).max() < 1e-4 and np.abs(want).max() > 0.5
+    assert not train.fit_large(docs.limit(0), 40, intercept).any()
+
+
+def test_blocks_of_labels_equal_single_fits(spark):
+    """Labels that share documents, in blocks of 1, 2 and 8; positives go without their own label's feature."""
+    ids, values, _ = sparse_training(120, 20)
+    r = np.random.default_rng(1)
+    training = [(f"l{k}", d, int(r.choice([1, -1])), float(r.random() + 0.5)) for k in range(5) for d in r.choice(120, 60, replace=False).tolist()]
+    rows = spark.createDataFrame(training, "label string, doc_id long, y int, weight double")
+    features = spark.createDataFrame([(d, i.tolist(), v.tolist()) for d, (i, v) in enumerate(zip(ids, values))], "doc_id long, ids array<int>, values array<double>")
+    targets = spark.createDataFrame([("l0", 3), ("l2", 7), ("other", 1)], "label string, token_id int")
+    for width in (1, 2, 8):
+        got = {m["label"]: m for m in train.fit_blocks(rows, features, 20, True, targets, width=width).collect()}
+        assert set(got) == {f"l{k}" for k in range(5)}
+        for label, m in got.items():
+            mine = [(d, y, c) for name, d, y, c in training if name == label]
+            hidden = {"l0": 3, "l2": 7}.get(label, -1)
+            i, v = [], []
+            for d, y, _ in mine:
+                keep = ids[d] != (hidden if y == 1 else -1)
+                rest = values[d][keep]
+                i.append(ids[d][keep])
+                v.append(rest / np.linalg.norm(rest) if len(rest) else rest)
+            want = train.fit_svm(i, v, np.array([y for _, y, _ in mine]), np.array([c for _, _, c in mine]), 20)
+            assert m["n"] == 60 and np.abs(np.array(m["coef"]) - want[:-1]).max() < 2e-3 and abs(m["intercept"] - want[-1]) < 2e-3
+    assert train.fit_blocks(rows.limit(0), features, 20).count() == 0
+
+
 def test_tailored(spark, tweets, tmp_path):
     docs, vocabulary, keywords = tweets
     given = dict(keywords=keywords, min_pos=20, max_pos=40, min_neg=30, order=["doc_id"])
     ids = {x["token"]: x["token_id"] for x in vocabulary.collect()}
-    rows = tailored.training_rows(tailored.labelled_corpus(docs, F.col("norm"), vocabulary, keywords), vocabulary, ["doc_id"], 20, 40, 30, False, True).collect()
+    corpus_ = tailored.labelled_corpus(docs, F.col("norm"), vocabulary, keywords)
+    rows = tailored.training_rows(corpus_, ["doc_id"], 20, 40, 30, False, True)
+    features = vectorize.sparse_rows(vectorize.features(corpus_, F.col("tokens"), vocabulary))
+    rows = sampling.hide_target(rows.join(features, "doc_id"), vocabulary).collect()
     assert {x["label"] for x in rows} == {"rain", "goal", "bread"}
     assert not any(ids[x["label"]] in x["ids"] for x in rows if x["y"] == 1)  # a positive doesn't hold its own label
     assert sum(x["y"] == 1 for x in rows if x["label"] == "rain") == 40
