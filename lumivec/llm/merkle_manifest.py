@@ -89,7 +89,7 @@ def _rolled(leaves: DataFrame, digits: int) -> DataFrame:
     """
     place = F.shiftright("rank", ARITY_BITS * digits).alias("block")
     columns = [F.shiftright("rank", ARITY_BITS * k).bitwiseAND(F.lit((1 << ARITY_BITS) - 1)).cast("int").alias(f"d{k}") for k in range(digits)]
-    rows = leaves.select("g", "n", place, *columns, "h", F.col("item").alias("kids"))
+    rows = leaves.select("g", "n", place, *columns, "h", F.col("item").alias("kids")).repartition("g", "block")
     for k in range(digits):
         left = [f"d{i}" for i in range(k + 1, digits)]
         rows = rows.groupBy("g", "block", *left).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(f"d{k}").alias("d"), "h", "kids"))).alias("kids"))
