@@ -11,11 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, scratch
-from .vectorize import sparse_rows
+from .vectorize import feature_rows, sparse_rows
 
 BLOCK_CELLS = 1 << 22  # of a block of weights that goes to the tasks: 16 or 32 MB
 PASS_CELLS = 1 << 20  # products that are held at once
@@ -130,7 +130,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def _long(rows: DataFrame, keys: list[str], blocks: Blocks, precision: str, **options) -> DataFrame:
     """keys, label, value of rows (keys, ids, values) for all labels, block by block."""
-    if len(blocks) > 1:
+    if len(blocks) > 1 and not rows.isStreaming:
         rows = cut(rows)
     parts = []
     for k in range(len(blocks)):
@@ -205,6 +205,12 @@ def transform(docs: DataFrame, features: DataFrame, weights: DataFrame, intercep
     return _long(_document_rows(docs, features), ["doc_id"], blocks, precision, add=_onto(blocks, intercepts), divide=distance)
 
 
+def score(docs: DataFrame, tokens: Column, vocabulary: DataFrame, weights: DataFrame, *keys: str, intercepts: DataFrame | None = None, distance: bool = False, precision: str = "float32", cells: int = BLOCK_CELLS) -> DataFrame:
+    """keys, label, value: transform() of documents in one map, without a shuffle, over a table or a stream."""
+    blocks = Blocks(weights, cells)
+    return _long(feature_rows(docs, tokens, vocabulary, *keys), list(keys), blocks, precision, add=_onto(blocks, intercepts), divide=distance)
+
+
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two weight tables: labels of both are averaged token by token (a missing token counts 0), others are copied."""
     names = first.select("label").distinct().withColumn("_a", F.lit(1)).join(second.select("label").distinct().withColumn("_b", F.lit(1)), "label", "full_outer")

@@ -361,23 +361,41 @@ def i2(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.sum(F.size("v")).alias("n"), F.round(F.sum(total), 5).alias("total"))
 
 
+def _scores(spark, sf_dir, docs, **options):
+    vocabulary = cut(word_vocabulary(prepared(spark, sf_dir)))
+    return em.score(docs, word_column(), vocabulary, weights(spark, sf_dir), "doc_id", precision="float64", **options).withColumn("value", F.round("value", 5))
+
+
 @query("i4_transform", f"{_ENC} SELECT doc_id, label, round(v, 5) AS value FROM x")
 def i4(spark, sf_dir):
     """Documents without known tokens get ones (i3)."""
+    return _scores(spark, sf_dir, normed(spark, sf_dir))
+
+
+@query("i4_from_features", f"{_ENC} SELECT doc_id, label, round(v, 5) AS value FROM x")
+def i4_features(spark, sf_dir):
+    """The same from a feature table, block after block of labels."""
     docs = prepared(spark, sf_dir)
-    return em.transform(docs, word_features(docs), weights(spark, sf_dir), precision="float64").withColumn("value", F.round("value", 5))
+    return em.transform(docs, word_features(docs), weights(spark, sf_dir), precision="float64", cells=10 * K).withColumn("value", F.round("value", 5))
 
 
 @query("i5_intercept", f"{_ENC} SELECT doc_id, label, round(v + 0.5, 5) AS value FROM x")
 def i5(spark, sf_dir):
-    docs, w = prepared(spark, sf_dir), weights(spark, sf_dir)
-    return em.transform(docs, word_features(docs), w, w.select("label").distinct().withColumn("intercept", F.lit(0.5)), precision="float64").withColumn("value", F.round("value", 5))
+    half = weights(spark, sf_dir).select("label").distinct().withColumn("intercept", F.lit(0.5))
+    return _scores(spark, sf_dir, normed(spark, sf_dir), intercepts=half)
 
 
 @query("i6_distance", f"{_ENC} SELECT doc_id, label, round(v / norm, 5) AS value FROM x JOIN names USING (label)")
 def i6(spark, sf_dir):
-    docs = prepared(spark, sf_dir)
-    return em.transform(docs, word_features(docs), weights(spark, sf_dir), distance=True, precision="float64").withColumn("value", F.round("value", 5))
+    return _scores(spark, sf_dir, normed(spark, sf_dir), distance=True)
+
+
+@query("st4_scores_on_stream", f"{_ENC} SELECT doc_id, label, round(v, 5) AS value FROM x")
+def st4(spark, sf_dir):
+    """A stream of documents scored against a vocabulary and weights that are there."""
+    where = st.scratch(spark)
+    stream = st.normalized(st.read_documents(spark, f"{sf_dir}/document*.parquet"))
+    return st.run_once(_scores(spark, sf_dir, stream), f"{where}/out", f"{where}/state")
 
 
 @query("i7_weights_from_models", "SELECT label::VARCHAR AS label, count(*) * 64 AS n, round(sum(list_sum(embedding)::DOUBLE), 3) AS total FROM embeddings GROUP BY label")

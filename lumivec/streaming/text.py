@@ -1,7 +1,7 @@
 """Text operators on streams.
 
-Normalising, tokenising and labelling are per-row expressions and run on a
-stream as they are. Scoring groups by document, so it runs on each micro-batch.
+Normalising, tokenising, labelling and scoring (embed.score) are maps and run on
+a stream as they are.
 Near-duplicate removal within a sliding window keeps one signature a text in
 state, bounded by the watermark; it catches texts that are equal once normalised.
 """
@@ -41,7 +41,7 @@ def without_repeats(stream: DataFrame, time_col: str = "ts", window: str = "3 da
 def run_once(stream: DataFrame, out: str, state: str, each_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run over all that is there now, append to Parquet at `out`, and read it back.
 
-    With each_batch every micro-batch goes through it first (scoring); the batch
+    With each_batch every micro-batch goes through it first (grouped work); the batch
     number is part of the path, so a batch that is run again replaces itself.
     """
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)

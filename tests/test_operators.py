@@ -117,6 +117,24 @@ def test_blocks_of_labels_make_no_difference(spark):
     assert embed.transform(docs, features, weights.limit(0)).count() == 0
 
 
+def test_feature_rows_equal_features(small, spark):
+    docs, voc, weights = small
+    zero = voc.withColumn("idf", F.when(F.col("token") == "a", 0.0).otherwise(F.col("idf")))
+    more = docs.unionByName(spark.createDataFrame([(5, None), (6, ["a"]), (1, ["b"])], "doc_id long, w array<string>")).withColumn("ids", F.lit("clash"))
+    for vocabulary_table in (voc, zero):
+        want = {r["doc_id"]: (r["ids"], r["values"]) for r in vectorize.sparse_rows(vectorize.features(docs.unionByName(spark.createDataFrame([(6, ["a"])], "doc_id long, w array<string>")), F.col("w"), vocabulary_table)).collect()}
+        rows = vectorize.feature_rows(more.filter("not (doc_id = 1 and size(w) = 1)"), F.col("w"), vocabulary_table, "doc_id").collect()
+        assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 6}
+        for r in rows:
+            ids, values = want.get(r["doc_id"], ([], []))
+            assert r["ids"] == ids and np.allclose(r["values"], values, equal_nan=True)
+    both = embed.transform(docs, vectorize.features(docs, F.col("w"), voc), weights, precision="float64")
+    show = lambda df: sorted((r["doc_id"], r["label"], round(r["value"], 9)) for r in df.collect())
+    for cells in (1 << 22, 1):
+        assert show(embed.score(docs, F.col("w"), voc, weights, "doc_id", precision="float64", cells=cells)) == show(both)
+    assert embed.score(docs, F.col("w"), voc.limit(0), weights, "doc_id").filter("value <> 1").count() == 0
+
+
 def test_scoring_shuffles_no_label_times_feature(spark):
     """With 16,384 labels the plan's exchanges move documents' sparse rows only."""
     features = spark.createDataFrame([(d, t, 1, 0.5) for d in range(20) for t in range(4)], "doc_id long, token_id int, n long, value double")
