@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .positions import numbered
 
+MAX_STRATA = 1 << 20  # 40 bytes each
+
 
 def corpus_order(seed: int | None = None) -> list[Column | str]:
     """The order that `first` refers to: a fixed shuffle, or doc_id for reproducible reports."""
@@ -85,15 +89,67 @@ def uniform_quotas(strata: DataFrame, total: Column | int, group: list[str] | No
     return t.withColumn("quota", F.when(F.col("_full"), F.col("available")).otherwise(share).cast("long")).drop(*(c for c in t.columns if c.startswith("_")))
 
 
+class _Strata:
+    """Strata in rising order of availability, with what a water level needs: prefix sums, once for all labels."""
+
+    def __init__(self, names: list[str], available: list[int]):
+        order = sorted(range(len(names)), key=lambda i: (available[i], names[i].encode()))
+        self.names = pa.array([names[i] for i in order], pa.string())
+        self.place = {names[i]: k for k, i in enumerate(order)}
+        self.a = np.array([available[i] for i in order], np.int64)
+        self.sums = np.concatenate(([0], np.cumsum(self.a)))
+        rest = len(order) - np.arange(len(order))
+        self.level = self.a * rest + self.sums[:-1]  # from this total on, a stratum gives all it has
+        self.level_less = self.level - self.a  # with one of those behind it left out
+
+    def quotas(self, label: str, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and quotas above 0 of all strata but the label's own, as uniform_quotas() shares `total`."""
+        own, k = self.place.get(label), len(self.a)
+        if own is None:
+            full = int(np.searchsorted(self.level, total, "right"))
+            order = np.arange(k)
+            given = self.sums[full]
+        else:
+            full = int(np.searchsorted(self.level_less[:own], total, "right"))
+            if full == own:
+                full += int(np.searchsorted(self.level[own + 1 :], total + self.a[own], "right"))
+            order = np.concatenate((np.arange(own), np.arange(own + 1, k)))
+            given = self.sums[full] if full <= own else self.sums[full + 1] - self.a[own]
+        share, more = divmod(int(total - given), len(order) - full) if full < len(order) else (0, 0)
+        order = order if share else order[: full + more]
+        quota = np.full(len(order), share)
+        quota[:full] = self.a[order[:full]]
+        quota[full : full + more] += 1
+        return order[quota > 0], quota[quota > 0]
+
+
+def stratum_quotas(limits: DataFrame, strata: DataFrame) -> DataFrame:
+    """label, stratum, quota (above 0) for labels (label, n_neg) over strata (stratum, available), one row a label's at most MAX_STRATA.
+
+    One binary search a label over the sorted strata; no label meets a stratum that gives it nothing.
+    """
+    rows = strata.select("stratum", "available").limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"at most {MAX_STRATA} strata")
+    shared = strata.sparkSession.sparkContext.broadcast(_Strata([r["stratum"] for r in rows], [r["available"] for r in rows]))
+
+    def run(batches):
+        for batch in batches:
+            for label, total in zip(batch.column("label").to_pylist(), batch.column("n_neg").to_pylist()):
+                at, quota = shared.value.quotas(label, total)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(label, len(at)), shared.value.names.take(pa.array(at)), pa.array(quota, pa.int64())], names=["label", "stratum", "quota"])
+
+    return limits.select("label", F.col("n_neg").cast("long").alias("n_neg")).mapInArrow(run, "label string, stratum string, quota long")
+
+
 def stratified_negatives(labelled: DataFrame, rarest: DataFrame, rarest_freq: DataFrame, limits: DataFrame, order: list[Column]) -> DataFrame:
     """Negatives spread over the documents' rarest labels; a stratum that runs short is not refilled.
 
     Quotas come from frequencies; within a stratum the first documents without
-    the label are taken. Every label has a quota in every stratum until n_neg is
-    used up, so the table of quotas is about as large as the result.
+    the label are taken.
     """
-    strata = limits.select("label", "n_neg").crossJoin(rarest_freq.select(F.col("rarest").alias("stratum"), F.col("freq").alias("available"))).filter("label <> stratum")
-    quotas = uniform_quotas(strata, F.col("n_neg"), ["label"]).filter("quota > 0")
+    quotas = stratum_quotas(limits, rarest_freq.select(F.col("rarest").alias("stratum"), F.col("freq").alias("available")))
     placed = numbered(labelled.select("doc_id", "labels").join(rarest.withColumnRenamed("rarest", "stratum"), "doc_id"), ["stratum", *order], "at")
     starts = placed.groupBy("stratum").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("size"))
     placed = placed.join(starts, "stratum").withColumn("pos", F.col("at") - F.col("start"))

@@ -256,6 +256,44 @@ def tweets(spark):
     return docs, vocabulary, keywords
 
 
+def test_quotas_by_water_level_equal_giving_one_by_one():
+    r = random.Random(6)
+    for _ in range(400):
+        names = [f"s{k}" for k in range(r.randint(0, 7))]
+        available = [r.randint(1, 9) for _ in names]
+        label, total = r.choice([*names, "other"]), r.randint(0, 40)
+        rising = sorted((a, n) for a, n in zip(available, names) if n != label)
+        want = {n: 0 for _, n in rising}
+        left = total
+        for k, (a, n) in enumerate(rising):  # strata that have less than an even share give all
+            if a * (len(rising) - k) <= left:
+                want[n] = a
+                left -= a
+            else:
+                share, more = divmod(left, len(rising) - k)
+                for i, (_, rest) in enumerate(rising[k:]):
+                    want[rest] = share + (i < more)
+                break
+        strata = sampling._Strata(names, available)
+        at, quota = strata.quotas(label, total)
+        assert dict(zip(strata.names.take(at).to_pylist(), quota.tolist())) == {n: q for n, q in want.items() if q}
+
+
+def test_stored_tables_are_named_by_their_parameters(spark, tweets, tmp_path):
+    docs, vocabulary, keywords = tweets
+    given = dict(keywords=keywords, min_pos=20, max_pos=40, min_neg=30, order=["doc_id"], path=f"{tmp_path}/m", labelled_path=f"{tmp_path}/l")
+    one = tailored.models(docs, F.col("norm"), vocabulary, **given)
+    two = tailored.models(docs, F.col("norm"), vocabulary, **{**given, "intercept": True})
+    assert one.filter("intercept is not null").count() == 0 and two.filter("intercept is null").count() == 0
+    ids = {x["model_id"] for x in one.unionByName(two).select("model_id").distinct().collect()}
+    assert len(ids) == 2 and ids == set(os.listdir(f"{tmp_path}/m"))
+    other = tailored.models(docs, F.col("norm"), vocabulary_.build_vocabulary(docs, tk.words(F.col("norm")), 12), **given)
+    assert len(os.listdir(f"{tmp_path}/m")) == 3 and len(os.listdir(f"{tmp_path}/l")) == 2 and other.count() == 3
+    corpus.write_vocabulary(vocabulary, vocabulary.agg(F.count("*").alias("n_docs")), {"k": 100, "lang": "es"}, f"{tmp_path}/v")
+    assert corpus.read_vocabulary(spark, f"{tmp_path}/v")[1].first()["model_id"] == identity.name("Vocabulary", {"lang": "es", "k": 100})
+    assert identity.checksum(vocabulary.repartition(5), "token") == identity.checksum(vocabulary, "token") != identity.checksum(vocabulary.limit(3), "token")
+
+
 def sparse_training(n, size, seed=4):
     r = np.random.default_rng(seed)
     ids = [np.sort(r.choice(size, r.integers(1, 6), replace=False)) for _ in range(n)]
