@@ -332,6 +332,25 @@ def s6(spark, sf_dir):
     return _coef_digest(src.read_model(spark, path, exchange=True))
 
 
+_FITTED_SQL = f"WITH {TRAIN_SQL}, known AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(w) AS token FROM d) WHERE token IN (SELECT token FROM v0 ORDER BY df DESC, token LIMIT {K})) SELECT label, count(*) AS n FROM t JOIN known USING (doc_id) WHERE label IN (SELECT label FROM lf WHERE freq >= {MIN_POS}) GROUP BY label"
+
+
+@query("h6_labels_in_blocks", _FITTED_SQL)
+def h6(spark, sf_dir):
+    """All labels fitted in blocks that share their documents' features: which labels, and the rows that each was fitted on."""
+    return _models(spark, sf_dir).select(F.element_at("label", -1).alias("label"), "n")
+
+
+@query("s7_read_exchanged", _FITTED_SQL.replace("count(*) AS n FROM", "count(*) AS n, TRUE AS same FROM"))
+def s7(spark, sf_dir):
+    """Models read back from exchange files: as many coefficients as there were, all the same in half precision."""
+    path, models = st.scratch(spark), _models(spark, sf_dir)
+    src.write_model(models, path, exchange=True)
+    back = src.read_model(spark, path, exchange=True).select("label", F.col("n").alias("n2"), F.col("coef").alias("coef2"), F.col("intercept").cast("double").alias("intercept2"))
+    same = (F.col("coef") == F.col("coef2")) & (F.col("n") == F.col("n2")) & (F.col("intercept") == F.col("intercept2"))
+    return models.join(back, "label").select(F.element_at("label", -1).alias("label"), "n", same.alias("same"))
+
+
 @query("s4_labelled_set", f"WITH {LAB_SQL} SELECT doc_id, string_agg(label, ' ' ORDER BY label) AS labels FROM l GROUP BY doc_id")
 def s4(spark, sf_dir):
     """A labelled set is written once (s9: and reused if it is there)."""
