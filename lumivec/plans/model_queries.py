@@ -17,6 +17,7 @@ from ..operators import vectorize as vec
 from ..operators import vocabulary as voc
 from ..sources import corpus as src
 from ..sources.scratch import cut
+from ..streaming import near as sn
 from ..streaming import text as st
 from .base import CAPS_SQL, DF_SQL, DOCS_SQL, FEAT_SQL, LAB_SQL, NEG_SQL, OCC_SQL, POS_SQL, RARE_SQL, TRAIN_SQL, VOC_SQL, W_SQL, MAX_POS, MIN_NEG, MIN_POS, K, fill_sql, keywords, labelled, normed, prepared, query, table, weights, word_column, word_features, word_vocabulary
 from .text_queries import SEGMENT_SQL
@@ -592,6 +593,15 @@ def k9(spark, sf_dir):
     return cu.drop_near_duplicates(_dated(normed(spark, sf_dir)).select("doc_id", "day", "norm"), 2).select("doc_id")
 
 
+@query("st5_near_duplicates_stream", _near_sql(2))
+def st5(spark, sf_dir):
+    """As k9, from a stream of document files, days as event time."""
+    where = st.scratch(spark)
+    stream = _dated(st.normalized(st.read_documents(spark, f"{sf_dir}/document*.parquet")))
+    repeated = st.run_once(sn.near_duplicates(stream, 2), f"{where}/out", f"{where}/state")
+    return table(spark, sf_dir, "documents").select("doc_id").join(repeated.distinct(), "doc_id", "left_anti")
+
+
 @query("k10_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS position FROM documents")
 def k10(spark, sf_dir):
     return cu.shuffle(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "position")

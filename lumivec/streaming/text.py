@@ -2,8 +2,9 @@
 
 Normalising, tokenising, labelling and scoring (embed.score) are maps and run on
 a stream as they are.
-Near-duplicate removal within a sliding window keeps one signature a text in
-state, bounded by the watermark; it catches texts that are equal once normalised.
+without_repeats() keeps one signature a text in
+state, bounded by the watermark, and catches texts that are equal once normalised;
+near ones are in near.py.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ from lumivec.functions import tokens as tk
 from lumivec.operators import classify, curate, embed, identity, labels, positions, sampling, tailored, train, vectorize, vocabulary
 from lumivec.operators import vocabulary as vocabulary_
 from lumivec.sources import corpus
+from lumivec.streaming import near
 from lumivec.streaming import text as st
 
 
@@ -431,3 +432,40 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/d")
     out = st.run_once(st.tokenized(st.read_documents(spark, f"{tmp_path}/d")).select("doc_id", "norm", "tokens"), f"{tmp_path}/o", f"{tmp_path}/s")
     assert {r["doc_id"]: r["norm"] for r in out.collect()} == {1: "~hola~a~", 2: "~"}
+
+
+def test_near_duplicates_on_a_stream_equal_the_batch(spark, tmp_path):
+    """Near and equal copies in and out of a window of days, over several micro-batches, late rows and rows of one day included."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(400)}"
+    bases = [[word() for _ in range(r.randint(20, 60))] for _ in range(12)]
+    rows = []
+    for k in range(150):
+        w = list(r.choice(bases)) if r.random() < 0.7 else [word() for _ in range(30)]
+        if r.random() < 0.5:
+            w[r.randrange(len(w))] = word()
+        rows.append((k, min(24, k // 7 + r.choice([0, 0, 1, 2])), "~" + "~".join(w) + "~"))
+    rows += [(150, 24, "~a~b~"), (151, 24, "~a~b~"), (152, 24, None)]
+    for at in range(0, len(rows), 40):
+        part = spark.createDataFrame(rows[at : at + 40], "doc_id long, d int, norm string")
+        part.select("doc_id", F.expr("date_add(DATE'2024-01-01', d)").alias("day"), "norm").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = st.run_once(near.near_duplicates(stream, 3, late="4 days"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {x["doc_id"] for x in got.collect()}
+    want = {x["doc_id"] for x in curate.near_duplicates(batch, 3).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and 40 < len(want) < 140
+
+
+def test_signatures_of_similar_sets_meet(spark):
+    r = random.Random(1)
+    pairs = []
+    for k in range(300):
+        both, own = r.randint(30, 60), 0
+        own = both // 7  # similarity 7/9 = 0.78
+        common = [r.getrandbits(62) for _ in range(both)]
+        pairs.append((k, sorted(common + [r.getrandbits(62) for _ in range(own)]), sorted(common + [r.getrandbits(62) for _ in range(own)])))
+    rows = spark.createDataFrame(pairs, "k int, a array<long>, b array<long>")
+    shared = F.size(F.array_intersect(near.signatures(F.col("a")), near.signatures(F.col("b")))) > 0
+    assert rows.filter(shared).count() >= 297
+    assert spark.createDataFrame([([],), (None,)], "a array<long>").select(F.size(near.signatures(F.col("a"))).alias("n")).filter("n > 0").count() == 0
