@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, tidy
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         links = cut(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b")).distinct())
+        tidy(links.sparkSession)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
         if now == state:
             return links.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

@@ -528,10 +528,12 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         deltas = _deltas(members, sets)
         links += [deltas.filter("not apart").select(*_pair("centre", "cls")), _delta_links(deltas)]
     links += _pair_links(pairs, sets, links)
+    tidy(spark)
     if not sizes.isEmpty():
         more = cut(_light_rest(sizes, large, _all(spark, links)).join(pairs, ["a", "b"], "left_anti").distinct())
         if not more.isEmpty():
             links += _pair_links(more, _class_sets(source, one, _ends(more).distinct(), late), links)
+        tidy(spark)
     late.unpersist()
     return rows, _all(spark, links)
 
