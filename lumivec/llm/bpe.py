@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from ._common import id_text, map_arrow, texts
 
-CACHE_BYTES = 12 << 20  # of remembered words and ids, in each of two generations
+CACHE_BYTES = 40 << 20  # of remembered words and ids, in each of two generations
 LONG = 200
 _NONE = 1 << 62
 
