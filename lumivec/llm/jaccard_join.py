@@ -23,11 +23,15 @@ cap on partners, candidates or groups.
    with most such shingles, and later what all links so far leave unconnected
    (components are met before their members). The others are gathered by a centre, the class with the largest share of such
    shingles; a member meets the centre alone and keeps its difference to it,
-   delta = (what it adds, what it lacks). For two members, |x xor y| = |dx| +
+   delta = (what it adds, what it lacks). Where members are not linked to that
+   centre, the median takes its place: the member whose differences to all others
+   have the least sum. It lies nearest to the text that they were copied from, so
+   that deltas are short and share little. For two members, |x xor y| = |dx| +
    |dy| - 2 |dx and dy|, so a link between members of which one is not linked to
    the centre (`apart`) needs at least (7 (|dx| + |dy|) - n - m) / 14 > 0 common
    delta shingles. Pairs must share prefix shingles of their deltas under ORDERS +
-   1 global orders (additions first, which are rare), all of them, and are
+   1 orders of the group (by rising frequency in it; the others additions first), all
+   of them, and are
    verified on deltas. Members apart are often copies of another text, or of a
    part: those of equal marks (least hashes of deltas) meet one of them before, and
    what is connected is compared no more.
@@ -361,15 +365,25 @@ def _delta_order(adds: np.ndarray, lacks: np.ndarray, factor: int) -> tuple[np.n
     return token[order], place
 
 
-def _deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """centre, cls, n, m (the centre's size), d (size of the difference), apart, adds, lacks, marks for every member but the centre.
+DELTAS = "centre long, cls long, n long, m long, d long, apart boolean, adds binary, lacks binary, marks array<long>" + "".join(f", head{k} binary" for k in range(1, ORDERS + 1))
+MARK_FACTORS = mix(np.arange(1, MARKS + 1, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
+
+
+def _delta_rows(batch: pa.RecordBatch, n: np.ndarray, m: np.ndarray, adds: list[np.ndarray], lacks: list[np.ndarray]) -> pa.RecordBatch:
+    """centre and cls of the batch, n, m (the centre's size), d (size of the difference), apart, adds, lacks, marks.
 
     marks: the first shingle of the difference under each of MARKS orders of
     hashes; head1 ..: the difference in the order of every further factor, what it
     adds first, two bytes a shingle.
     """
+    d = np.array([len(x) + len(y) for x, y in zip(adds, lacks)], np.int64)
+    heads = {f"head{k}": _packed([(_delta_order(x, y, factor)[0] >> np.uint64(48)).astype(np.uint16) for x, y in zip(adds, lacks)]) for k, factor in enumerate(FACTORS) if k}
+    marks = [[int((np.concatenate(both) * np.uint64(k)).min().view(np.int64)) for k in MARK_FACTORS] if len(both[0]) + len(both[1]) else [] for both in zip(adds, lacks)]
+    return pa.RecordBatch.from_pydict({"centre": batch.column("centre"), "cls": batch.column("cls"), "n": n, "m": m, "d": d, "apart": 7 * d > n + m, "adds": _packed(adds), "lacks": _packed(lacks), "marks": pa.array(marks, pa.list_(pa.int64()))} | heads)
 
-    factors = mix(np.arange(1, MARKS + 1, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
+
+def _deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """DELTAS for every member but the centre."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         adds, lacks, n, m = [], [], [], []
@@ -378,15 +392,53 @@ def _deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
             lacks.append(np.setdiff1d(c, x, assume_unique=True))
             n.append(len(x))
             m.append(len(c))
-        d = np.array([len(x) + len(y) for x, y in zip(adds, lacks)], np.int64)
-        heads = {f"head{k}": _packed([(_delta_order(x, y, factor)[0] >> np.uint64(48)).astype(np.uint16) for x, y in zip(adds, lacks)]) for k, factor in enumerate(FACTORS) if k}
-        far = 7 * d > np.array(n) + np.array(m)
-        marks = [[int((np.concatenate(both) * np.uint64(k)).min().view(np.int64)) for k in factors] if len(both[0]) + len(both[1]) else [] for both in zip(adds, lacks)]
-        return pa.RecordBatch.from_pydict({"centre": batch.column("centre"), "cls": batch.column("cls"), "n": n, "m": m, "d": d, "apart": far, "adds": _packed(adds), "lacks": _packed(lacks), "marks": pa.array(marks, pa.list_(pa.int64()))} | heads)
+        return _delta_rows(batch, np.array(n, np.int64), np.array(m, np.int64), adds, lacks)
 
     few = lambda name, as_: _picked(sets.select(F.col("cls").alias(name), F.col("s").alias(as_)), cut(members.select(name).distinct()), [name], "left_semi")
     rows = members.filter("cls <> centre").join(few("cls", "s"), "cls").join(few("centre", "sc"), "centre").select("centre", "cls", "s", "sc")
-    return cut(_arrow(rows, run, "centre long, cls long, n long, m long, d long, apart boolean, adds binary, lacks binary, marks array<long>" + "".join(f", head{k} binary" for k in range(1, ORDERS + 1))))
+    return cut(_arrow(rows, run, DELTAS))
+
+
+def _delta_shingles(deltas: DataFrame) -> DataFrame:
+    """centre, cls, token, f: every shingle of a difference, and of how many differences in its group it is one."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = [np.concatenate(x) for x in zip(_sets(batch, "adds"), _sets(batch, "lacks"))]
+        size = [len(x) for x in both]
+        return pa.RecordBatch.from_pydict({k: np.repeat(batch.column(k).to_numpy(), size) for k in ("centre", "cls")} | {"token": long_array(np.concatenate(both))})
+
+    rows = cut(_arrow(deltas.select("centre", "cls", "adds", "lacks"), run, "centre long, cls long, token long"))
+    often = cut(rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
+    rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, ["centre", "token"], "left")
+    return rows.withColumn("f", F.coalesce("f", F.lit(1)))
+
+
+def _from_median(deltas: DataFrame) -> DataFrame:
+    """DELTAS of the members of every group to its median, those of the former centre left out.
+
+    The sum of a member's differences to all is, but for a constant, the sum over
+    its delta of N - 2 f: N members, of whose deltas f have the shingle; 0 for the
+    centre. One row a shingle of a delta, whatever the group's size.
+    """
+
+    more = _delta_shingles(deltas).filter("f > 1").groupBy("centre", "cls").agg(F.sum(F.col("f") - 1).alias("more"))
+    members = deltas.groupBy("centre").agg((F.count(F.lit(1)) + 1).alias("members"), F.first("m").alias("m"))
+    of_all = deltas.select("centre", "cls", "d").join(more, ["centre", "cls"], "left").join(members, "centre")
+    of_all = of_all.withColumn("sum", F.col("d") * (F.col("members") - 2) - 2 * F.coalesce("more", F.lit(0)))
+    best = of_all.groupBy("centre").agg(F.min(F.struct("sum", "cls")).alias("x")).select("centre", F.when(F.col("x.sum") < 0, F.col("x.cls")).otherwise(F.col("centre")).alias("median"))
+    at = deltas.select("centre", F.col("cls").alias("median"), F.col("n").alias("nc"), F.col("adds").alias("more_c"), F.col("lacks").alias("less_c"))
+    best = cut(best.join(members, "centre").join(at, ["centre", "median"], "left").select("centre", "median", F.coalesce("nc", "m").alias("nc"), *(F.coalesce(c, F.lit(b"")).alias(c) for c in ("more_c", "less_c"))))
+
+    def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
+        adds, lacks = [], []
+        for more, less, more_c, less_c in zip(*(_sets(batch, c) for c in ("adds", "lacks", "more_c", "less_c"))):
+            adds.append(np.concatenate((np.setdiff1d(more, more_c, assume_unique=True), np.setdiff1d(less_c, less, assume_unique=True))))
+            lacks.append(np.concatenate((np.setdiff1d(less, less_c, assume_unique=True), np.setdiff1d(more_c, more, assume_unique=True))))
+        return _delta_rows(batch, batch.column("n").to_numpy(), batch.column("m").to_numpy(), adds, lacks)
+
+    moves = deltas.select("centre", "cls", "n", "adds", "lacks").join(best, "centre").filter("cls <> median")
+    moves = moves.select(F.col("median").alias("centre"), "cls", "n", F.col("nc").alias("m"), "adds", "lacks", "more_c", "less_c")
+    return cut(_arrow(moves, moved, DELTAS).dropDuplicates(["centre", "cls"]))  # groups may have one median
 
 
 def _delta_verified(pairs: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -403,13 +455,15 @@ def _delta_verified(pairs: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def _delta_links(deltas: DataFrame) -> DataFrame:
-    """Links that connect what is linked in large groups, where one of two members is apart from the centre.
+    """Links that connect what is linked in large groups, where one of two members is apart from the first centre.
 
-    A member apart first meets, for each of its marks, the nearest to the centre
+    The median becomes the centre. A member apart from it first meets, for each of its marks, the nearest to the centre
     of the members that have the same: copies of another text, or of a part of
     the centre's, are connected by then, to each other or to the centre. Then
     all that these links leave unconnected meet by prefixes.
     """
+    deltas = _from_median(cut(deltas.join(deltas.filter("apart").select("centre").distinct(), "centre", "left_semi")))
+    near = deltas.filter("not apart").select(*_pair("centre", "cls"))
     deltas = cut(deltas.join(deltas.filter("apart").select("centre").distinct(), "centre", "left_semi"))
     marked = deltas.select("centre", "cls", "d", "apart", F.posexplode("marks").alias("k", "mark"))
     first = marked.groupBy("centre", "k", "mark").agg(F.min(F.struct("apart", "d", "cls"))["cls"].alias("cls_y"))
@@ -420,30 +474,18 @@ def _delta_links(deltas: DataFrame) -> DataFrame:
     top = up.join(up.select("centre", F.col("cls").alias("up"), F.col("up").alias("top")), ["centre", "up"], "left").select("centre", "cls", F.coalesce("top", "up").alias("top"))
     deltas = cut(deltas.join(top, ["centre", "cls"], "left").withColumn("top", F.when(F.col("apart"), F.coalesce("top", "cls")).otherwise(F.col("centre"))).drop("marks"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = ("centre", "cls", "n", "d", "top", "apart")
-        values, sizes = list(zip(*(batch.column(c).to_pylist() for c in names))), batch.column("m").to_pylist()
-        parts: dict[str, list] = {k: [np.zeros(0, bool if k in ("apart", "as_x", "as_y") else np.int64)] for k in (*names, "token", "r", "as_x", "as_y")}
-        for row, m, more, less in zip(values, sizes, _sets(batch, "adds"), _sets(batch, "lacks")):
-            _, _, n, d, _, away = row
-            token = _delta_order(more, less, FACTORS[0])[0]
-            rank = np.arange(d)
-            as_x = (rank <= d - max(1, -(-(7 * d - n - m) // 14))) & away  # whoever the partner is
-            as_y = rank <= d - max(1, (7 * d - n + m) // 14 + 1)  # whichever partner that is apart
-            keep = as_x | as_y
-            for name, v in zip(names, row):
-                parts[name].append(np.full(int(keep.sum()), v))
-            for name, v in (("token", token.view(np.int64)), ("r", rank), ("as_x", as_x), ("as_y", as_y)):
-                parts[name].append(v[keep])
-        return pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in parts.items()})
-
-    rows = cut(_arrow(deltas, run, "centre long, cls long, n long, d long, top long, apart boolean, token long, r long, as_x boolean, as_y boolean"))
+    shingles = _delta_shingles(deltas).withColumn("r", F.row_number().over(Window.partitionBy("centre", "cls").orderBy("f", "token")) - 1)
+    rows = shingles.join(deltas.select("centre", "cls", "n", "m", "d", "top", "apart"), ["centre", "cls"])
+    whoever = F.ceil((7 * F.col("d") - F.col("n") - F.col("m")) / F.lit(14.0) - F.lit(1e-9))  # common ones with any partner
+    away = F.floor((7 * F.col("d") - F.col("n") + F.col("m")) / F.lit(14.0) + F.lit(1e-9)) + 1  # with any that is apart
+    rows = rows.withColumn("as_x", F.col("apart") & (F.col("r") <= F.col("d") - F.greatest(F.lit(1), whoever))).withColumn("as_y", F.col("r") <= F.col("d") - F.greatest(F.lit(1), away))
+    rows = cut(rows.filter("as_x or as_y").drop("f", "m"))
     side = lambda role, k: rows.filter(role).select("centre", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "d", "top", "apart", "r")))
     # both in the prefix that this pair needs: n - common + 1 of either
     common = F.ceil((7 * (F.col("d_x") + F.col("d_y")) - F.col("n_x") - F.col("n_y")) / F.lit(14.0) - F.lit(1e-9))
-    near = (F.col("r_x") <= F.col("d_x") - common) & (F.col("r_y") <= F.col("d_y") - common)
+    within = (F.col("r_x") <= F.col("d_x") - common) & (F.col("r_y") <= F.col("d_y") - common)
     once = (F.col("top_x") != F.col("top_y")) & (~F.col("apart_y") | (F.col("cls_x") < F.col("cls_y")))
-    pairs = side("as_x", "x").join(side("as_y", "y"), ["centre", "token"]).filter(once & near).select("centre", "cls_x", "cls_y").distinct()
+    pairs = side("as_x", "x").join(side("as_y", "y"), ["centre", "token"]).filter(once & within).select("centre", "cls_x", "cls_y").distinct()
     heads = [f"head{k}" for k in range(1, ORDERS + 1)]
 
     def shared(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -462,7 +504,7 @@ def _delta_links(deltas: DataFrame) -> DataFrame:
     for k in "xy":
         pairs = pairs.join(deltas.select("centre", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", *columns))), ["centre", f"cls_{k}"])
     pairs = cut(_arrow(pairs.select("centre", "cls_x", "cls_y", *(f"{c}_{k}" for c in columns for k in "xy")), shared, "centre long, cls_x long, cls_y long"))
-    return starred.unionByName(_delta_verified(pairs, deltas)).select(*_pair("cls_x", "cls_y"))
+    return near.unionByName(starred.unionByName(_delta_verified(pairs, deltas)).select(*_pair("cls_x", "cls_y")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -298,3 +298,31 @@ def test_light_members_of_a_large_group_stay_linear(spark, monkeypatch):
         rows = [(k, " ".join(base + [f"x{r.randrange(10**9)}" for _ in range(k % 21)]), "en") for k in range(n)]
         assert {x["component_id"] for x in jaccard_join.report(table(spark, rows)).collect()} == {0}
     assert made[-1] <= 2.5 * made[0]
+
+
+def test_copies_far_from_the_first_centre_make_few_pairs(spark, monkeypatch):
+    """Near copies with many edits, most of them linked to the first text alone, over a third of them to nothing."""
+    made, kept = [], jaccard_join._arrow
+
+    def counted(df, fn, schema):
+        if "head1_x" in df.columns:
+            made.append(df.count())
+        return kept(df, fn, schema)
+
+    monkeypatch.setattr(jaccard_join, "_arrow", counted)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(240):
+        w = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 4, 5, 6])):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    links = [[j for j, t in enumerate(sets) if 100 * len(s & t) >= 75 * len(s | t)] for s in sets]
+    label = list(range(len(sets)))
+    while label != (new := [min(label[j] for j in of) for of in links]):
+        label = new
+    assert 10 < len(set(label)) and label.count(0) > 100
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_join.report(table(spark, [(k, t, "en") for k, t in enumerate(texts)])).collect()} == dict(enumerate(label))
+    assert sum(made) <= 2 * len(texts)  # their differences to the median share little
