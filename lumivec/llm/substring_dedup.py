@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _U, KEYS, covered, cut, keys, long_array, map_arrow, mix, row_key, row_starts, runs, utf8
+from ._common import _U, KEYS, covered, cut, keys, long_array, map_arrow, mix, row_key, row_starts, runs, tidy, utf8
 
 LENGTH = 200
 SEED = 32  # bytes of an anchor
 BLOCK = 12
-BROADCAST_PLACES = 500_000  # 8 bytes each, and 16 for each document
+BROADCAST_PLACES = 50_000  # 8 bytes each, and 24 for each document
 _PAIR = keys(2, 77)
 _KEYS = "k_id long, k_hash long, k_crc long"
 
@@ -146,11 +146,13 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     """Rows that have an equal core, with `done` (their whole has an equal) and `open` (goes on to the next length)."""
     core = Window.partitionBy("core")
     whole = Window.partitionBy("core", "whole")
-    found = rows.withColumn("same", F.when(F.col("whole") == 0, F.lit(1)).otherwise(F.count(F.lit(1)).over(whole)))
+    # by core first: rows dealt by core need no other exchange for (core, whole)
+    found = rows.withColumn("n", F.count(F.lit(1)).over(core)).filter("n > 1")
+    found = found.withColumn("same", F.when(F.col("whole") == 0, F.lit(1)).otherwise(F.count(F.lit(1)).over(whole)))
     found = found.withColumn("nth", F.when(F.col("whole") == 0, F.lit(1)).otherwise(F.row_number().over(whole.orderBy(*KEYS, "start"))))
-    found = found.withColumn("n", F.count(F.lit(1)).over(core)).withColumn("least", F.min("same").over(core)).withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(core))
+    found = found.withColumn("least", F.min("same").over(core)).withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(core))
     done, go = F.col("same") > 1, (F.col("least") == 1) & (F.col("kinds") > 1) & (F.col("nth") == 1)
-    return found.filter(F.col("n") > 1).filter(done | go).select(*KEYS, "start", "stop", "anchor", done.alias("done"), go.alias("open"))
+    return found.filter(done | go).select(*KEYS, "start", "stop", "anchor", done.alias("done"), go.alias("open"))
 
 
 def _with_places(source: DataFrame, rows: DataFrame, place) -> DataFrame:
@@ -190,8 +192,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     fields = f"{_KEYS}, core long, whole long, start long, stop long, anchor long"
     zero = cut(_sorted_out(map_arrow(single, _anchors, fields)))
+    tidy(docs.sparkSession)
     place = F.shiftleft("anchor", 16) + F.shiftleft(F.col("anchor") - (F.col("stop") - LENGTH), 8) + (F.col("anchor") - F.col("start"))
     one = cut(_sorted_out(map_arrow(_with_places(single, zero.filter("open"), place), _blocks, fields)))
+    tidy(docs.sparkSession)
     two = map_arrow(_with_places(single, one.filter("open"), F.col("start")), _windows, f"{_KEYS}, name long, start long")
     two = two.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("n > 1")
 
@@ -205,7 +209,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def merge(batches):
         yield from map(_merge, batches)
 
-    return cut(lists.mapInArrow(merge, f"{_KEYS}, gone array<struct<start:long,stop:long>>"))
+    found = cut(lists.mapInArrow(merge, f"{_KEYS}, gone array<struct<start:long,stop:long>>"))
+    tidy(docs.sparkSession)
+    return found
 
 
 def _kept(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:

@@ -326,3 +326,15 @@ def test_copies_far_from_the_first_centre_make_few_pairs(spark, monkeypatch):
     assert 10 < len(set(label)) and label.count(0) > 100
     assert {x["doc_id"]: x["component_id"] for x in jaccard_join.report(table(spark, [(k, t, "en") for k, t in enumerate(texts)])).collect()} == dict(enumerate(label))
     assert sum(made) <= 2 * len(texts)  # their differences to the median share little
+
+
+def test_equal_parts_are_found_in_one_exchange(spark, monkeypatch):
+    rows = [(k, 0, 0, k % 5, k % 3, 0, 300, 40) for k in range(60)]
+    fields = "k_id long, k_hash long, k_crc long, core long, whole long, start long, stop long, anchor long"
+    plan = substring_dedup._sorted_out(spark.createDataFrame(rows, fields))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    part = " ".join(f"w{k}" for k in range(90))
+    docs = table(spark, [(k, f"{k} own {part[k:]} end {k}", "en") for k in range(6)])
+    want = sorted(map(tuple, substring_dedup.report(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "BROADCAST_PLACES", 0)
+    assert sorted(map(tuple, substring_dedup.report(docs).collect())) == want and all(r[2] > 100 for r in want)
