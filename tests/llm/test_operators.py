@@ -187,6 +187,19 @@ def test_secret_labels_come_from_all_documents(spark):
     assert got[1] == 30 and 30 < got[0] < 120
 
 
+def test_secrets_learn_from_every_finding(spark, monkeypatch):
+    r = random.Random(3)
+    key = lambda: "".join(r.choices("ABCDEFabcdefghijk0123456789", k=24))
+    rows = [(i, f"mail host{i % 7}.example.com/page-{i:06d} end") for i in range(4900)] + [(9000 + i, f"token={key()}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(secrets, "sample", None)
+    monkeypatch.setattr(secrets, "SHARD", 2000)
+    dealt, k = secrets.shards(secrets.findings(docs))
+    seen = {(x["y"], bytes(x["x"])) for x in dealt.collect()}
+    assert k == 2 and Counter(y for y, _ in seen) == {0: 4900, 1: 60}
+    assert secrets.learn(docs).recall >= 0.9
+
+
 def test_secrets_in_the_tail_of_long_runs(spark):
     r = random.Random(6)
     key = lambda n=32: "".join(r.choices("ABCDEFGHKLMNPabcdefghkmnpq0123456789", k=n))
