@@ -216,6 +216,17 @@ def test_near_duplicates(spark, monkeypatch, small):
             w[r.randrange(60)] = f"x{r.randint(0, 10**6)}"
         rows.append((k, "2022-09-0%d" % r.randint(1, 6), "~" + "~".join(w[: r.choice([60, 60, 52, 3])]) + "~"))
     rows += [(200, "2022-09-01", "~"), (201, None, rows[0][2])]
+def test_training_sets_group_no_union(spark):
+    """AQE may deal a side of a union anew, and a group or join behind that takes the union as dealt by its key then fails."""
+    rows = spark.createDataFrame([(k, ["a"] + ["b"] * (k % 2) + ["c"] * (k % 3 == 0)) for k in range(60)], "doc_id long, labels array<string>")
+    limits = sampling.caps(labels.label_frequency(rows), 20, 20)
+    t = sampling.training_set(sampling.positives(rows, limits, ["doc_id"], 20), sampling.negatives(rows, limits, ["doc_id"]))
+    assert "Union" not in t._jdf.queryExecution().executedPlan().toString()
+    assert sampling.negatives(rows, limits, ["doc_id"])._jdf.queryExecution().executedPlan().toString().count("Union") == 0
+    got = {(r["label"], r["y"]): r["n"] for r in t.groupBy("label", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("b", 1): 20, ("b", -1): 20, ("c", 1): 20, ("c", -1): 20}
+
+
     t = spark.createDataFrame(rows, "doc_id long, day string, norm string").withColumn("day", F.col("day").cast("date")).repartition(6)
     sets = {k: {tuple(x.strip("~").split("~")[i : i + 5]) for i in range(len(x.strip("~").split("~")) - 4)} for k, _, x in rows}
     for days in (0, 2):
