@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,29 @@ def slow_spans(text, known):
     return out
 
 
+def test_listed_words_equal_the_walk():
+    known = ["~ab~", "~abc~", "~é~", "~añb~", "~x~", "~ab.c~"]
+    texts = ["", "~", "~~", "~ab~", "~ab~abc~x~", "ab~ab", "~abc", "~~ab~~é~", "x~añb~ab.c~añ~", "~ab~abx~éé~é~"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    assert sg.Listed.fits(known) and not any(sg.Listed.fits([*known, k]) for k in ("~a~b~", "ab", "~~", "~e:", "~ab"))
+    got, want = sg.Listed(known).segments(data, off), sg.segments(data, off, sg.Trie(known))
+    assert len(want[0]) and got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_tokens_and_segments_leave_slice_by_slice(spark, monkeypatch):
+    """An Arrow batch of the result is a slice, not all tokens of the batch that came in."""
+    norm = pa.array(["~ab~cd~"] * 5000)
+    one = tk._token_arrays(norm.slice(0, 1), [1], [2, 3], True)
+    kept = []
+    monkeypatch.setattr(tk.F, "arrow_udf", lambda f, kind: kept.append(f) or (lambda c: c))
+    tk.tokenize(F.lit("x"), [-1, 2, 3])
+    out = list(kept[0](iter([norm, norm.slice(0, 0), norm])))
+    assert max(x.nbytes for x in out) < 8 * 1024 * 1024 and sum(map(len, out)) == 10000 and all(x[0].as_py() == one[0].as_py() for x in out)
+    parts = list(sg._Known(["~ab~", "q"], ["ab", "q:q"]).parts(pa.array(["~ab~" * 50_000] * 50), True))
+    assert len(parts) > 1 and sum(map(len, parts)) == 50
+
+
 def test_segments_equal_the_rules(spark):
     r = random.Random(5)
     for _ in range(400):
