@@ -158,6 +158,19 @@ def test_tokens_and_segments_leave_slice_by_slice(spark, monkeypatch):
     assert len(parts) > 1 and sum(map(len, parts)) == 50
 
 
+def test_counts_equal_document_frequencies(spark, monkeypatch):
+    texts = ["~ab~ab~abc~", "~", None, "~e:.~ab~é~", "~ñu~abc~e:.~e:.~x~ab~"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, norm string")
+    for kinds, inside in (([-1, 2, 3], True), ([-2, 4], False)):
+        want = {r["token"]: r["df"] for r in voc.document_frequency(docs, tk.tokenize(F.col("norm"), kinds, inside)).collect()}
+        counted = tk.counts(docs, F.col("norm"), kinds, inside)
+        assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+        assert {r["token"]: r["df"] for r in counted.collect()} == want
+    one = tk._counted(pa.array(texts), [1], [2], True)
+    monkeypatch.setattr(tk, "CELLS", 0)
+    assert tk._counted(pa.array(texts), [1], [2], True).equals(one)
+
+
 def test_segments_equal_the_rules(spark):
     r = random.Random(5)
     for _ in range(400):
