@@ -158,7 +158,7 @@ _DIGEST_SQL = "SELECT doc_id, count(s) AS n, md5(coalesce(string_agg({}, ' ' ORD
 def t8(spark, sf_dir):
     """Segments against the K most frequent tokens of the corpus itself."""
     docs = prepared(spark, sf_dir)
-    vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
+    vocabulary = voc.top_k(tk.counts(docs, F.col("norm"), [-1, 2, 3]), K)
     pieces = sg.segmenter(sg.surfaces(vocabulary), names=False)
     return docs.select("doc_id", pieces(F.col("norm")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.md5(F.array_join("a", " ")).alias("digest"))
 
@@ -166,7 +166,7 @@ def t8(spark, sf_dir):
 @query("t9_segment_tokens", f"{SEGMENT_SQL} {_DIGEST_SQL.format('token')}")
 def t9(spark, sf_dir):
     docs = prepared(spark, sf_dir)
-    vocabulary = voc.top_k(voc.document_frequency(docs, tk.tokenize(F.col("norm"), [-1, 2, 3])), K)
+    vocabulary = voc.top_k(tk.counts(docs, F.col("norm"), [-1, 2, 3]), K)
     return sg.segment(docs, F.col("norm"), vocabulary).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
