@@ -40,6 +40,26 @@ def test_labels(spark):
     assert got == {1: ["a", "b"], 2: ["x", "y"]}
 
 
+def test_rarest_label_needs_no_row_for_each_label(spark, monkeypatch):
+    rows = [(1, ["a", "b"]), (2, ["b", "c", "a"]), (3, ["c", "x"]), (4, ["é"]), (5, []), (6, None), (7, ["x"]), (1, ["z"])]
+    t = spark.createDataFrame(rows, "doc_id long, labels array<string>")
+    frequency = labels.label_frequency(t).filter("label <> 'x'")
+    quick = labels.rarest_label(t, frequency)
+    assert "Generate" not in quick._jdf.queryExecution().executedPlan().toString()
+    want = {1: "z", 2: "a", 3: "c", 4: "é"}
+    assert {r["doc_id"]: r["rarest"] for r in quick.collect()} == want
+    monkeypatch.setattr(labels, "MAX_LABELS", 2)
+    assert {r["doc_id"]: r["rarest"] for r in labels.rarest_label(t, frequency).collect()} == want
+
+
+def test_segments_are_found_once(spark):
+    docs = spark.createDataFrame([(1, "~ab~cd~"), (2, "~xy~"), (3, None)], "doc_id long, norm string")
+    keywords = spark.createDataFrame([("ab",), ("cd",)], "token string")
+    rows = labels.from_segments(docs, F.col("norm"), keywords)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["doc_id"], r["labels"]) for r in rows.collect()] == [(1, ["ab", "cd"])]
+
+
 def test_svm_meets_its_optimum():
     r = np.random.default_rng(0)
     x = r.normal(size=(80, 6))
@@ -196,6 +216,17 @@ def test_first_documents_without_a_label(spark, monkeypatch, block):
     assert {(x["label"], x["doc_id"]) for x in got.collect()} == want
 
 
+def test_training_sets_group_no_union(spark):
+    """AQE may deal a side of a union anew, and a group or join behind that takes the union as dealt by its key then fails."""
+    rows = spark.createDataFrame([(k, ["a"] + ["b"] * (k % 2) + ["c"] * (k % 3 == 0)) for k in range(60)], "doc_id long, labels array<string>")
+    limits = sampling.caps(labels.label_frequency(rows), 20, 20)
+    t = sampling.training_set(sampling.positives(rows, limits, ["doc_id"], 20), sampling.negatives(rows, limits, ["doc_id"]))
+    assert "Union" not in t._jdf.queryExecution().executedPlan().toString()
+    assert sampling.negatives(rows, limits, ["doc_id"])._jdf.queryExecution().executedPlan().toString().count("Union") == 0
+    got = {(r["label"], r["y"]): r["n"] for r in t.groupBy("label", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("b", 1): 20, ("b", -1): 20, ("c", 1): 20, ("c", -1): 20}
+
+
 def test_positions(spark):
     t = spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "doc_id long").repartition(9)
     assert {(x["doc_id"], x["pos"]) for x in positions.numbered(t, ["doc_id"]).collect()} == {(k, k) for k in range(100)}
@@ -216,17 +247,6 @@ def test_near_duplicates(spark, monkeypatch, small):
             w[r.randrange(60)] = f"x{r.randint(0, 10**6)}"
         rows.append((k, "2022-09-0%d" % r.randint(1, 6), "~" + "~".join(w[: r.choice([60, 60, 52, 3])]) + "~"))
     rows += [(200, "2022-09-01", "~"), (201, None, rows[0][2])]
-def test_training_sets_group_no_union(spark):
-    """AQE may deal a side of a union anew, and a group or join behind that takes the union as dealt by its key then fails."""
-    rows = spark.createDataFrame([(k, ["a"] + ["b"] * (k % 2) + ["c"] * (k % 3 == 0)) for k in range(60)], "doc_id long, labels array<string>")
-    limits = sampling.caps(labels.label_frequency(rows), 20, 20)
-    t = sampling.training_set(sampling.positives(rows, limits, ["doc_id"], 20), sampling.negatives(rows, limits, ["doc_id"]))
-    assert "Union" not in t._jdf.queryExecution().executedPlan().toString()
-    assert sampling.negatives(rows, limits, ["doc_id"])._jdf.queryExecution().executedPlan().toString().count("Union") == 0
-    got = {(r["label"], r["y"]): r["n"] for r in t.groupBy("label", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == {("b", 1): 20, ("b", -1): 20, ("c", 1): 20, ("c", -1): 20}
-
-
     t = spark.createDataFrame(rows, "doc_id long, day string, norm string").withColumn("day", F.col("day").cast("date")).repartition(6)
     sets = {k: {tuple(x.strip("~").split("~")[i : i + 5]) for i in range(len(x.strip("~").split("~")) - 4)} for k, _, x in rows}
     for days in (0, 2):
