@@ -11,21 +11,26 @@ doc_id of every day, so copies cost one number a day; the watermark removes days
 that no row can be compared with any more. A set is kept once for each of its
 bands. A micro-batch's texts of one signature meet in one task, one after the
 other; each looks for one earlier partner only.
+
+Every band of every text is a key there, so micro-batches of more than some
+thousand texts are slow. run_by_batch() is for these, and exact: sets lie once in
+files by day, and a micro-batch is joined with those of the days around it.
 """
 
 from __future__ import annotations
 
+import datetime
 import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import spans as sp
-from ..operators.curate import shingles
+from ..operators.curate import near_sets, shingles
 
 BANDS, ROWS = 20, 4
 DAY_MS = 86_400_000
@@ -102,3 +107,43 @@ def near_duplicates(stream: DataFrame, days: int = 3, percent: int = 75, n: int
         yield pd.DataFrame({"doc_id": pd.Series(sorted(found), dtype="int64")})
 
     return keyed.groupBy("band").applyInPandasWithState(run, "doc_id long", "entries binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _days(spark: SparkSession, sets: str, before: int) -> dict[datetime.date, list]:
+    """The folders of the days that micro-batches before one have left."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sets}/batch=*/day=*")
+    found: dict[datetime.date, list] = {}
+    for status in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []:
+        path = status.getPath()
+        if int(path.getParent().getName().removeprefix("batch=")) < before:
+            found.setdefault(datetime.date.fromisoformat(path.getName().removeprefix("day=")), []).append(path)
+    return found
+
+
+def run_by_batch(stream: DataFrame, out: str, state: str, days: int = 3, percent: int = 75, n: int = 5, late: int = 0) -> DataFrame:
+    """doc_id (some more than once) as near_duplicates() of a stream run over all that is there now, found exactly, micro-batch by micro-batch.
+
+    Sets of rows within `days` of a micro-batch's days are read again, and pairs
+    with a new row are looked for. Days that no row can be compared with any more,
+    being more than `late` + `days` behind the newest of earlier micro-batches, are
+    removed. A micro-batch that is run again replaces what it has written.
+    """
+    spark, sets = stream.sparkSession, f"{state}/sets"
+
+    def each(rows: DataFrame, k: int) -> None:
+        spark = rows.sparkSession
+        known = _days(spark, sets, k)
+        if known:
+            oldest = max(known) - datetime.timedelta(late + days)
+            for path in [p for day, paths in known.items() if day < oldest for p in paths]:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        new = rows.select("doc_id", F.col("day").cast("date").alias("day"), shingles(F.col("norm"), n).alias("s")).filter("doc_id is not null and day is not null")
+        new.filter(F.size("s") > 0).write.mode("overwrite").partitionBy("day").parquet(f"{sets}/batch={k}")
+        kept = spark.read.schema("doc_id long, s array<bigint>, batch int, day date").parquet(sets).filter(F.col("batch") <= k)
+        first, last = kept.filter(F.col("batch") == k).agg(F.min("day"), F.max("day")).first()
+        near = F.lit(False) if first is None else F.col("day").between(first - datetime.timedelta(days), last + datetime.timedelta(days))
+        near = kept.filter(near).select("doc_id", "day", "s", (F.col("batch") == k).alias("new"))
+        near_sets(near, days, percent, stored=True).write.mode("overwrite").parquet(f"{out}/batch={k}")
+
+    stream.writeStream.option("checkpointLocation", f"{state}/stream").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return spark.read.schema("doc_id long, batch int").parquet(f"{out}/batch=*").select("doc_id")

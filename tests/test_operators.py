@@ -488,6 +488,27 @@ def test_near_duplicates_on_a_stream_equal_the_batch(spark, tmp_path):
     assert got <= want and len(got) >= 0.99 * len(want) and 40 < len(want) < 140
 
 
+def test_near_duplicates_by_micro_batch_equal_the_batch(spark, tmp_path):
+    r = random.Random(5)
+    bases = [[f"w{r.randrange(400)}" for _ in range(r.randint(20, 60))] for _ in range(6)]
+    rows = []
+    for k in range(120):
+        w = list(r.choice(bases))
+        if r.random() < 0.5:
+            w[r.randrange(len(w))] = f"x{r.randrange(400)}"
+        rows.append((k if k % 9 else 1000 - k, max(0, k // 8 - r.choice([0, 0, 1, 2])), "~" + "~".join(w) + "~"))
+    rows += [(150, 15, "~a~b~"), (152, 15, None), (153, None, rows[0][2])]
+    for at in range(0, len(rows), 41):
+        part = spark.createDataFrame(rows[at : at + 41], "doc_id long, d int, norm string")
+        part.select("doc_id", F.expr("date_add(DATE'2024-01-01', d)").alias("day"), "norm").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = near.run_by_batch(stream, f"{tmp_path}/out", f"{tmp_path}/state", 2, late=15)
+    want = {x["doc_id"] for x in curate.near_duplicates(batch, 2).collect()}
+    assert {x["doc_id"] for x in got.collect()} == want and len(want) > 40
+    assert len(os.listdir(f"{tmp_path}/out")) == 3
+
+
 def test_signatures_of_similar_sets_meet(spark):
     r = random.Random(1)
     pairs = []
